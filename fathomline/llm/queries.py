@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, url_filter
+from . import chat, decontaminate, near_dup, quality, url_filter
 from .common import table
 
 #: (host, path, verdict) of the URL rules (fixed values of the contract).
@@ -18,6 +18,12 @@ URL_RULES = (
 )
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = near_dup.near_duplicates(docs, size=4, percent=80)
+    return out.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame([(h, p, h + p, v) for h, p, v in URL_RULES], "host string, path string, rule string, verdict string")
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -53,6 +59,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_url_filter": op3_url_filter,
     "op5_chat_rotation": op5_chat_rotation,
     "op7_quality_rules": op7_quality_rules,
