@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, near_dup, quality, url_filter
-from .common import table
+from . import chat, decontaminate, html_text, language, licenses, near_dup, pieces, quality, token_files, url_filter
+from .common import new_folder, table
 
 #: (host, path, verdict) of the URL rules (fixed values of the contract).
 URL_RULES = (
@@ -18,6 +19,15 @@ URL_RULES = (
 )
 
 
+#: Vocabulary files of the tokenizer queries.
+PIECE_MODEL = "piece_bpe_32k.model"
+BPE_VOCABULARY = "byte_bpe_50k.json"
+
+
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = near_dup.near_duplicates(docs, size=4, percent=80)
@@ -30,12 +40,25 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = public_tokenizers.path(PIECE_MODEL)
+    return pieces.decode(pieces.encode(docs, model, keep=["doc_id"]), model)
+
+
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chat.rotate(table(spark, sf_dir, "conversations"))
     spans = F.array_join(F.transform("mask", lambda s: F.concat_ws("-", s["start"], s["end"])), ",")
     return out.withColumn("mask", spans)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    model = language.train(docs.filter(~F.col("held_out")))
+    return language.predict(docs, model, keep=["doc_id", "held_out"]).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality.quality_rules(docs).select(
@@ -45,6 +68,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = licenses.scan_licenses(docs, keep=["doc_id"])
+    return out.select("doc_id", "n_matches", F.array_join("licenses", ",").alias("licenses"), F.round("best_score", 6).alias("best_score"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), keep=["doc_id"])
@@ -58,10 +87,22 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = new_folder(spark, "tokens")
+    manifest = token_files.write_tokens(docs, folder, public_tokenizers.path(BPE_VOCABULARY))
+    return token_files.read_tokens(manifest, folder)
+
+
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_url_filter": op3_url_filter,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_chat_rotation": op5_chat_rotation,
+    "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
+    "op10_token_files": op10_token_files,
 }
