@@ -48,6 +48,9 @@ RULES = (
     Rule("upper_case", "upper_ratio", None, 0.7),
 )
 
+METRICS = (
+    "n_words word_chars n_symbols n_dup_lines n_repeat_words mean_word_chars symbol_ratio exclaim_ratio stop_ratio upper_ratio dup_line_ratio"
+).split()
 BASE_MIN_WORDS = 50
 BASE_MAX_REPEAT_PERCENT = 50
 
@@ -139,8 +142,13 @@ def failed_rules(metrics: Column, rules: tuple[Rule, ...] = RULES) -> Column:
 
 def quality_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", out: str = "quality") -> DataFrame:
     """docs with a struct column `out`: the metrics, base_failed, failed (rule names) and kept."""
-    measured = docs.withColumn(out, measure(F.col(text)))
-    m = F.col(out)
-    base = (m["n_words"] < BASE_MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * m["n_words"])
-    judged = measured.withColumn(out, m.withField("base_failed", base).withField("failed", failed_rules(m, rules)))
-    return judged.withColumn(out, m.withField("kept", ~m["base_failed"] & (F.size(m["failed"]) == 0)))
+
+    def judged(m: Column) -> Column:
+        base = (m["n_words"] < BASE_MIN_WORDS) | (100 * m["n_repeat_words"] > BASE_MAX_REPEAT_PERCENT * m["n_words"])
+        failed = failed_rules(m, rules)
+        # one expression: a filter on the result evaluates the metrics once
+        return F.struct(
+            *(m[c].alias(c) for c in METRICS), base.alias("base_failed"), failed.alias("failed"), (~base & (F.size(failed) == 0)).alias("kept")
+        )
+
+    return docs.withColumn(out, let(measure(F.col(text)), judged))
