@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,37 @@ def ascii_lower(word: Column) -> Column:
     """Lower-cases A-Z only; other letters stay."""
     plain = F.octet_length(word) == F.length(word)
     return F.when(plain, F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
+
+
+#: Bytes of a column that a Python task turns into objects at once.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in pieces of about `size` bytes of a column, one row at least."""
+    for batch in batches:
+        sizes = batch.column(column).nbytes / max(1, batch.num_rows)
+        rows = max(1, int(size / max(1.0, sizes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+class Memo(dict):
+    """A bounded memory in two generations: what isn't used while one fills up is forgotten."""
+
+    def __init__(self, size: int) -> None:
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def recall(self, key):
+        """The value of a key that isn't in the young generation, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self[key] = value
+        return value
+
+    def age(self) -> None:
+        """To be called between pieces of work."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()

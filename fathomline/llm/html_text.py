@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 WINDOW = 3
 #: Window weight at which text surges on a page without article or main element.
 SURGE = 80
@@ -211,7 +213,7 @@ def main_text(html: str | None) -> str:
 
 
 def _extract(place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, place):
         texts = [main_text(h) for h in batch.column(place).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 THRESHOLD = 0.8
 WORD = re.compile(r"[^\W_]+")
 
@@ -101,7 +103,7 @@ _TYPE = pa.list_(pa.struct([("license", pa.string()), ("family", pa.string()), (
 def _scan(templates: tuple, threshold: float, place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = Templates(templates, threshold)
     keys = ("license", "family", "score", "line")
-    for batch in batches:
+    for batch in slices(batches, place):
         found = [[dict(zip(keys, m, strict=True)) for m in table.scan(t or "")] for t in batch.column(place).to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(found, _TYPE)], names=[*names, "matches"])
 

@@ -37,9 +37,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Memo, slices
+
 SPACE = "▁"
-#: Distinct parts, and pairs of pieces, that a worker remembers; beyond it starts anew.
-MEMO = 1 << 20
+#: Distinct parts that a worker remembers in a generation of its memory, and pairs of pieces until it starts anew.
+MEMO = 1 << 17
+PAIRS = 1 << 19
 #: A part of more letters is worked on but not remembered.
 LONG = 64
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -91,7 +94,9 @@ class Transducer:
             node[""] = piece
         self.pairs: dict[str, dict[str, bool]] = {"": {}}
         self.n_pairs = 0
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
+        #: No piece holds a line end, so parts may be cut there too.
+        self.lines = not any("\n" in p for p in self.lexicon)
 
     def merge(self, letters: str) -> list[str]:
         """Pieces of a few letters by the model's merge order: highest score first, then leftmost."""
@@ -109,7 +114,7 @@ class Transducer:
 
     def follows(self, p: str, q: str) -> bool:
         """Whether the arc q may follow p (p empty: begin a path); compiled when first asked."""
-        if self.n_pairs > MEMO:
+        if self.n_pairs > PAIRS:
             self.pairs, self.n_pairs = {"": {}}, 0
         known = self.merge(p + q) == ([p, q] if p else [q])
         self.pairs.setdefault(p, {})[q] = known
@@ -182,25 +187,25 @@ class Transducer:
         if not text:
             return b""
         memo = self.memo
-        if SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " and self.prefix:
-            parts = text.split(" ")  # each with a space before it
-        else:
-            parts = [p[1:] if p[0] == SPACE and p[1:2] != SPACE and len(p) > 1 else (" ", p) for p in PARTS.findall(self.prefix + text.replace(" ", SPACE))]
+        plain = SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " and self.prefix
+        if plain:
+            parts = (text.replace("\n", " \n") if self.lines else text).split(" ")  # with a space before it, or a line end
+        if not plain or "" in parts:
+            parts = [SPACE + p for p in PARTS.findall(self.prefix + text.replace(" ", SPACE))]  # marked as written out
         try:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
             pass
         out = []
         for p in parts:
-            ids = memo.get(p)
+            ids = memo.get(p) or memo.recall(p)
             if ids is None:
-                whole = SPACE + p if isinstance(p, str) else p[1]
+                whole = p[1:] if p[0] == SPACE else p if p[0] == "\n" and self.lines else SPACE + p
                 ids = self.part(whole)
                 if len(whole) <= LONG:
-                    if len(memo) > MEMO:
-                        memo.clear()
                     memo[p] = ids
             out.append(ids)
+        memo.age()
         return b"".join(out)
 
     def decode(self, ids: list[int]) -> str:
@@ -224,7 +229,7 @@ def _batch_lists(raw: list[bytes]) -> pa.Array:
 
 def _encode(path: str, place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = machine(path)
-    for batch in batches:
+    for batch in slices(batches, place):
         raw = [codec.encode(t or "") for t in batch.column(place).to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(n) for n in names), _batch_lists(raw), pa.array([len(r) // 4 for r in raw], pa.int64())], names=[*names, "ids", "n_ids"]
@@ -233,7 +238,7 @@ def _encode(path: str, place: int, names: list[str], batches: Iterator[pa.Record
 
 def _decode(path: str, place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = machine(path)
-    for batch in batches:
+    for batch in slices(batches, place):
         texts = [codec.decode(ids or []) for ids in batch.column(place).to_pylist()]
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 

@@ -2,4 +2,100 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from .chat import BLOCK, CLOSE, OPEN
+from .common import LOWER, UPPER
+from .decontaminate import WINDOW
+from .quality import RULES, STOP_WORDS
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+_LOWER = f"'{UPPER}', '{LOWER}'"
+
+_OP3 = rf"""
+WITH rules(host, path, verdict) AS (VALUES
+    ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+    ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')),
+p AS (SELECT page_id,
+    coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), {_LOWER}), '') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path,
+    row_number() OVER () AS rid FROM pages),
+fit AS (SELECT rid, r.host || r.path AS rule, r.verdict,
+    row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC, r.host || r.path DESC) AS k
+    FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM p LEFT JOIN fit ON p.rid = fit.rid AND k = 1"""
+
+_OP5 = f"""
+WITH said AS (SELECT conv_id, turn, turn // {BLOCK} AS part, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
+    FROM conversations),
+people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
+shown AS (SELECT s.*, perspective, speaker = perspective AS trained,
+    CASE WHEN speaker = 'system' THEN {_text(OPEN + 'system')} || chr(10)
+         WHEN speaker = perspective THEN {_text(OPEN + 'assistant')} || chr(10)
+         ELSE {_text(OPEN + 'user name=')} || speaker || chr(10) END AS head
+    FROM said s JOIN people USING (conv_id)),
+placed AS (SELECT *, length(head) + length(body) + {len(CLOSE)} AS size,
+    sum(length(head) + length(body) + {len(CLOSE)}) OVER w AS upto, row_number() OVER w AS place
+    FROM shown WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, body ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained,
+    sum(size)::BIGINT AS n_chars,
+    string_agg(head || body || {_text(CLOSE[:-1])} || chr(10), '' ORDER BY place) AS text,
+    coalesce(string_agg((upto - size + length(head))::BIGINT || '-' || (upto - {len(CLOSE)})::BIGINT, ',' ORDER BY place)
+        FILTER (WHERE trained), '') AS mask
+FROM placed GROUP BY conv_id, perspective, part"""
+
+
+def _rule_checks() -> str:
+    checks = []
+    for r in RULES:
+        bad = [f"{r.metric} < {r.low}"] * (r.low is not None) + [f"{r.metric} > {r.high}"] * (r.high is not None)
+        checks.append(f"CASE WHEN {' OR '.join(bad)} THEN '{r.name}' END")
+    return ", ".join(checks)
+
+
+_OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM d, unnest(range(1, len(w) - 1)) AS r(i)),
+twice AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS v(k) GROUP BY rid),
+m AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines,
+    coalesce(n, 0) AS n_repeat_words, len(regexp_extract_all(t, '!')) AS n_exclaim, len(ls) AS n_lines,
+    len(list_filter(w, lambda x: list_contains([{', '.join(map(_text, STOP_WORDS))}], lower(trim(x, '.,;:!?"''()'))))) AS n_stop,
+    len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x))) AS n_upper
+    FROM d LEFT JOIN covered USING (rid)),
+r AS (SELECT *, coalesce(word_chars / nullif(n_words, 0), 0) AS mean_word_chars, coalesce(n_symbols / nullif(n_words, 0), 0) AS symbol_ratio,
+    coalesce(n_exclaim / nullif(n_words, 0), 0) AS exclaim_ratio, coalesce(n_stop / nullif(n_words, 0), 0) AS stop_ratio,
+    coalesce(n_upper / nullif(n_words, 0), 0) AS upper_ratio, coalesce(n_dup_lines / nullif(n_lines, 0), 0) AS dup_line_ratio,
+    n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, list_filter([{_rule_checks()}], lambda x: x IS NOT NULL) AS failed FROM r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
+
+_WORDS = rf"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), lambda x: translate(x, {_LOWER}))"
+
+_OP9 = f"""
+WITH i AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS win FROM i, unnest(range(1, greatest(len(w) - {WINDOW} + 1, 1) + 1)) AS r(k)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+dw AS (SELECT rid, k, n, array_to_string(w[k:k + n - 1], ' ') AS win
+    FROM d, (SELECT DISTINCT n FROM iw) AS s, unnest(range(1, len(w) - n + 2)) AS r(k)),
+hit AS (SELECT rid, k, n, item_id FROM dw JOIN iw USING (n, win)),
+spots AS (SELECT rid, count(DISTINCT k + j) AS n_hit FROM (SELECT DISTINCT rid, k, n FROM hit), unnest(range(0, n)) AS r(j) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+    FROM (SELECT DISTINCT rid, item_id::VARCHAR AS item_id FROM hit) GROUP BY rid)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)"""
+
+ORACLE: dict[str, str] = {
+    "op3_url_filter": _OP3,
+    "op5_chat_rotation": _OP5,
+    "op7_quality_rules": _OP7,
+    "op9_decontaminate": _OP9,
+}

@@ -37,24 +37,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import written
+from .common import Memo, slices, written
 
 LENGTH = 2048
 BATCH_ROWS = 64
-#: Distinct chunks whose ids a worker keeps; beyond it starts anew.
-MEMO = 1 << 20
+#: Distinct chunks whose ids a worker keeps in a generation of its memory.
+MEMO = 300_000
 MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_rows bigint"
 
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, as little-endian uint32 bytes.
+    """Ids of whole texts by the tokenizers library, as bytes of little-endian integers of `kind`.
 
-    A byte-level pre-tokenizer starts a new token at every space that a
-    printing character follows, so a text is cut there, each distinct chunk is
-    encoded once and the ids are joined. Texts in which white space meets other
-    white space or a control character are encoded as a whole.
+    A byte-level pre-tokenizer starts a new token at a space or a line end
+    between printing characters, so a text is cut there, each distinct chunk
+    is encoded once and the ids are joined. Texts in which white space meets
+    other white space or a control character are encoded as a whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -67,41 +67,46 @@ class ChunkEncoder:
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.sizes[i] = len(token)
-        self.memo: dict[str, bytes] = {}
-
-    def __len__(self) -> int:
-        return len(self.sizes)
+        self.kind = np.dtype("<u2" if len(self.sizes) <= 1 << 16 else "<u4")
+        self.chunks = Memo(MEMO)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        """Encodes distinct chunks (each after a space) in a few long texts and cuts the ids at the chunks' bytes."""
+        """Encodes distinct chunks in a few long texts and cuts the ids at the chunks' bytes."""
         for at in range(0, len(chunks), 512):
             some = chunks[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.sizes[ids])
-            stops = np.cumsum([len(c.encode()) + 1 for c in some])
-            cuts = np.searchsorted(ends, stops) + 1
+            written_out = [c if c[0] == "\n" else " " + c for c in some]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(written_out)], add_special_tokens=False)[0].ids, self.kind)
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in written_out])) + 1
             raw, begin = ids.tobytes(), 0
-            for c, cut in zip(some, (cuts * 4).tolist(), strict=True):
-                self.memo[c] = raw[begin:cut]
+            for c, cut in zip(some, (cuts * self.kind.itemsize).tolist(), strict=True):
+                self.chunks[c] = raw[begin:cut]
                 begin = cut
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        words = set().union(*(p[1:] for p in parts)) if parts else set()
-        fresh = words.difference(self.memo)
-        odd = {w for w in fresh if not w or not w[0].isprintable() or w[0].isspace()}
+        self.chunks.age()
+        get, recall = self.chunks.get, self.chunks.recall
+        parts = [t.replace("\n", " \n").split(" ") for t in texts]
+        heads = [p.pop(0) for p in parts]
+        found = [list(map(get, p)) for p in parts]
+        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
+        fresh = {c for c in {p[i] for p, g in zip(parts, gaps, strict=True) for i in g} if recall(c) is None}
+        odd = {c for c in fresh if not _plain(c)}
         self._learn(list(fresh - odd))
-        out: list[bytes] = []
-        heads = self._whole([t if odd and not odd.isdisjoint(p[1:]) else p[0] for t, p in zip(texts, parts, strict=True)])
-        get = self.memo.__getitem__
-        for p, head in zip(parts, heads, strict=True):
-            out.append(head if odd and not odd.isdisjoint(p[1:]) else head + b"".join(map(get, p[1:])))
-        return out
+        for k, (p, f, g) in enumerate(zip(parts, found, gaps, strict=True)):
+            for i in g:
+                f[i] = get(p[i])
+            if odd and None in f:
+                heads[k], f[:] = texts[k], []
+        return [h + b"".join(f) for h, f in zip(self._whole(heads), found, strict=True)]
+
+
+def _plain(chunk: str) -> bool:
+    """Whether a chunk starts with a printing character, after a line end if there is one, and holds no other white space at its rim."""
+    body = chunk[1:] if chunk[:1] == "\n" else chunk
+    return bool(body) and body[0].isprintable() and not body[0].isspace() and body[-1].isprintable() and not body[-1].isspace()
 
 
 def encoder(path: str) -> ChunkEncoder:
@@ -129,7 +134,7 @@ class ShardWriter:
         self.held, self.n_held, self.n_ids, self.n_rows = [], 0, 0, 0
 
     def add(self, ids: np.ndarray) -> None:
-        self.held.append(ids.astype(self.kind))
+        self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
         full = self.length * BATCH_ROWS
@@ -163,20 +168,21 @@ def write_shard(folder: str, make: Callable[[], ChunkEncoder], end_id: int, leng
     shard, attempt = context.partitionId(), context.taskAttemptId()
     store, root = fs.FileSystem.from_uri(folder)
     codec, out, n_docs = make(), None, 0
-    kind = np.dtype(np.uint16 if max(len(codec), end_id + 1) <= 1 << 16 else np.uint32)
-    docs_file = None
-    for batch in batches:
+    kind, docs_file = codec.kind, None
+    for batch in slices(batches, 1):
         if out is None:
             store.create_dir(root, recursive=True)
             out = ShardWriter(store, f"{root}/.ids-{shard}-{attempt}", kind, length)
             docs_sink = store.open_output_stream(f"{root}/.docs-{shard}-{attempt}")
             docs_file = pa.ipc.new_file(docs_sink, DOCS)
         starts, counts = [], []
-        for raw in codec.encode([t or "" for t in batch.column(1).to_pylist()]):
-            ids = np.frombuffer(raw, "<u4")
-            starts.append(out.n_ids)
-            counts.append(len(ids) + 1)
-            out.add(np.append(ids, np.uint32(end_id)))
+        end, at = np.array([end_id], kind).tobytes(), out.n_ids
+        encoded = codec.encode([t or "" for t in batch.column(1).to_pylist()])
+        for raw in encoded:
+            starts.append(at)
+            counts.append(len(raw) // kind.itemsize + 1)
+            at += counts[-1]
+        out.add(np.frombuffer(end.join(encoded) + end, kind))
         docs_file.write_batch(pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64())], schema=DOCS))
         n_docs += batch.num_rows
     if out is not None:
