@@ -42,7 +42,9 @@ from .common import Memo, slices, written
 LENGTH = 2048
 BATCH_ROWS = 64
 #: Distinct chunks whose ids a worker keeps in a generation of its memory.
-MEMO = 300_000
+MEMO = 500_000
+#: Bytes of text that are encoded at once: the more, the fewer chunks are looked up again.
+ENCODE_BYTES = 6 << 20
 MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_rows bigint"
 
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
@@ -77,30 +79,29 @@ class ChunkEncoder:
         """Encodes distinct chunks in a few long texts and cuts the ids at the chunks' bytes."""
         for at in range(0, len(chunks), 512):
             some = chunks[at : at + 512]
-            written_out = [c if c[0] == "\n" else " " + c for c in some]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(written_out)], add_special_tokens=False)[0].ids, self.kind)
-            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum([len(w.encode()) for w in written_out])) + 1
-            raw, begin = ids.tobytes(), 0
-            for c, cut in zip(some, (cuts * self.kind.itemsize).tolist(), strict=True):
-                self.chunks[c] = raw[begin:cut]
-                begin = cut
+            begun = [c if c[0] == "\n" else " " + c for c in some]
+            text = "".join(begun)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            sizes = list(map(len, begun)) if text.isascii() else [len(c.encode()) for c in begun]
+            cuts = ((np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(sizes)) + 1) * self.kind.itemsize).tolist()
+            raw = ids.tobytes()
+            self.chunks.update(zip(some, [raw[i:j] for i, j in zip([0, *cuts], cuts)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.chunks.age()
-        get, recall = self.chunks.get, self.chunks.recall
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         heads = [p.pop(0) for p in parts]
-        found = [list(map(get, p)) for p in parts]
-        gaps = [[i for i, v in enumerate(f) if v is None] for f in found]
-        fresh = {c for c in {p[i] for p, g in zip(parts, gaps, strict=True) for i in g} if recall(c) is None}
+        recall = self.chunks.recall
+        fresh = [c for c in set().union(*parts).difference(self.chunks) if recall(c) is None]
         odd = {c for c in fresh if not _plain(c)}
-        self._learn(list(fresh - odd))
-        for k, (p, f, g) in enumerate(zip(parts, found, gaps, strict=True)):
-            for i in g:
-                f[i] = get(p[i])
-            if odd and None in f:
-                heads[k], f[:] = texts[k], []
-        return [h + b"".join(f) for h, f in zip(self._whole(heads), found, strict=True)]
+        self._learn([c for c in fresh if c not in odd] if odd else fresh)
+        if odd:
+            for k, p in enumerate(parts):
+                if not odd.isdisjoint(p):
+                    heads[k] = texts[k]
+                    p.clear()
+        get = self.chunks.__getitem__
+        return [h + b"".join(map(get, p)) for h, p in zip(self._whole(heads), parts, strict=True)]
 
 
 def _plain(chunk: str) -> bool:
@@ -169,7 +170,7 @@ def write_shard(folder: str, make: Callable[[], ChunkEncoder], end_id: int, leng
     store, root = fs.FileSystem.from_uri(folder)
     codec, out, n_docs = make(), None, 0
     kind, docs_file = codec.kind, None
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, ENCODE_BYTES):
         if out is None:
             store.create_dir(root, recursive=True)
             out = ShardWriter(store, f"{root}/.ids-{shard}-{attempt}", kind, length)
@@ -221,6 +222,7 @@ class ShardReader:
         self.length = self.file.schema.field("ids").type.list_size
         self.docs = pa.ipc.open_file(store.open_input_file(f"{root}/docs-{shard}.arrow"))
         self.at, self.batch = -1, None
+        self.wide_at, self.wide = -1, memoryview(b"")
 
     def _load(self, k: int) -> pa.RecordBatch:
         if self.at != k:
@@ -233,14 +235,16 @@ class ShardReader:
         row = n % BATCH_ROWS
         return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
 
-    def stream(self, start: int, count: int) -> Iterator[np.ndarray]:
-        """The count ids from place start of the shard, in pieces of one batch."""
+    def stream(self, start: int, count: int) -> Iterator[memoryview]:
+        """The count ids from place start of the shard as little-endian 32-bit integers, in pieces of one batch."""
         size = self.length * BATCH_ROWS
         while count > 0:
-            flat = self._load(start // size).column(0).flatten().to_numpy()
-            piece = flat[start % size : start % size + count]
+            if self.wide_at != start // size:
+                self.wide_at = start // size
+                self.wide = memoryview(self._load(self.wide_at).column(0).flatten().to_numpy().astype("<u4")).cast("B")
+            piece = self.wide[start % size * 4 : (start % size + count) * 4]
             yield piece
-            start, count = start + len(piece), count - len(piece)
+            start, count = start + len(piece) // 4, count - len(piece) // 4
 
 
 def read_shards(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +258,7 @@ def read_shards(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 for start, count in zip(rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
                     crc = 0
                     for piece in reader.stream(start, count):
-                        crc = zlib.crc32(piece.astype("<u4").tobytes(), crc)
+                        crc = zlib.crc32(piece, crc)
                     sums.append(crc)
                 starts = pa.array(np.asarray(rows.column(1)) + base, pa.int64())
                 yield pa.RecordBatch.from_arrays([rows.column(0), starts, rows.column(2), pa.array(sums, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
