@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, let
 
-#: Characters between words, as fixed by the contract of the words: ASCII other than letters and digits.
-NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters between words: ASCII other than letters and digits. Texts are split before A-Z become a-z, so both cases count.
+NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 MAX_KEYS = 500_000
 
@@ -154,8 +154,8 @@ def decontaminate(
 
 def remove_spans(text: Column, spans: Column) -> Column:
     """The text without the words of the given spans; what stands between words stays in place of them once."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    is_word = lambda p: ~p.rlike(r"^[\x00-\x2F\x3A-\x60\x7B-\x7F]")
+    pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
+    is_word = lambda p: ~p.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
     def cut(ps: Column) -> Column:
         # pieces alternate, so the number of a word follows from the piece's place

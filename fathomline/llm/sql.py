@@ -77,7 +77,7 @@ f AS (SELECT *, list_filter([{_rule_checks()}], lambda x: x IS NOT NULL) AS fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
 
-_WORDS = rf"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> ''), lambda x: translate(x, {_LOWER}))"
+_WORDS = rf"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> ''), lambda x: translate(x, {_LOWER}))"
 
 _OP9 = f"""
 WITH i AS (SELECT item_id, w, least(len(w), {WINDOW}) AS n FROM (SELECT item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
