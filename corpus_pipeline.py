@@ -56,8 +56,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_ids and the text decoded from the ids."""
-    model = public_tokenizers.path(PIECE_MODEL)
-    return pieces.decode(pieces.encode(docs, model, keep=["doc_id"]), model)
+    return pieces.encode_decode(docs, public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
 
 
 STAGES = [

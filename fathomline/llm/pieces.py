@@ -14,7 +14,8 @@ arcs are pieces; its tropical shortest path is the encoding.
   the machine when first met.
 
 No piece holds U+2581 after another letter, so paths of the parts that begin
-with it are independent: each distinct part is composed once and remembered.
+with it are independent, and so are paths on both sides of any two letters that
+stand together in no piece: each distinct part is composed once and remembered.
 
 Encoding and decoding are maps over whole texts: no shuffle, memory by text and
 by the bounded memory of parts (`MEMO`).
@@ -41,10 +42,11 @@ from .common import Memo, slices
 
 SPACE = "▁"
 #: Distinct parts that a worker remembers in a generation of its memory, and pairs of pieces until it starts anew.
-MEMO = 400_000
+MEMO = 600_000
 PAIRS = 1 << 19
 #: A part of more letters is worked on but not remembered.
 LONG = 64
+MARKS = ".,;:!?%#$&*|"
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 _MACHINES: dict[str, Transducer] = {}
@@ -95,7 +97,9 @@ class Transducer:
         self.pairs: dict[str, dict[str, bool]] = {"": {}}
         self.n_pairs = 0
         self.memo = Memo(MEMO)
-        #: No piece holds a line end, so parts may be cut there too.
+        self.tails: dict[str, bytes] = {}
+        #: Neighbouring letters inside pieces: between others no arc passes, and paths on both sides are independent.
+        self.joins = {p[k : k + 2] for p in self.lexicon for k in range(len(p) - 1)}
         self.lines = not any("\n" in p for p in self.lexicon)
 
     def merge(self, letters: str) -> list[str]:
@@ -142,17 +146,27 @@ class Transducer:
         last[0] = ""
         if self.bpe:
             # each place has one state of finite weight, that of the prefix's own encoding
+            trie, pairs = self.trie, self.pairs
             for at in range(n):
                 before = last[at]
                 if before is None:
                     continue
-                known = self.pairs.get(before, {})
-                for piece in self._arcs(part, at):
-                    end = at + len(piece)
-                    if last[end] is None:
-                        ok = known.get(piece)
-                        if ok or (ok is None and self.follows(before, piece)):
-                            last[end] = piece
+                known = pairs.get(before) or {}
+                node, end, single = trie, at, False
+                while end < n:
+                    node = node.get(part[end])
+                    if node is None:
+                        break
+                    end += 1
+                    piece = node.get("")
+                    if piece is not None:
+                        single |= end == at + 1
+                        if last[end] is None:
+                            ok = known.get(piece)
+                            if ok or (ok is None and self.follows(before, piece)):
+                                last[end] = piece
+                if not single and last[at + 1] is None and self.follows(before, part[at]):
+                    last[at + 1] = part[at]
         else:
             weights = [0.0] + [inf] * n
             worst = min(self.scores) - 10.0
@@ -200,14 +214,30 @@ class Transducer:
         for p in parts:
             ids = memo.get(p) or memo.recall(p)
             if ids is None:
-                whole = p[1:] if p[0] == SPACE else p if p[0] == "\n" and self.lines else SPACE + p
-                ids = self.part(whole)
-                if len(whole) <= LONG:
+                ids = self._new(p)
+                if len(p) <= LONG:
                     memo[p] = ids
             out.append(ids)
         memo.age()
         return b"".join(out)
 
+    def _new(self, p: str) -> bytes:
+        """Ids of a part that isn't remembered; a word's punctuation is taken apart from it where no piece joins them."""
+        root = p.rstrip(MARKS)
+        if root and root != p and root[-1] != SPACE and root[-1] + p[len(root)] not in self.joins:
+            head = self.memo.get(root) or self.memo.recall(root)
+            if head is None:
+                head = self._new(root)
+                if len(root) <= LONG:
+                    self.memo[root] = head
+            tail = self.tails.get(p[len(root) :])
+            if tail is None:
+                tail = self.part(p[len(root) :])
+                if len(self.tails) < 10_000:
+                    self.tails[p[len(root) :]] = tail
+            return head + tail
+        return self.part(p[1:] if p[0] == SPACE else p if p[0] == "\n" and self.lines else SPACE + p)
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no text become U+FFFD."""
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
@@ -243,6 +273,17 @@ def _decode(path: str, place: int, names: list[str], batches: Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "decoded"])
 
 
+def _both(path: str, place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = machine(path)
+    for batch in slices(batches, place):
+        raw = [codec.encode(t or "") for t in batch.column(place).to_pylist()]
+        texts = [codec.decode(np.frombuffer(r, "<i4").tolist()) for r in raw]
+        yield pa.RecordBatch.from_arrays(
+            [*(batch.column(n) for n in names), _batch_lists(raw), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(texts, pa.string())],
+            names=[*names, "ids", "n_ids", "decoded"],
+        )
+
+
 def _map(df: DataFrame, column: str, job, made: str, results: tuple[str, ...], keep: list[str] | None) -> DataFrame:
     names = [c for c in keep or df.columns if c not in results]
     read = df.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(names)), F.col(column).alias("_in"))
@@ -260,3 +301,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | No
 def decode(tokens: DataFrame, model: str, ids: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """tokens (or its columns `keep`) with the decoded text."""
     return _map(tokens, ids, partial(_decode, model), "decoded string", ("decoded",), keep)
+
+
+def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """encode and decode in one pass over the texts: docs (or its columns `keep`) with ids, n_ids and decoded."""
+    return _map(docs, text, partial(_both, model), "ids array<int>, n_ids bigint, decoded string", ("ids", "n_ids", "decoded"), keep)

@@ -42,8 +42,7 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = public_tokenizers.path(PIECE_MODEL)
-    return pieces.decode(pieces.encode(docs, model, keep=["doc_id"]), model)
+    return pieces.encode_decode(docs, public_tokenizers.path(PIECE_MODEL), keep=["doc_id"])
 
 
 def op5_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
