@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import search
+from .plans import extraction, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (search,):
+for _module in (search, extraction):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
