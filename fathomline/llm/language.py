@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Labelled documents of one language that are read for training, and code points of each.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
@@ -40,7 +42,7 @@ SMOOTHING = 2.0
 PENALTY = 6.0
 ROUNDS = 12
 #: Code points worked on at once.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 Model = tuple[tuple[str, ...], tuple[str, ...], bytes, bytes]  # languages, letters, places (int32), counts (float32)
 
@@ -195,7 +197,7 @@ def identify(model: Model, texts: list[str]) -> list[tuple[str, float, list[floa
 
 
 def _predict(model: Model, place: int, names: list[str], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, place):
         texts = [t or "" for t in batch.column(place).to_pylist()]
         found: list[tuple[str, float, list[float]]] = []
         at = 0
