@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import extraction, indexing, search
+from .plans import extraction, indexing, linking, retrieval, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (search, extraction, indexing):
+for _module in (search, extraction, indexing, linking, retrieval):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
