@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import extraction, governance, indexing, linking, retrieval, search
+from .plans import documents, extraction, governance, indexing, linking, retrieval, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (search, extraction, indexing, linking, retrieval, governance):
+for _module in (search, extraction, indexing, linking, retrieval, governance, documents):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
