@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import slices, written
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -82,7 +82,7 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def sketch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """SKETCH rows of (doc_id, text) batches; empty sets have nulls for set_id, bands and sig."""
-    for batch in batches:
+    for batch in slices(batches, 1):
         sets = list(shingle_sets(batch.column(1), size))
         full = [i for i, s in enumerate(sets) if len(s)]
         sig = signatures([sets[i] for i in full])
@@ -231,7 +231,7 @@ def confirm_blocks(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -
         return x
 
     comp: dict[int, int] = {}
-    for batch in batches:
+    for batch in slices(batches, 5):
         bx, by, role, node, component = (batch.column(k).to_pylist() for k in range(5))
         fingerprints = shingle_sets(batch.column(5), size)
         left, right = [], []
@@ -255,7 +255,7 @@ def confirm_blocks(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -
 def confirm(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed (a, b) from rows (a, salt, role, id, text) sorted so that the shared side (role 0) comes first."""
     key, shared = None, []
-    for batch in batches:
+    for batch in slices(batches, 4):
         a, salt, role, ids = (batch.column(k).to_pylist() for k in range(4))
         left, right = [], []
         for k, s in enumerate(shingle_sets(batch.column(4), size)):

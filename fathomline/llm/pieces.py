@@ -42,7 +42,7 @@ from .common import Memo, slices
 
 SPACE = "▁"
 #: Distinct parts that a worker remembers in a generation of its memory, and pairs of pieces until it starts anew.
-MEMO = 400_000
+MEMO = 250_000
 PAIRS = 1 << 19
 #: A part of more letters is worked on but not remembered.
 LONG = 64
