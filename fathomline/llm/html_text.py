@@ -45,11 +45,12 @@ BLOCKS = set(
     "table tbody td tfoot th thead tr ul caption button label".split()
 )
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
+ITEMS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 EXCLUDED = set("nav footer aside form button select menu head dialog header".split())
 #: Words of class, id or role that mark an excluded element.
 MARKS = set(
-    "ad ads advert adverts advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar "
+    "ad ads adv advert adverts adbox announcement advertisement advertising adsense adslot banner sponsor sponsored promo promotion sidebar "
     "nav navbar navigation menu breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus "
     "share sharing social related recommended recommendations pagination pager toolbar widget widgets search skip "
@@ -60,8 +61,8 @@ OUTER_MARKS = {"header", "side"}
 #: A name with one of these words tells of something elsewhere, as in `has-sidebar`.
 ABOUT = {"has", "with", "no", "without"}
 
-TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
-LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*+)>")
+TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
+LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|aria-hidden|hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 WORD = re.compile(r"[a-z]+")
 
@@ -100,6 +101,7 @@ def lines_of(html: str, lone: frozenset[int] = frozenset()) -> list[tuple[str, i
     links = heading = once = 0
     excluded = article = 0
     at, end = 0, len(html)
+    last_tag = html.rfind(">")  # no tag begins after it
 
     def flush() -> None:
         nonlocal links, once
@@ -130,7 +132,7 @@ def lines_of(html: str, lone: frozenset[int] = frozenset()) -> list[tuple[str, i
             close = html.find(">", lt)
             at = end if close < 0 else close + 1
             continue
-        m = TAG.match(html, lt) or LOOSE_TAG.match(html, lt)
+        m = (TAG.match(html, lt) or LOOSE_TAG.match(html, lt)) if lt < last_tag else None
         if not m:
             parts.append("<")
             at = lt + 1
@@ -158,6 +160,17 @@ def lines_of(html: str, lone: frozenset[int] = frozenset()) -> list[tuple[str, i
             continue
         if tag in VOID:
             continue
+        if tag in BLOCKS and stack:
+            # a block ends an open paragraph, and an item the item before it
+            k = len(stack) - 1
+            while k > 0 and stack[k][0] not in BLOCKS:
+                k -= 1
+            if stack[k][0] == "p" or (stack[k][0] in ITEMS and tag in ITEMS[stack[k][0]]):
+                for t, x, a, _ in stack[k:]:
+                    excluded -= x
+                    article -= a
+                    heading -= t in HEADINGS
+                del stack[k:]
         if tag == "a":
             in_link += 1
         elif tag in BLOCKS or attributes:

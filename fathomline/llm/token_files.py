@@ -42,9 +42,9 @@ from .common import Memo, slices, written
 LENGTH = 2048
 BATCH_ROWS = 64
 #: Distinct chunks whose ids a worker keeps in a generation of its memory.
-MEMO = 500_000
+MEMO = 1_000_000
 #: Bytes of text that are encoded at once: the more, the fewer chunks are looked up again.
-ENCODE_BYTES = 6 << 20
+ENCODE_BYTES = 8 << 20
 MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_rows bigint"
 
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
@@ -70,7 +70,7 @@ class ChunkEncoder:
         for token, i in vocab.items():
             self.sizes[i] = len(token)
         self.kind = np.dtype("<u2" if len(self.sizes) <= 1 << 16 else "<u4")
-        self.chunks = Memo(MEMO)
+        self.chunks, self.heads = Memo(MEMO), Memo(MEMO // 10)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -89,19 +89,23 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         self.chunks.age()
+        self.heads.age()
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
-        heads = [p.pop(0) for p in parts]
+        firsts = [p.pop(0) for p in parts]
         recall = self.chunks.recall
         fresh = [c for c in set().union(*parts).difference(self.chunks) if recall(c) is None]
         odd = {c for c in fresh if not _plain(c)}
         self._learn([c for c in fresh if c not in odd] if odd else fresh)
+        new = [h for h in set(firsts).difference(self.heads) if self.heads.recall(h) is None]
+        self.heads.update(zip(new, self._whole(new), strict=True))
+        heads = [self.heads[h] for h in firsts]
         if odd:
-            for k, p in enumerate(parts):
-                if not odd.isdisjoint(p):
-                    heads[k] = texts[k]
-                    p.clear()
+            whole = [k for k, p in enumerate(parts) if not odd.isdisjoint(p)]
+            for k, ids in zip(whole, self._whole([texts[k] for k in whole]), strict=True):
+                heads[k] = ids
+                parts[k].clear()
         get = self.chunks.__getitem__
-        return [h + b"".join(map(get, p)) for h, p in zip(self._whole(heads), parts, strict=True)]
+        return [h + b"".join(map(get, p)) for h, p in zip(heads, parts, strict=True)]
 
 
 def _plain(chunk: str) -> bool:

@@ -42,6 +42,11 @@ def test_main_text_without_article_element():
     assert text.startswith("Title Paragraph number 0") and text.endswith("does. Tiny.") and "Home" not in text and "About" not in text
 
 
+def test_a_block_ends_an_open_paragraph():
+    page = "<article><h1>Top</h1><p class=ad>no<p>One<p class='notice'><span class=x>no<div>Two</div><ul><li class=ad>no<li>Three</ul></article>"
+    assert html_text.main_text(page) == "Top One Two Three"
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<a b='", "</p></div>", "<script>x", "<!-- x", "&#xD800; &bogus; &#0;", "<div class=ad>x", "a<b" * 5000, "<div>" * 20000 + "deep"])
 def test_main_text_never_fails(html):
     assert isinstance(html_text.main_text(html), str)
