@@ -75,16 +75,16 @@ def package_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mermaid_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("n_nationkey").cast("string")
+    n = F.col("p_partkey").cast("string")
     text = F.concat(F.lit("text\n```mermaid\ngraph TD\nA"), n, F.lit(" --> B\nB --> C\n```\nmore\n```mermaid\nunknown "), n, F.lit("\n```\n```mermaid\nsequenceDiagram\nA->>B: x\n```"))
-    return D.mermaid(read(spark, sf_dir, "nation").select("n_nationkey", text.alias("content"))).select("n_nationkey", "pos", "kind", "n_arrows")
+    return D.mermaid(read(spark, sf_dir, "part").select("p_partkey", text.alias("content"))).select("p_partkey", "pos", "kind", "n_arrows")
 
 
 def vocabulary_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dictionary constants of the nations' files: number of terms, the first by name."""
-    text = F.concat(F.lit("const STATUS_"), F.upper(F.regexp_replace("n_name", "[^A-Za-z]", "_")), F.lit(" = {ACTIVE: 'a', CLOSED: '"), "n_name", F.lit("'};\nconst ONE = {ONLY: 'x'};"))
-    terms = D.vocabulary(read(spark, sf_dir, "nation").select("n_nationkey", F.regexp_replace(text, "[0-9]", "_").alias("content")))
-    return terms.groupBy("n_nationkey").agg(F.countDistinct("name").alias("n_names"), F.count("*").alias("n_terms"), F.max("term").alias("last_term"))
+    """Dictionary constants of the parts' files: number of terms, the last by name."""
+    text = F.concat(F.lit("const STATUS_"), F.upper(F.regexp_replace("p_brand", "[^A-Za-z]", "_")), F.lit(" = {ACTIVE: 'a', CLOSED: '"), "p_type", F.lit("'};\nconst ONE = {ONLY: 'x'};"))
+    terms = D.vocabulary(read(spark, sf_dir, "part").select("p_partkey", F.regexp_replace(text, "[0-9]", "_").alias("content")))
+    return terms.groupBy("p_partkey").agg(F.countDistinct("name").alias("n_names"), F.count("*").alias("n_terms"), F.max("term").alias("last_term"))
 
 
 def method_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,8 +222,8 @@ ORACLE = {
     "package_manifests": """SELECT p_partkey, NULL AS package, 'parse_error' AS kind, '' AS name, '' AS value FROM part WHERE p_partkey % 10 = 0
         UNION ALL SELECT p_partkey, p_name, 'dependencies', 'lib-b', '^1.0' FROM part WHERE p_partkey % 10 <> 0
         UNION ALL SELECT p_partkey, p_name, 'dependencies', 'lib-' || p_size, '2.0' FROM part WHERE p_partkey % 10 <> 0""",
-    "mermaid_blocks": "SELECT n_nationkey, 0 AS pos, 'graph' AS kind, 2 AS n_arrows FROM nation UNION ALL SELECT n_nationkey, 2, 'sequenceDiagram', 1 FROM nation",
-    "vocabulary_terms": "SELECT n_nationkey, 1 AS n_names, 2 AS n_terms, 'CLOSED' AS last_term FROM nation",
+    "mermaid_blocks": "SELECT p_partkey, 0 AS pos, 'graph' AS kind, 2 AS n_arrows FROM part UNION ALL SELECT p_partkey, 2, 'sequenceDiagram', 1 FROM part",
+    "vocabulary_terms": "SELECT p_partkey, 1 AS n_names, 2 AS n_terms, 'CLOSED' AS last_term FROM part",
     "method_windows": with_sql(
         f"WITH {_LINES} SELECT file_id, 'handlePart' || file_id AS name, 3 AS start_line, 7 AS end_line, string_agg(text, chr(10) ORDER BY line) AS content FROM l WHERE line BETWEEN 3 AND 7 GROUP BY file_id"
     ),

@@ -40,11 +40,13 @@ def registry_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _registry(spark, sf_dir).select("name", "kind")
-    regions = read(spark, sf_dir, "nation").filter("n_nationkey % 3 = 0").select(
-        F.lower("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "changed").alias("kind"), (F.col("n_nationkey") % 9 == 0).alias("deleted")
+    """Customers as entries after changes: debtors change their kind, those of one segment go."""
+    c = read(spark, sf_dir, "customer")
+    base = c.select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("kind"))
+    changes = c.filter("c_acctbal < 0 OR c_mktsegment = 'BUILDING'").select(
+        F.lower("c_name").alias("name"), F.when(F.col("c_acctbal") < 0, "debtor").alias("kind"), (F.col("c_mktsegment") == "BUILDING").alias("deleted")
     )
-    return G.upsert_entries(base, regions)
+    return G.upsert_entries(base, changes)
 
 
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,8 +196,7 @@ ORACLE = {
         """WITH e AS (SELECT DISTINCT 'repo-' || s_suppkey % 60 AS repo FROM supplier), i AS (SELECT DISTINCT repo FROM edges)
         SELECT coalesce(e.repo, i.repo) AS repo, CASE WHEN e.repo IS NULL THEN 'extra' WHEN i.repo IS NULL THEN 'missing' ELSE 'covered' END AS status FROM e FULL JOIN i ON e.repo = i.repo"""
     ),
-    "registry_upsert": f"""WITH {_R}, c AS (SELECT lower(n_name) AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'changed' END AS kind, n_nationkey % 9 = 0 AS deleted FROM nation WHERE n_nationkey % 3 = 0)
-        SELECT r.name, coalesce(c.kind, r.kind) AS kind FROM r LEFT JOIN c ON lower(r.name) = c.name WHERE NOT coalesce(deleted, false)""",
+    "registry_upsert": """SELECT c_name AS name, CASE WHEN c_acctbal < 0 THEN 'debtor' ELSE c_mktsegment END AS kind FROM customer WHERE c_mktsegment <> 'BUILDING'""",
     "path_rules": with_sql(
         """SELECT rule, count(*) AS n FROM files, (VALUES ('src/brand_11/**', '^src/brand_11/'), ('src/*/part7.ts', '^src/[^/]*/part7[.]ts$'), ('src/brand_12', '^src/brand_12(/|$)')) AS v(rule, re)
         WHERE regexp_matches(path, re) GROUP BY rule"""
