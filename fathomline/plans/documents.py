@@ -153,10 +153,16 @@ def confidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def section_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the same document folder as an anchor (ids divisible by 50), the anchor's own file left out: their number."""
-    c = load(spark, sf_dir, "chunks").select("chunk_id", "repo", "branch", "path")
-    anchors = c.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("anchor"), "repo", "branch", F.col("path").alias("own"))
-    return c.join(anchors, ["repo", "branch"]).filter("path <> own").groupBy("anchor").agg(F.count("*").alias("n"), F.min("chunk_id").alias("first"))
+    """For every file the chunks of its folder's other files: their number and the first.
+
+    Counts of files and folders are joined instead of chunks with chunks, so a large folder stays linear.
+    """
+    files = load(spark, sf_dir, "chunks").groupBy("repo", "branch", "path").agg(F.count("*").alias("own"), F.min("chunk_id").alias("first_own"))
+    w = Window.partitionBy("repo", "branch").orderBy("first_own", "path")
+    two = files.withColumn("k", F.row_number().over(w)).filter("k <= 2").groupBy("repo", "branch").agg(F.max(F.when(F.col("k") == 1, F.col("path"))).alias("lead"), F.min("first_own").alias("first"), F.max("first_own").alias("second"))
+    folders = files.groupBy("repo", "branch").agg(F.sum("own").alias("total")).join(two, ["repo", "branch"])
+    joined = files.join(folders, ["repo", "branch"]).filter(F.col("total") > F.col("own"))
+    return joined.select("repo", "branch", "path", (F.col("total") - F.col("own")).alias("n"), F.when(F.col("path") == F.col("lead"), F.col("second")).otherwise(F.col("first")).alias("first"))
 
 
 def feedback_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -243,7 +249,8 @@ ORACLE = {
         count(*) AS n FROM chunks GROUP BY 1"""
     ),
     "section_siblings": with_sql(
-        "SELECT a.chunk_id AS anchor, count(*) AS n, min(c.chunk_id) AS first FROM chunks a JOIN chunks c USING (repo, branch) WHERE a.chunk_id % 50 = 0 AND c.path <> a.path GROUP BY 1"
+        """SELECT a.repo, a.branch, a.path, count(*) AS n, min(c.chunk_id) AS first FROM (SELECT DISTINCT repo, branch, path FROM chunks) a JOIN chunks c ON a.repo = c.repo AND a.branch = c.branch AND a.path <> c.path
+        GROUP BY ALL"""
     ),
     "feedback_recent": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM events QUALIFY k <= 5",
     "collect_hints": with_sql(
