@@ -78,3 +78,22 @@ def one_per_role(rows: DataFrame, keys: list[str], role: Column, order: list[str
     """The first row of each role."""
     w = Window.partitionBy(*keys, "role").orderBy(*order)
     return rows.withColumn("role", role).filter("role IS NOT NULL").withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+
+
+def compact(ranked: DataFrame, keys: list[str], item: str, text: Column, most: int, contained: int = 160) -> DataFrame:
+    """Items in order of rank, each unless it equals an item chosen before it or one holds the other (both of `contained`
+    characters or more, normalised); the first `most`. A fold over the ranked list of a key, which the search has bounded.
+    """
+    rows = ranked.select(*keys, F.struct("rank", F.col(item).alias("item"), T.normalize(text).alias("text")).alias("x"))
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list("x")).alias("xs"))
+
+    def near(a: Column, b: Column) -> Column:
+        long = (F.length(a) >= contained) & (F.length(b) >= contained)
+        return (a == b) | (long & (a.contains(b) | b.contains(a)))
+
+    chosen = F.aggregate(
+        "xs",
+        F.slice("xs", 1, 0),
+        lambda acc, x: F.when((F.size(acc) < most) & ~F.exists(acc, lambda a: near(a["text"], x["text"])), F.concat(acc, F.array(x))).otherwise(acc),
+    )
+    return listed.select(*keys, F.posexplode(chosen).alias("_p", "c")).select(*keys, F.col("c.item").alias(item), (F.col("_p") + 1).alias("place"))

@@ -62,6 +62,12 @@ def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.union_by_priority(lists, ["question_id"], "doc", 8)
 
 
+def compacted_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 results without near copies of better ones, the first five."""
+    rows = _with_text(spark, sf_dir, bm25_topk(spark, sf_dir))
+    return R.compact(rows, ["question_id"], "doc", F.col("content"), 5)
+
+
 def mirror_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk of each normalised text."""
     chunks = load(spark, sf_dir, "chunks").select("chunk_id", "content")
@@ -83,7 +89,7 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, exact_term_rerank, repo_diversity, hybrid_union, mirror_dedup, sources_by_role, question_intents)}
+QUERIES = {f.__name__: f for f in (bm25_topk, exact_term_rerank, repo_diversity, hybrid_union, compacted_context, mirror_dedup, sources_by_role, question_intents)}
 
 _EXACT = f"""ex AS (SELECT question_id, doc, (list_sum(list_transform(terms, lambda t: CASE WHEN list_contains({_TOKENS.format('content')}, t) THEN 4.0 WHEN contains(lower(content), t) THEN 1.0 ELSE 0.0 END))
  + coalesce(list_sum(list_transform(range(1, len(terms)), lambda i: CASE WHEN contains(lower(content), terms[i] || ' ' || terms[i + 1]) THEN 12.0 ELSE 0.0 END)), 0))::DOUBLE AS score
@@ -101,6 +107,14 @@ ORACLE = {
         o AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY question_id, doc ORDER BY prio, pos) = 1)
         SELECT question_id, doc, prio, row_number() OVER (PARTITION BY question_id ORDER BY prio, pos, doc) AS rank FROM o QUALIFY rank <= 8"""
     ),
+    "compacted_context": with_sql(
+        f"""WITH {_BM25}, c AS (SELECT question_id, rank, doc, lower(trim(regexp_replace(content, '[ \n\t\r]+', ' ', 'g'))) AS t FROM top JOIN chunks ON chunk_id = doc),
+        fold AS (SELECT question_id, 1 AS k, [{{'doc': doc, 't': t}}] AS s FROM c WHERE rank = 1
+         UNION ALL SELECT fold.question_id, k + 1, CASE WHEN len(s) < 5 AND len(list_filter(s, lambda a: a.t = c.t OR (length(a.t) >= 160 AND length(c.t) >= 160 AND (contains(a.t, c.t) OR contains(c.t, a.t))))) = 0
+          THEN list_append(s, {{'doc': c.doc, 't': c.t}}) ELSE s END FROM fold JOIN c ON c.question_id = fold.question_id AND c.rank = k + 1),
+        e AS (SELECT question_id, s FROM fold QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY k DESC) = 1)
+        SELECT question_id, s[i].doc AS doc, i AS place FROM e, unnest(range(1, len(s) + 1)) AS r(i)"""
+    ).replace("WITH chunks AS", "WITH RECURSIVE chunks AS"),
     "mirror_dedup": with_sql("SELECT min(chunk_id) AS chunk_id FROM chunks GROUP BY lower(trim(regexp_replace(content, '[ \n\t\r]+', ' ', 'g')))"),
     "sources_by_role": with_sql(
         """SELECT branch, role, min(chunk_id) AS chunk_id FROM (SELECT *, CASE WHEN length(content) < 200 THEN 'short' WHEN length(content) < 2000 THEN 'medium' ELSE 'long' END AS role FROM chunks) GROUP BY ALL"""
