@@ -1,8 +1,8 @@
 """Language identification as multilingual mixture inference.
 
 Training: letter trigrams with word borders are counted with Spark over a
-bounded sample of labelled documents, at most `SAMPLE_DOCS` a language, chosen
-by a hash of their id. The counts (bounded by the alphabet) give each language
+bounded sample of labelled documents, `SAMPLE_DOCS` a language by expectation,
+chosen by a hash of their id against a threshold from the language's count. The counts (bounded by the alphabet) give each language
 a smoothed letter model.
 
 Inference: every word of a text has a likelihood under each language. The
@@ -28,14 +28,16 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
 
-#: Labelled documents of one language that are read for training, and code points of each.
+#: Labelled documents of one language that are read for training (expected number), and code points of each.
 SAMPLE_DOCS = 400
 SAMPLE_CHARS = 20_000
+#: More labels than this are refused; their counts go to every task.
+MAX_LANGUAGES = 10_000
 #: Letters with a place of their own in the model; rarer ones share one.
 ALPHABET = 94
 SMOOTHING = 2.0
@@ -95,13 +97,16 @@ def _index(alphabet: tuple[str, ...]) -> np.ndarray:
 
 def train(docs: DataFrame, lang: str = "lang", text: str = "text", id_col: str = "doc_id") -> Model:
     """The model of the labelled documents given; null labels and texts are skipped."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang")).filter(F.col("lang").isNotNull() & F.col("id").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = known.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE_DOCS).select("id").distinct()
+    labelled = docs.filter(F.col(lang).isNotNull() & F.col(id_col).isNotNull())
+    counts = labelled.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    if counts.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} labels")
+    place = F.xxhash64(id_col) / F.lit(2.0**64) + 0.5  # even over 0 to 1
     sample = (
-        docs.select(F.col(id_col).alias("id"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
-        .filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .join(F.broadcast(ids), "id", "left_semi")  # at most SAMPLE_DOCS ids a language
+        labelled.filter(F.col(text).isNotNull())
+        .select(place.alias("place"), F.col(lang).alias("lang"), F.substring(text, 1, SAMPLE_CHARS).alias("text"))
+        .join(F.broadcast(counts), "lang")
+        .filter(F.col("place") < SAMPLE_DOCS / F.col("n"))
         .select("lang", "text")
         .persist()
     )
