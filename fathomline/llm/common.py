@@ -71,6 +71,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYT
         rows = max(1, int(size / max(1.0, sizes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+        pa.default_memory_pool().release_unused()  # a worker lives on between stages
 
 
 class Memo(dict):
