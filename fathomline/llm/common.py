@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,12 +61,29 @@ def ascii_lower(word: Column) -> Column:
     return F.when(plain, F.lower(word)).otherwise(F.translate(word, UPPER, LOWER))
 
 
+#: What to call when a worker is used for another stage: it lives on between stages, its memories shouldn't.
+FORGET: list[Callable[[], None]] = []
+_STAGE: list[int | None] = [None]
+
+
+def new_stage() -> None:
+    """Empties the registered memories of this worker if its last task was of another stage."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _STAGE[0]:
+        _STAGE[0] = stage
+        for forget in FORGET:
+            forget()
+        pa.default_memory_pool().release_unused()
+
+
 #: Bytes of a column that a Python task turns into objects at once.
 SLICE_BYTES = 2 << 20
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in pieces of about `size` bytes of a column, one row at least."""
+    new_stage()
     for batch in batches:
         sizes = batch.column(column).nbytes / max(1, batch.num_rows)
         rows = max(1, int(size / max(1.0, sizes)))

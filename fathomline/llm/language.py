@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import FORGET, slices
 
 #: Labelled documents of one language that are read for training (expected number), and code points of each.
 SAMPLE_DOCS = 400
@@ -147,6 +147,9 @@ def tables(model: Model) -> tuple[np.ndarray, np.ndarray]:
     return _index(alphabet), np.log(p3).reshape(size**3, k).astype(np.float32)
 
 
+FORGET.append(tables.cache_clear)
+
+
 def _mix(likelihood: np.ndarray, starts: np.ndarray, sizes: np.ndarray, shares: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Shares after expectation maximisation and the log-likelihood of each document."""
     for _ in range(ROUNDS):

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, slices
+from .common import FORGET, Memo, new_stage, slices
 
 SPACE = "▁"
 #: Distinct parts that a worker remembers in a generation of its memory, and pairs of pieces until it starts anew.
@@ -50,6 +50,7 @@ MARKS = ".,;:!?%#$&*|"
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 _MACHINES: dict[str, Transducer] = {}
+FORGET.append(_MACHINES.clear)
 
 
 class Transducer:
@@ -246,6 +247,7 @@ class Transducer:
 
 def machine(path: str) -> Transducer:
     """The worker's machines of a model file."""
+    new_stage()
     if path not in _MACHINES:
         _MACHINES[path] = Transducer(path)
     return _MACHINES[path]

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
+from .common import FORGET
+
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]  # A-Z count as a-z
@@ -33,6 +35,9 @@ class Powers:
     """Powers of the hash base and of its inverse, grown on demand."""
 
     def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
         self.up, self.down = _powers(_BASE, 1), _powers(_BASE_INVERSE, 1)
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -42,6 +47,7 @@ class Powers:
 
 
 _POWERS = Powers()
+FORGET.append(_POWERS.forget)
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

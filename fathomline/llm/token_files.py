@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Memo, slices, written
+from .common import FORGET, Memo, new_stage, slices, written
 
 LENGTH = 2048
 BATCH_ROWS = 64
@@ -48,6 +48,7 @@ ENCODE_BYTES = 8 << 20
 MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_rows bigint"
 
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
+FORGET.append(_TOKENIZERS.clear)
 
 
 class ChunkEncoder:
@@ -116,6 +117,7 @@ def _plain(chunk: str) -> bool:
 
 def encoder(path: str) -> ChunkEncoder:
     """The worker's encoder of a vocabulary file."""
+    new_stage()
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = ChunkEncoder(path)
     return _TOKENIZERS[path]
