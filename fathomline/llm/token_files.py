@@ -197,7 +197,10 @@ def write_shard(folder: str, make: Callable[[], ChunkEncoder], end_id: int, leng
         docs_file.close()
         docs_sink.close()
         for what in ("ids", "docs"):
-            store.move(f"{root}/.{what}-{shard}-{attempt}", f"{root}/{what}-{shard}.arrow")
+            place = f"{root}/{what}-{shard}.arrow"
+            if store.get_file_info(place).type != fs.FileType.NotFound:  # an earlier attempt's, with the same content
+                store.delete_file(place)
+            store.move(f"{root}/.{what}-{shard}-{attempt}", place)
         yield pa.RecordBatch.from_arrays(
             [pa.array([x], t) for x, t in ((shard, pa.int32()), (n_docs, pa.int64()), (out.n_ids, pa.int64()), (out.n_rows, pa.int64()))],
             names=["shard", "n_docs", "n_ids", "n_rows"],
