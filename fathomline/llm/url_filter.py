@@ -26,8 +26,8 @@ from pyspark.sql.window import Window
 
 from .common import ascii_lower
 
-#: Rule lists beyond this are refused: every bucket holds one copy.
-MAX_RULES = 1_000_000
+#: Rule lists beyond this are refused: every bucket holds a copy of the list, so its size times the buckets is sorted.
+MAX_RULES = 100_000
 
 END = "\u0001"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
