@@ -183,7 +183,7 @@ def pack(docs: DataFrame, size: int = 1500, content: str = "content") -> DataFra
     """
     rest = [c for c in docs.columns if c != content]
     step = lambda acc, x: F.when(
-        (F.size(acc["done"]) + F.length(acc["open"]) > 0) & (F.length(acc["open"]) + 1 + F.length(x) <= size) & acc["begun"],
+        acc["begun"] & (F.length(acc["open"]) + 1 + F.length(x) <= size),
         F.struct(acc["done"].alias("done"), F.concat(acc["open"], F.lit("\n"), x).alias("open"), F.lit(True).alias("begun")),
     ).otherwise(
         F.struct(F.when(acc["begun"], F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), x.alias("open"), F.lit(True).alias("begun"))
