@@ -5,6 +5,7 @@ from __future__ import annotations
 from .chat import BLOCK, CLOSE, OPEN
 from .common import LOWER, UPPER
 from .decontaminate import WINDOW
+from .licenses import TEMPLATES, THRESHOLD
 from .quality import RULES, STOP_WORDS
 
 
@@ -77,6 +78,21 @@ f AS (SELECT *, list_filter([{_rule_checks()}], lambda x: x IS NOT NULL) AS fail
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND len(failed) = 0 AS kept, array_to_string(failed, ',') AS failed_rules FROM f"""
 
+_UNITS = "CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END"
+_OP8 = rf"""
+WITH tw AS (SELECT name, regexp_extract_all(lower(t), '[\p{{L}}\p{{N}}]+') AS w FROM (VALUES {', '.join(f"({_text(n)}, {_text(t)})" for n, _, t in TEMPLATES)}) AS v(name, t)),
+tb AS (SELECT name, {_UNITS} AS b FROM tw),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+u AS (SELECT rid, unnest(string_split(t, chr(10))) AS x, generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d
+    UNION ALL SELECT rid, t, 0 FROM d WHERE contains(t, chr(10))),
+uw AS (SELECT rid, k, regexp_extract_all(lower(x), '[\p{{L}}\p{{N}}]+') AS w FROM u),
+ub AS (SELECT rid, k, {_UNITS} AS a FROM uw WHERE len(w) > 0),
+s AS (SELECT rid, k, name, 2 * len(list_intersect(a, b)) / (len(a) + len(b)) AS score FROM ub, tb
+    WHERE len(a) <= len(b) * (2 - {THRESHOLD}) / {THRESHOLD} + 1e-9 AND len(a) >= len(b) * {THRESHOLD} / (2 - {THRESHOLD}) - 1e-9),
+best AS (SELECT * FROM s WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY rid, k ORDER BY score DESC, name) = 1),
+g AS (SELECT rid, count(*) AS n, string_agg(DISTINCT name, ',' ORDER BY name) AS names, max(score) AS top FROM best GROUP BY rid)
+SELECT doc_id, coalesce(n, 0) AS n_matches, coalesce(names, '') AS licenses, round(coalesce(top, 0), 6)::DOUBLE AS best_score FROM d LEFT JOIN g USING (rid)"""
+
 _WORDS = rf"list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> ''), lambda x: translate(x, {_LOWER}))"
 
 _OP9 = f"""
@@ -97,5 +113,6 @@ ORACLE: dict[str, str] = {
     "op3_url_filter": _OP3,
     "op5_chat_rotation": _OP5,
     "op7_quality_rules": _OP7,
+    "op8_license_scan": _OP8,
     "op9_decontaminate": _OP9,
 }
