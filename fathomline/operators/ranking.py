@@ -27,7 +27,8 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, t
     sizes = docs.select(*(F.size(T.tokens(F.coalesce(x, F.lit("")))).alias(name) for name, (x, _) in fields.items()))
     stats = sizes.agg(F.count("*").alias("n"), *(F.avg(F.nullif(F.col(name), F.lit(0))).alias(f"avg_{name}") for name in fields))
     hit = index.join(asked.select("term").distinct(), "term", "left_semi")
-    df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
+    # reads all columns of the postings, so both uses share one exchange
+    df = hit.groupBy("field", "term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("len") > 0), 1)).alias("df"))
     boost = F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, (_, w) in fields.items()))
     mean = F.coalesce(*(F.when(F.col("field") == name, F.col(f"avg_{name}")) for name in fields))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
