@@ -57,14 +57,15 @@ class ChunkEncoder:
     A byte-level pre-tokenizer starts a new token at a space or a line end
     between printing characters, so a text is cut there, each distinct chunk
     is encoded once and the ids are joined. Texts in which white space meets
-    other white space or a control character are encoded as a whole.
+    other white space or a control character are encoded as a whole, as are
+    texts that hold the string of an added token, which the library cuts first.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocab = self.tokenizer.get_vocab()
         # each character of a byte-level token stands for one byte
         self.sizes = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -91,6 +92,11 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         self.chunks.age()
         self.heads.age()
+        cut = [k for k, t in enumerate(texts) if any(map(t.__contains__, self.added))]
+        if cut:
+            own = dict(zip(cut, self._whole([texts[k] for k in cut]), strict=True))
+            rest = iter(self.encode([t for k, t in enumerate(texts) if k not in own]))
+            return [own[k] if k in own else next(rest) for k in range(len(texts))]
         parts = [t.replace("\n", " \n").split(" ") for t in texts]
         firsts = [p.pop(0) for p in parts]
         recall = self.chunks.recall
