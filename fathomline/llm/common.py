@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -23,11 +25,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    Only a session on one machine (master local) may go without: it gets a temporary folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fathomline-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,13 +45,92 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written inside `scratch`, innermost block last.
+_OPEN: list[list[tuple[SparkSession, str]]] = []
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage ends here and lost executors cost one reread."""
     path = new_folder(df.sparkSession, what)
+    if _OPEN:
+        _OPEN[-1].append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Deletes the tables written inside once the block ends; yields a `written` whose tables outlive it."""
+    _OPEN.append([])
+
+    def lasting(df: DataFrame, what: str) -> DataFrame:
+        out = written(df, what)
+        mine = _OPEN[-1].pop()
+        if len(_OPEN) > 1:
+            _OPEN[-2].append(mine)
+        return out
+
+    try:
+        yield lasting
+    finally:
+        for spark, path in _OPEN.pop():
+            discard(spark, path)
+
+
+#: Rows of one key that a task may get before a join splits the key.
+HOT = 20_000
+#: So many hot keys at most go to every executor (two to four numbers each).
+MAX_HOT = 200_000
+
+
+def hot_keys(rows: DataFrame, keys: list[str], weight: Column | None = None, least: int = HOT) -> tuple[DataFrame, int]:
+    """(keys, n) of the keys with more than a bound of rows (or weight), and that bound; 0 if there are none.
+
+    The bound is `least`, raised until at most MAX_HOT keys are above it, so the table may be broadcast.
+    """
+    n = (F.count(F.lit(1)) if weight is None else F.sum(weight)).alias("n")
+    found = rows.groupBy(*keys).agg(n).filter(F.col("n") > least)
+    size = found.count()
+    if size:
+        found = written(found, "hot")
+    while size > MAX_HOT:
+        least *= 8
+        found = found.filter(F.col("n") > least)
+        size = found.count()
+    return found, least if size else 0
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner", least: int = HOT, rows: int | None = None
+) -> DataFrame:
+    """left joined with right on keys (null-safe); a key with many rows of left is dealt over tasks by column `by`.
+
+    The rows of right with such a key are copied once for every share. `by` has to vary among the rows of a key.
+    rows: the number of rows of left, if known; no key can be hot in a small table.
+    """
+    hot, bound = hot_keys(left, keys, least=least) if rows is None or rows > least else (left, 0)
+    twin = {k: f"_right_{k}" for k in keys}
+    kept = [*left.columns, *(c for c in right.columns if c not in keys)]
+    right = right.withColumnsRenamed(twin)
+    shares = bound > 0
+    if shares:
+        hot = F.broadcast(hot.select(*(F.col(k).alias(f"_hot_{k}") for k in keys), F.ceil(F.col("n") / bound).alias("_shares")))
+        n = F.coalesce("_shares", F.lit(1))
+        meets = lambda side: reduce(lambda x, y: x & y, (F.col(side.get(k, k)).eqNullSafe(F.col(f"_hot_{k}")) for k in keys))
+        left = left.join(hot, meets({}), "left").select(*left.columns, F.pmod(F.xxhash64(by), n).alias("_share"))
+        right = right.join(hot, meets(twin), "left").select(
+            *right.columns, F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)).alias("_part")
+        )
+    on = reduce(lambda x, y: x & y, (F.col(k).eqNullSafe(F.col(t)) for k, t in twin.items()))
+    return left.join(right, on & (F.col("_share") == F.col("_part")) if shares else on, how).select(*kept)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row, however often a lambda inside body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import spread_join, written
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -21,12 +21,13 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component")),
         "labels",
     )
+    rows = both.count()
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        near = spread_join(both, labels.select(F.col("node").alias("b"), "component"), ["b"], by="a", rows=rows).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
         lower = labels.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("component"))
         up = labels.select(F.col("node").alias("component"), F.col("component").alias("top"))
         jumped = written(
-            lower.join(up, "component", "left").select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")),
+            spread_join(lower, up, ["component"], by="node", how="left", rows=rows).select("node", "was", F.least("component", F.coalesce("top", "component")).alias("component")),
             "labels",
         )
         labels = jumped.select("node", "component")

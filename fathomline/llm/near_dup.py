@@ -6,24 +6,29 @@
    two texts share no band is (1 - 0.8^4)^32 = 5e-8.
 2. Classes: texts with the same set are one class from here on, named by its
    smallest doc_id, so exact copies never make pairs.
-3. Candidates: in every band bucket each class meets the bucket's smallest
-   class, a number of pairs linear in the bucket. After these links are known,
-   only classes of a bucket that are still in different components meet each
-   other: their signatures in parts of `BLOCK` classes, and the full sets of
-   pairs that survive in text blocks of `TEXT_BLOCK` classes, where a pair that
-   is joined meanwhile is skipped. Pairs travel packed by block and only links
-   leave a block. No link between different texts is lost to a cap.
+3. Candidates: the leader of a band bucket is the class whose buckets are the
+   largest together, so in a group of near copies the text they come from. In
+   every bucket each class meets the leader, a number of pairs linear in the
+   bucket; then, `ROUNDS` times, the classes that are still apart meet a leader
+   of their own. What is apart after that is compared in full, so no link is
+   lost: signatures in parts of `BLOCK` classes, and the full sets of survivors
+   in text blocks of about `TEXT_SHINGLES` shingles, where a pair that is joined
+   meanwhile is skipped. Pairs travel packed by block and only links leave a block.
 4. Sequential Bayesian verification: signature bytes are compared in batches
    of 16. With a uniform prior, a pair is pruned as soon as the posterior
-   probability that its similarity reaches the threshold is below `MISS`.
+   probability that its similarity reaches the threshold is below `miss`.
 5. Exact verification: survivors are confirmed on the full shingle sets,
    recomputed from the text. The shared side of a star is read once a group of
    at most `STAR` partners, so a hub is salted over tasks.
 6. Components: the smallest doc_id reachable over confirmed links.
 
+Joins on a bucket, a leader or a hub split hot keys (common.spread_join).
+Tables written on the way are deleted, but for the three the result reads.
+
 Defined cases: null or empty text and text without words has an empty set and
 links with nothing, copies of it neither; a text of fewer words than a shingle
-is one shingle; rows that share a doc_id count as one document; rows without a
+is one shingle; a very long text costs memory by its own length in the task
+that holds it; rows that share a doc_id count as one document; rows without a
 doc_id are returned unjudged (n_shingles and component_id null, kept false); an
 empty table gives an empty table. Other columns stay; result columns replace columns of the
 same name.
@@ -41,16 +46,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import scratch, slices, spread_join, written
 from .components import components
 from .shingles import mix, shingle_sets
 
 BANDS, ROWS = 32, 4
 SIZE = BANDS * ROWS
 BATCH = 16
+#: Chance to prune a pair that reaches the threshold, after each batch.
 MISS = 1e-6
-BLOCK = 2048
-TEXT_BLOCK = 128
+ROUNDS = 2
+BLOCK = 512
+TEXT_SHINGLES = 1 << 18
 STAR = 128
 #: A table of ids goes to every executor only up to so many rows (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -141,9 +148,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), SIZE)
 
 
-def prune(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def prune(percent: int, miss: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(a, b) of the rows (a, b, sig_a, sig_b) that may reach the threshold."""
-    bounds = least_matches(percent)
+    bounds = least_matches(percent, miss)
     for batch in batches:
         if batch.num_rows:
             keep = plausible(_matrix(batch.column(2)), _matrix(batch.column(3)), bounds)
@@ -177,35 +184,34 @@ def _groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[list[lis
 PAIRS = "bx bigint, by bigint, a array<bigint>, b array<bigint>"
 
 
-def block_pairs(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def block_pairs(percent: int, miss: float, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """PAIRS rows, plausible pairs of different components by the text blocks (bx <= by) that hold them.
 
     Takes sorted rows (bucket, i, j, node, component, part, text_block, sig): all classes of parts i and j of a bucket.
     """
-    bounds = least_matches(percent)
+    bounds = least_matches(percent, miss)
     for _, i, j, node, component, part, text_block, sig in _groups(batches, 3):
-        nodes, comps, parts, homes = (np.array(x) for x in (node, component, part, text_block))
+        nodes, comps, parts, homes = (np.array(x, np.int64) for x in (node, component, part, text_block))
         sigs = np.frombuffer(b"".join(sig), np.uint8).reshape(-1, SIZE)
         left = np.flatnonzero(parts == i[0])
         right = left if i[0] == j[0] else np.flatnonzero(parts == j[0])
-        found: dict[tuple[int, int], tuple[list, list]] = {}
+        firsts, seconds = [], []
         for x in left:
             ys = right[(comps[right] != comps[x]) & ((nodes[right] > nodes[x]) if i[0] == j[0] else True)]
             if len(ys):
                 ys = ys[plausible(np.broadcast_to(sigs[x], (len(ys), SIZE)), sigs[ys], bounds)]
-            for y in ys:
-                u, v = (x, y) if homes[x] <= homes[y] else (y, x)
-                pair = found.setdefault((int(homes[u]), int(homes[v])), ([], []))
-                pair[0].append(int(nodes[u]))
-                pair[1].append(int(nodes[v]))
-        if found:
+                swap = homes[ys] < homes[x]
+                firsts.append(np.where(swap, ys, x))
+                seconds.append(np.where(swap, x, ys))
+        u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, seconds))
+        if len(u):
+            order = np.lexsort((homes[v], homes[u]))
+            u, v = u[order], v[order]
+            bx, by = homes[u], homes[v]
+            begin = np.flatnonzero(np.concatenate(([True], (bx[1:] != bx[:-1]) | (by[1:] != by[:-1]))))
+            cuts = pa.array(np.append(begin, len(u)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([k[0] for k in found], pa.int64()),
-                    pa.array([k[1] for k in found], pa.int64()),
-                    pa.array([v[0] for v in found.values()], pa.list_(pa.int64())),
-                    pa.array([v[1] for v in found.values()], pa.list_(pa.int64())),
-                ],
+                [pa.array(bx[begin]), pa.array(by[begin]), *(pa.ListArray.from_arrays(cuts, pa.array(nodes[k])) for k in (u, v))],
                 names=["bx", "by", "a", "b"],
             )
 
@@ -270,6 +276,11 @@ def confirm(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
 
 
+def _join(left: DataFrame, right: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """spread_join of a written table, whose size is known at once."""
+    return spread_join(left, right, keys, by, how, rows=left.count())
+
+
 def _small(ids: DataFrame) -> DataFrame:
     """ids, broadcast if the table is within BROADCAST_IDS."""
     return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
@@ -285,36 +296,47 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> D
     pairs = written(pairs, "survivors")
     degree = pairs.groupBy("a").agg(F.count("*").alias("n"))
     salted = written(
-        pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).alias("salt")), "salted"
+        _join(pairs, degree, ["a"], by="b").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR)).alias("salt")), "salted"
     )
     found = _texts_of(salted.select("a").union(salted.select("b")).select(F.col("a").alias("doc_id")), texts)
-    right = salted.join(found, salted["b"] == found["doc_id"]).select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "text")
-    left = salted.select("a", "salt").distinct().join(found, F.col("a") == found["doc_id"]).select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "text")
+    right = _join(salted, found.withColumnRenamed("doc_id", "b"), ["b"], by="a").select("a", "salt", F.lit(1).alias("role"), F.col("b").alias("id"), "text")
+    hubs = written(salted.select("a", "salt").distinct(), "hubs")
+    left = _join(hubs, found.withColumnRenamed("doc_id", "a"), ["a"], by="salt").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("id"), "text")
     stars = left.union(right).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return written(stars.mapInArrow(partial(confirm, size, percent), "a bigint, b bigint").distinct(), "links")
 
 
-def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between classes that share a bucket and are still in different components, the bucket's leader apart."""
-    rest = members.filter("node <> leader").join(labels, "node", "left").select(
-        "bucket", "leader", "node", "n", F.coalesce("component", "node").alias("component")
-    )
-    split = rest.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    apart = written(rest.join(split, "bucket"), "apart")
-    # texts are dealt in blocks of classes that share a leader
-    home = apart.groupBy("node").agg(F.min("leader").alias("home"), F.first("component").alias("component"))
-    crowd = home.groupBy("home").agg(F.count("*").alias("size"))
-    homes = written(
-        home.join(crowd, "home").select(
-            "node", "component", F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TEXT_BLOCK))).alias("text_block")
-        ),
-        "homes",
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, node, weight, component) of the buckets whose classes are in more than one component."""
+    known = _join(members, labels, ["node"], by="bucket", how="left").select(
+        "bucket", "node", "weight", F.coalesce("component", "node").alias("component")
     )
+    split = known.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    return written(spread_join(known, split.select("bucket", "n"), ["bucket"], by="node"), "apart")
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each bucket's weightiest class and every class of another component."""
+    first = F.struct("weight", (-F.col("node")).alias("last"), "component")
+    leaders = members.groupBy("bucket").agg(F.max(first).alias("top"))
+    met = _join(members, leaders, ["bucket"], by="node").filter(F.col("component") != F.col("top.component"))
+    a = -F.col("top.last")
+    return met.select(a.alias("a"), F.col("node").alias("b")).distinct()
+
+
+def _rest(apart: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
+    """Links between classes that share a bucket and are still in different components."""
+    # texts are dealt in blocks of classes that share a bucket
+    home = apart.groupBy("node").agg(F.min("bucket").alias("home"), F.first("component").alias("component"))
+    home = written(home.join(nodes.select("node", "n_shingles", "sig"), "node"), "home")
+    crowd = home.groupBy("home").agg(F.sum("n_shingles").alias("size"))
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TEXT_SHINGLES)))
+    homes = written(_join(home, crowd, ["home"], by="node").select("node", "component", "sig", block.alias("text_block")), "homes")
     width = F.ceil(F.col("n") / BLOCK)
     dealt = (
-        apart.select("bucket", "node", width.alias("width"), F.pmod(F.xxhash64("node"), width).alias("part"))
-        .join(homes, "node")
-        .join(nodes.select("node", "sig"), "node")
+        spread_join(
+            apart.select("bucket", "node", width.alias("width"), F.pmod(F.xxhash64("node"), width).alias("part")), homes, ["node"], by="bucket"
+        )
         .withColumn(
             "ij",
             F.explode(
@@ -328,57 +350,76 @@ def _rest(members: DataFrame, labels: DataFrame, nodes: DataFrame, texts: DataFr
         .repartition("bucket", "i", "j")
         .sortWithinPartitions("bucket", "i", "j")
     )
-    pairs = written(dealt.mapInArrow(partial(block_pairs, percent), PAIRS), "pairs")
+    pairs = written(dealt.mapInArrow(partial(block_pairs, percent, miss), PAIRS), "pairs")
     met = pairs.select("bx", "by").distinct()
     sides = met.select("bx", "by", F.explode(F.array_distinct(F.array("bx", "by"))).alias("text_block"))
+    homes = homes.drop("sig")
     found = _texts_of(sides.select("text_block").distinct().join(homes, "text_block").select(F.col("node").alias("doc_id")), texts)
-    role_texts = (
-        sides.join(homes, "text_block")
-        .join(found, F.col("node") == found["doc_id"])
-        .select("bx", "by", F.lit(0).alias("role"), "node", "component", "text", F.lit(None).cast("array<bigint>").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
-    )
+    role_texts = spread_join(
+        spread_join(sides, homes, ["text_block"], by="bx"), found.withColumnRenamed("doc_id", "node"), ["node"], by="bx"
+    ).select("bx", "by", F.lit(0).alias("role"), "node", "component", "text", F.lit(None).cast("array<bigint>").alias("a"), F.lit(None).cast("array<bigint>").alias("b"))
     none = F.lit(None).cast("bigint")
     role_pairs = pairs.select("bx", "by", F.lit(1).alias("role"), none.alias("node"), none.alias("component"), F.lit(None).cast("string").alias("text"), "a", "b")
     blocks = role_texts.union(role_pairs).repartition("bx", "by").sortWithinPartitions("bx", "by", "role")
     return written(blocks.mapInArrow(partial(confirm_blocks, size, percent), "a bigint, b bigint").distinct(), "links")
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with n_shingles, component_id and kept (one document of each component)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    sketches = written(texts.mapInArrow(partial(sketch, size), SKETCH), "sketches")
-    named = sketches.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
-    nodes = written(
-        named.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes"
-    )
-    banded = nodes.select(F.explode("bands").alias("bucket"), "node")
-    buckets = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1")
-    members = written(banded.join(buckets, "bucket"), "members")
-
-    def tested(pairs: DataFrame) -> DataFrame:
-        a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
-        b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
-        signed = pairs.join(b, "b").join(a, "a").select("a", "b", "sig_a", "sig_b")
-        return signed.mapInArrow(partial(prune, percent), "a bigint, b bigint")
-
-    stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = _confirmed(tested(stars), texts, size, percent)
-    labels = components(links)
+def near_duplicates(
+    docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", miss: float = MISS, rounds: int = ROUNDS
+) -> DataFrame:
+    """docs with n_shingles, component_id and kept (one document of each component).
 
-    more = _rest(members, labels, nodes, texts, size, percent)
-    if more.limit(1).count():
-        labels = components(links.union(more))
+    miss: chance to lose a link at each batch of the verification; rounds: rounds of stars before the rest is compared in blocks.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with scratch() as lasting:
+        sketches = lasting(texts.mapInArrow(partial(sketch, size), SKETCH), "sketches")
+        named = sketches.filter(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull())
+        nodes = lasting(
+            named.groupBy("set_id").agg(
+                F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")
+            ),
+            "nodes",
+        )
+        banded = nodes.select(F.explode("bands").alias("bucket"), "node")
+        buckets = banded.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
+        members = written(spread_join(banded, buckets, ["bucket"], by="node"), "members")
+        # a class is the more central the larger its buckets are together
+        weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
+        apart = written(
+            members.join(weights, "node").select("bucket", "node", "weight", F.col("node").alias("component")), "weighted"
+        )
+        members = apart.drop("component")
+
+        def tested(pairs: DataFrame) -> DataFrame:
+            a = nodes.select(F.col("node").alias("a"), F.col("sig").alias("sig_a"))
+            b = nodes.select(F.col("node").alias("b"), F.col("sig").alias("sig_b"))
+            signed = spread_join(_join(pairs, b, ["b"], by="a"), a, ["a"], by="b").select("a", "b", "sig_a", "sig_b")
+            return signed.mapInArrow(partial(prune, percent, miss), "a bigint, b bigint")
+
+        links = labels = None
+        for _ in range(rounds):
+            found = _confirmed(tested(written(_stars(apart), "stars")), texts, size, percent)
+            links = found if links is None else links.union(found)
+            labels = components(links)
+            apart = _apart(members, labels)
+            if not apart.limit(1).count():
+                break
+        else:
+            links = links.union(_rest(apart, nodes, texts, size, percent, miss))
+            labels = components(links)
+        labels = lasting(labels, "labels")
 
     classes = nodes.select("set_id", "node").join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     # two documents of one id are one: its smallest component holds for all its rows
     per_doc = (
-        named.select("doc_id", "set_id").join(classes, "set_id").groupBy("doc_id").agg(F.min("component").alias("component_id"))
+        spread_join(named.select("doc_id", "set_id"), classes, ["set_id"], by="doc_id").groupBy("doc_id").agg(F.min("component").alias("component_id"))
     )
     counts = sketches.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"))
     found = counts.join(per_doc, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     rest_cols = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
-    found = found.withColumnRenamed("doc_id", "_doc")
-    joined = docs.select(*rest_cols).join(found, F.col(id_col).cast("long") == F.col("_doc"), "left")
+    key = "_key_" + "_".join(rest_cols)  # a name that no column has
+    joined = docs.select(*rest_cols).join(found.withColumnRenamed("doc_id", key), F.col(id_col).cast("long") == F.col(key), "left")
     return joined.select(
         *rest_cols,
         "n_shingles",
