@@ -1,19 +1,26 @@
-"""URL filters as a sort-merge range join over reversed-host keys.
+"""URL filters as a sort-merge range join over canonical keys.
 
-A host becomes the key of its labels in reverse order, each closed by U+0001:
-`m.example.com` is `com<1>example<1>m<1>`. A rule for a host then covers one
-interval of keys, intervals of two rules are nested or disjoint, and the rules
-active at a key are those of the last rule host at or before it, as far as they
-cover the key. Each rule host carries that stack, so the sweep over the sorted
-union of rules and URLs needs only "the last stack seen" and drops what has
-ended. The longest rule whose path starts the URL's path wins.
+The canonical key of a rule is its host's labels in reverse order, each closed
+by U+0001, then U+0002 and its path: `m.example.com` with `/en/` is
+`com<1>example<1>m<1><2>/en/`. With U+0002 after the host a rule covers exactly
+the keys that begin with its own, one interval, and intervals of two rules are
+nested or disjoint. A URL is looked up once for each of the hosts that enclose
+it and have rules, as `<that host><2><path>`.
 
-The sweep runs in buckets dealt by row number, so a hot host or URL is spread
-evenly; each bucket gets a copy of the rule hosts, whose number is checked
-(`MAX_RULES`). One shuffle of the URL keys, no broadcast, no user function.
+The sweep runs over the sorted union of rules and URL keys. A rule opens with
+the stack of the rules around it, so the stack at a URL key is the last one
+opened, and the topmost rule on it that still covers the key is the best of its
+host; the longest of all hosts wins.
+
+Equal (host, path) pairs are looked up once. The sweep's buckets are hosts: a
+host with more than `SHARE` keys is dealt over several buckets, each with a copy
+of that host's rules only, so neither a hot host nor a list of any length ends
+up in one task. No user function; only hosts too hot for a task are broadcast.
 
 Defined cases: a null URL or one without `://` has an empty host and path and
-matches nothing; repeated rows are judged alike; without rules all URLs get the
+matches nothing; a very long URL is a key like any other; of rules of one
+length, which differ in where host and path meet, the one with the greater text wins, then the greater verdict;
+repeated rows are judged alike; without rules all URLs get the
 default verdict; an empty table gives an empty table. The four result columns
 replace columns of the same name in the input, other columns stay.
 """
@@ -24,13 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import ascii_lower
-
-#: Rule lists beyond this are refused: every bucket holds a copy of the list, so its size times the buckets is sorted.
-MAX_RULES = 100_000
+from .common import ascii_lower, hot_keys, spread_join
 
-END = "\u0001"
+END, PATH = "\u0001", "\u0002"
 URL_PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+#: Keys of one host in a bucket of the sweep.
+SHARE = 100_000
 
 
 def host_of(url: Column) -> Column:
@@ -48,62 +54,63 @@ def host_key(host: Column) -> Column:
     )
 
 
+def enclosing(key: Column) -> Column:
+    """The keys of a host key's own host and of all hosts around it."""
+    labels = F.split(key, END)
+    return F.when(key == "", F.array().cast("array<string>")).otherwise(
+        F.transform(F.sequence(F.lit(1), F.size(labels) - 1), lambda i: F.concat(F.array_join(F.slice(labels, 1, i), END), F.lit(END)))
+    )
+
+
 def rule_stacks(rules: DataFrame) -> DataFrame:
-    """(key, stack): for each rule host, the rules of it and of the hosts that enclose it."""
-    one = rules.select(host_key(ascii_lower(F.col("host"))).alias("key"), "path", "rule", "verdict").distinct()
-    hosts = one.select("key").distinct()
-    labels = F.split(F.col("key"), END)
-    enclosing = hosts.select(
-        "key",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size(labels) - 1),
-                lambda i: F.concat(F.array_join(F.slice(labels, 1, i), END), F.lit(END)),
-            )
-        ).alias("outer_key"),
+    """(host_key, path, stack): for each rule, the rules of its host whose paths begin its own, the longest last."""
+    ranked = rules.select(host_key(ascii_lower(F.col("host"))).alias("host_key"), "path", "rule", "verdict")
+    best = F.max(F.struct(F.length("rule").alias("n"), "rule", "verdict")).alias("best")
+    one = ranked.groupBy("host_key", "path").agg(best)
+    prefixes = one.select(
+        "host_key", "path", F.explode(F.transform(F.sequence(F.lit(0), F.length("path")), lambda n: F.left(F.col("path"), n))).alias("outer_path")
     )
-    outer = one.withColumnRenamed("key", "outer_key")
+    outer = one.select("host_key", F.col("path").alias("outer_path"), "best")
     return (
-        enclosing.join(outer, "outer_key")
-        .groupBy("key")
-        .agg(F.collect_list(F.struct(F.col("outer_key").alias("key"), "path", "rule", "verdict")).alias("stack"))
+        prefixes.join(outer, ["host_key", "outer_path"])
+        .groupBy("host_key", "path")
+        .agg(F.sort_array(F.collect_list(F.struct(F.length("outer_path").alias("size"), F.col("outer_path").alias("path"), "best"))).alias("stack"))
+    )
+
+
+def lookups(places: DataFrame, rules: DataFrame, share: int) -> DataFrame:
+    """(host, path, best) of the distinct (host, path) that a rule covers."""
+    stacks = rule_stacks(rules)
+    probes = places.select("host", "path", F.explode(enclosing(host_key(F.col("host")))).alias("host_key"))
+    probes = spread_join(probes, stacks.select("host_key").distinct(), ["host_key"], by="path", least=share)
+    hot, bound = hot_keys(probes, ["host_key"], least=share)
+    if bound:
+        shares = F.broadcast(hot.select("host_key", F.ceil(F.col("n") / bound).alias("shares")))
+        probes = probes.join(shares, "host_key", "left").withColumn("share", F.pmod(F.xxhash64("host", "path"), F.coalesce("shares", F.lit(1))))
+        last = F.coalesce(F.col("shares"), F.lit(1)).cast("long") - 1
+        stacks = stacks.join(shares, "host_key", "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    else:
+        probes, stacks = probes.withColumn("share", F.lit(0).cast("long")), stacks.withColumn("share", F.lit(0).cast("long"))
+    key = F.concat("host_key", F.lit(PATH), "path").alias("key")
+    union = (
+        probes.select("host_key", "share", key, F.lit(1).alias("kind"), "host", "path")
+        .unionByName(stacks.select("host_key", "share", key, F.lit(0).alias("kind"), "stack"), allowMissingColumns=True)
     )
+    sweep = Window.partitionBy("host_key", "share").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = union.withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter(F.col("kind") == 1)
+    active = F.filter("stack", lambda r: F.startswith(F.col("path"), r["path"]))
+    top = F.element_at(active, -1)["best"]
+    return swept.filter(F.size(active) > 0).groupBy("host", "path").agg(F.max(top).alias("best"))
 
 
-def url_filter(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", buckets: int | None = None) -> DataFrame:
+def url_filter(urls: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", share: int = SHARE) -> DataFrame:
     """urls with host, path, rule and verdict. rules: (host, path, rule, verdict)."""
-    spark = urls.sparkSession
-    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules: split the list")
-    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    keyed = urls.select(
-        F.struct(*rest).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path")
-    ).select(
-        F.pmod(F.monotonically_increasing_id(), F.lit(n)).alias("bucket"),
-        host_key(F.col("host")).alias("key"),
-        F.lit(1).alias("kind"),
-        "row",
-        "host",
-        "path",
-    )
-    opened = rule_stacks(rules).select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("bucket"), "key", F.lit(0).alias("kind"), "stack"
-    )
-    sweep = Window.partitionBy("bucket").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    swept = (
-        keyed.unionByName(opened, allowMissingColumns=True)
-        .withColumn("stack", F.last("stack", ignorenulls=True).over(sweep))
-        .filter(F.col("kind") == 1)
-    )
-    fits = F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"]) & F.startswith(F.col("path"), r["path"]))
-    best = F.array_max(
-        F.transform(
-            fits,
-            lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict")),
-        )
-    )
-    return swept.withColumn("best", best).select(
+    keyed = urls.select(F.struct(*rest).alias("row"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    found = lookups(keyed.select("host", "path").distinct(), rules, share)
+    # rows of one URL are dealt by their place in the input
+    placed = keyed.withColumn("place", F.monotonically_increasing_id())
+    return spread_join(placed, found, ["host", "path"], by="place", how="left", least=share).select(
         *(F.col("row")[c].alias(c) for c in rest),
         "host",
         "path",

@@ -68,7 +68,8 @@ def brute_url(url, rules):
     return host, path, max(fit)[1] if fit else None, max(fit)[2] if fit else "allow"
 
 
-def test_url_filter_matches_brute_force(spark):
+@pytest.mark.parametrize("share", [url_filter.SHARE, 3])
+def test_url_filter_matches_brute_force(spark, share):
     rng = random.Random(4)
     labels = ["com", "a", "b", "example", "a-b", "z"]
     hosts = [".".join(rng.choice(labels) for _ in range(rng.randint(1, 4))) for _ in range(40)]
@@ -76,10 +77,12 @@ def test_url_filter_matches_brute_force(spark):
     rules = list({(rng.choice(hosts), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(40)})
     rules = list({(h, p): (h, p, v) for h, p, v in rules}.values())
     urls = [None, "", "no scheme", "http://", "http://A.COM/x?q#f", "https://a.com#x/y", "a://b://c/x", "http://.com./x", "http://a.com\n/x"]
+    rules += [("long.com", "/" + "p" * 3000, "block"), ("tie.com", "/a", "allow"), ("com", "/a", "block"), ("x.tie.com", "", "block")]
+    urls += ["http://long.com/" + "p" * 200_000, "http://long.com/" + "p" * 2999, "http://x.tie.com/a", "http://tie.com/ab"] * 2
     urls += [f"http://{rng.choice(hosts)}{rng.choice(paths)}{rng.choice(['', '?a=/x', '#/x'])}" for _ in range(300)]
     pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id int, url string, verdict string")
     table = spark.createDataFrame([(h, p, h + p, v) for h, p, v in rules], "host string, path string, rule string, verdict string")
-    out = url_filter.url_filter(pages, table, buckets=5).collect()
+    out = url_filter.url_filter(pages, table, share=share).collect()
     assert len(out) == len(urls)
     for r in out:
         assert (r.host, r.path, r.rule, r.verdict) == brute_url(urls[r.page_id], rules), urls[r.page_id]
