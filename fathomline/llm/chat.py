@@ -4,84 +4,145 @@ For every participant of a dialogue the dialogue is rendered once with that
 speaker as `assistant`, all others as named users, and a loss mask over the
 speaker's own text. System turns stay system turns and are never masked in.
 
-A dialogue is rendered in parts of `BLOCK` consecutive turn numbers; part k
-holds turns k*BLOCK to k*BLOCK+BLOCK-1, and the parts in order are the whole
-dialogue. So a conversation that holds a third of all rows is spread over many
-groups of bounded size instead of one. Turns without a number or conversation
-form groups by a hash of their text. Participants are found by a distinct,
-which Spark aggregates before its shuffle.
+A rendering comes in numbered parts of `BLOCK` consecutive turn numbers; the
+parts in order are the whole dialogue, and masks are offsets in the whole
+dialogue's rendering, so a part needs no other to be placed. A conversation that
+holds a third of all rows is thus spread over many groups of bounded size. A part
+with more than `4 * BLOCK` turns, as numbers may repeat or be missing, is
+divided further by number, copies of the same turn and a hash of the turn.
+
+Texts are shuffled once. Offsets are running sums over a table of part sizes
+(three numbers a part and participant, no text); its window is the only place
+where all parts of a conversation meet, sorted and streamed, not collected.
 
 Defined cases: null text is empty; a null role is the speaker `unknown`; turns
-with the same number are ordered by role, then text, and repeated rows are all
-kept; a dialogue with only system turns has no participant and no rendering;
-an empty table gives an empty table; other columns are not read.
+without a number come first; turns with the same number are ordered by the MD5
+of role, U+0001 and text, in a divided part after blocks of 64 copies of one
+turn; repeated rows are all kept; rows without a conv_id are one conversation; a
+dialogue with only system turns has no participant and no rendering; a very long
+text stays whole in its part; markers can't be forged, as `<|` becomes `< |` in
+texts and names and a line end in a name becomes a space; an empty table gives
+an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import hot_keys, spread_join
 
 BLOCK = 64
-UNNUMBERED_GROUPS = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
+PLACE = ["part", "t", "chunk", "sub"]
+
+
+def _safe(text: Column) -> Column:
+    return F.replace(text, F.lit("<|"), F.lit("< |"))
+
+
+def _head(speaker: Column, me: Column) -> Column:
+    name = F.translate(_safe(speaker), "\r\n", "  ")
+    return (
+        F.when(speaker == "system", F.lit(OPEN + "system\n"))
+        .when(speaker == me, F.lit(OPEN + "assistant\n"))
+        .otherwise(F.concat(F.lit(OPEN + "user name="), name, F.lit("\n")))
+    )
+
+
+def _dealt(said: DataFrame, block: int) -> DataFrame:
+    """said with the place of each turn (PLACE) and its number of copies; only turns of crowded parts are divided."""
+    crowded, bound = hot_keys(said, ["conv_id", "part"], least=4 * block)
+    mark = F.md5(F.concat_ws("\u0001", "speaker", "text").cast("binary")).alias("mark")
+    plain = said.select(
+        "conv_id", "part", F.lit(None).cast(said.schema["turn"].dataType).alias("t"), F.lit(0).cast("long").alias("chunk"),
+        F.lit(0).cast("long").alias("sub"), "turn", "speaker", "text", mark, F.lit(1).cast("long").alias("copies"),
+    )
+    if not bound:
+        return plain
+    crowded = F.broadcast(crowded.select(F.col("conv_id").alias("_c"), F.col("part").alias("_p"), "n"))
+    same = F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("part").eqNullSafe(F.col("_p"))
+    rest = plain.join(crowded, same, "left_anti")
+    n = F.col("m")
+    divided = (
+        said.join(crowded, same)
+        .groupBy("conv_id", "part", "turn", "speaker", "text", "n")
+        .agg(F.count("*").alias("m"))
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("chunk"))
+        .select("*", mark, F.least(F.lit(block), n - F.col("chunk") * block).cast("long").alias("copies"))
+    )
+    share = F.conv(F.substring("mark", 1, 8), 16, 10).cast("double") / float(1 << 32)
+    sub = F.floor(share * F.ceil(F.col("n") / block)).cast("long").alias("sub")
+    return rest.union(divided.select("conv_id", "part", F.col("turn").alias("t"), "chunk", sub, "turn", "speaker", "text", "mark", "copies"))
 
 
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
-    """(conv_id, perspective, part, n_turns, n_trained, n_chars, text, mask): one row per dialogue, participant and part.
+    """(conv_id, perspective, part, n_turns, n_trained, start, n_chars, text, mask): one row per dialogue, participant and part.
 
-    mask: (start, end) offsets in code points of the rendered part, end exclusive, in order.
+    start: offset of the part in the dialogue's rendering; mask: (start, end) offsets in code points of the
+    dialogue's rendering, end exclusive, in order.
     """
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.lit(UNNUMBERED_GROUPS))
-    part = F.when(F.col(conv).isNull() | F.col(turn).isNull(), -1 - spread).otherwise(F.floor(F.col(turn) / block))
     said = turns.select(
         F.col(conv).alias("conv_id"),
-        part.alias("part"),
+        F.floor(F.col(turn) / block).alias("part"),
         F.col(turn).alias("turn"),
         F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
     )
-    people = said.filter(F.col("speaker") != "system").select(F.col("conv_id").alias("c"), F.col("speaker").alias("perspective")).distinct()
-    parts = said.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "speaker", "text"))).alias("turns"))
-    seen = parts.join(people, F.col("conv_id").eqNullSafe(F.col("c"))).drop("c")
-
-    def head(t: Column) -> Column:
-        me = F.col("perspective")
-        return (
-            F.when(t["speaker"] == "system", F.lit(OPEN + "system\n"))
-            .when(t["speaker"] == me, F.lit(OPEN + "assistant\n"))
-            .otherwise(F.concat(F.lit(OPEN + "user name="), t["speaker"], F.lit("\n")))
-        )
+    people = said.filter(F.col("speaker") != "system").select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    one = F.struct("turn", "chunk", "mark", "speaker", "text", "copies")
+    parts = _dealt(said, block).groupBy("conv_id", *PLACE).agg(F.sort_array(F.collect_list(one)).alias("turns"))
 
-    pieces = F.transform(
-        "turns",
-        lambda t: F.struct(
-            head(t).alias("head"),
-            t["text"].alias("body"),
-            ((t["speaker"] == F.col("perspective")) & (t["speaker"] != "system")).alias("trained"),
-        ),
+    # offsets: what a part takes if nobody in it is the assistant, and what each speaker's turns take less
+    def size(t: Column, me: Column) -> Column:
+        return t["copies"] * (F.length(_head(t["speaker"], me)) + F.length(_safe(t["text"])) + len(CLOSE))
+
+    total = lambda sizes: F.aggregate(sizes, F.lit(0).cast("long"), lambda a, x: a + x)
+    nobody = F.lit(None).cast("string")
+    slim = parts.select("conv_id", *PLACE, F.xxhash64(*PLACE).alias("place"), total(F.transform("turns", lambda t: size(t, nobody))).alias("size"),
+        F.transform("turns", lambda t: F.struct(t["speaker"].alias("speaker"), t["copies"].alias("copies"))).alias("speakers"),
+    )
+    less = len(OPEN + "assistant\n") - F.length(_head(F.col("perspective"), nobody))
+    own = total(F.transform(F.filter("speakers", lambda s: s["speaker"] == F.col("perspective")), lambda s: s["copies"]))
+    sized = spread_join(slim, people, ["conv_id"], by="place").select("conv_id", *PLACE, "perspective", (F.col("size") + less * own).alias("n_chars"))
+    order = Window.partitionBy("conv_id", "perspective").orderBy(*PLACE)
+    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = sized.select("conv_id", *PLACE, F.struct("perspective", (F.row_number().over(order) - 1).cast("long").alias("number"), before.alias("start"), "n_chars").alias("view"))
+    views = placed.groupBy("conv_id", *PLACE).agg(F.collect_list("view").alias("views")).withColumnsRenamed({k: f"_{k}" for k in ["conv_id", *PLACE]})
+    on = F.lit(True)
+    for k in ["conv_id", *PLACE]:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    seen = parts.join(views, on).select("conv_id", "turns", F.explode("views").alias("view"))
+
+    me = F.col("view.perspective")
+    pieces = F.flatten(
+        F.transform(
+            "turns",
+            lambda t: F.array_repeat(
+                F.struct(_head(t["speaker"], me).alias("head"), _safe(t["text"]).alias("body"), ((t["speaker"] == me) & (t["speaker"] != "system")).alias("trained")),
+                t["copies"].cast("int"),
+            ),
+        )
     )
-    cut = seen.select("conv_id", "perspective", "part", pieces.alias("pieces"))
-    sizes = F.transform("pieces", lambda p: F.length(p["head"]) + F.length(p["body"]) + len(CLOSE))
-    sized = cut.withColumn("sizes", sizes)
+    cut = seen.select("conv_id", "view", pieces.alias("pieces"))
+    cut = cut.withColumn("sizes", F.transform("pieces", lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(CLOSE)).cast("long")))
+    until = lambda i: F.col("view.start") + total(F.slice("sizes", 1, i))
     spans = F.filter(
         F.transform(
             "pieces",
-            lambda p, i: F.struct(
-                (F.aggregate(F.slice("sizes", 1, i), F.lit(0), lambda a, x: a + x) + F.length(p["head"])).alias("start"),
-                (F.aggregate(F.slice("sizes", 1, i + 1), F.lit(0), lambda a, x: a + x) - len(CLOSE)).alias("end"),
-                p["trained"].alias("trained"),
-            ),
+            lambda p, i: F.struct((until(i) + F.length(p["head"])).alias("start"), (until(i + 1) - len(CLOSE)).alias("end"), p["trained"].alias("trained")),
         ),
         lambda s: s["trained"],
     )
-    return sized.select(
+    return cut.select(
         "conv_id",
-        "perspective",
-        "part",
+        F.col("view.perspective").alias("perspective"),
+        F.col("view.number").alias("part"),
         F.size("pieces").cast("long").alias("n_turns"),
         F.size(F.filter("pieces", lambda p: p["trained"])).cast("long").alias("n_trained"),
-        F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_chars"),
+        F.col("view.start").alias("start"),
+        F.col("view.n_chars").alias("n_chars"),
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE))), "").alias("text"),
         F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("mask"),
     )

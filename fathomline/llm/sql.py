@@ -30,19 +30,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM p LEFT JOIN fit ON p.rid = fit.rid AND k = 1"""
 
 _OP5 = f"""
-WITH said AS (SELECT conv_id, turn, turn // {BLOCK} AS part, coalesce(role, 'unknown') AS speaker, coalesce(text, '') AS body
+WITH said AS (SELECT conv_id, turn, turn // {BLOCK} AS block, coalesce(role, 'unknown') AS speaker,
+    replace(coalesce(text, ''), '<|', '< |') AS body, md5(coalesce(role, 'unknown') || chr(1) || coalesce(text, '')) AS mark
     FROM conversations),
 people AS (SELECT DISTINCT conv_id, speaker AS perspective FROM said WHERE speaker <> 'system'),
 shown AS (SELECT s.*, perspective, speaker = perspective AS trained,
+    dense_rank() OVER (PARTITION BY s.conv_id, perspective ORDER BY block NULLS FIRST) - 1 AS part,
     CASE WHEN speaker = 'system' THEN {_text(OPEN + 'system')} || chr(10)
          WHEN speaker = perspective THEN {_text(OPEN + 'assistant')} || chr(10)
-         ELSE {_text(OPEN + 'user name=')} || speaker || chr(10) END AS head
-    FROM said s JOIN people USING (conv_id)),
+         ELSE {_text(OPEN + 'user name=')} || translate(replace(speaker, '<|', '< |'), chr(13) || chr(10), '  ') || chr(10) END AS head
+    FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (SELECT *, length(head) + length(body) + {len(CLOSE)} AS size,
     sum(length(head) + length(body) + {len(CLOSE)}) OVER w AS upto, row_number() OVER w AS place
-    FROM shown WINDOW w AS (PARTITION BY conv_id, perspective, part ORDER BY turn, speaker, body ROWS UNBOUNDED PRECEDING))
+    FROM shown WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, mark ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, perspective, part, count(*) AS n_turns, count(*) FILTER (WHERE trained) AS n_trained,
-    sum(size)::BIGINT AS n_chars,
+    min(upto - size)::BIGINT AS start, sum(size)::BIGINT AS n_chars,
     string_agg(head || body || {_text(CLOSE[:-1])} || chr(10), '' ORDER BY place) AS text,
     coalesce(string_agg((upto - size + length(head))::BIGINT || '-' || (upto - {len(CLOSE)})::BIGINT, ',' ORDER BY place)
         FILTER (WHERE trained), '') AS mask
