@@ -1,21 +1,21 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
 Windows of 10 words of the test items (an item of fewer words is one window)
-become a set of 64-bit keys, each from three words of the window. Every token
-window of every document is looked up in that set inside one expression; the
-few that are found are written out as text, joined with the windows themselves
-and so verified exactly. Documents are never exploded into all their windows.
-
-The set goes to the executors only while it has at most `MAX_KEYS` windows;
-beyond that all windows of the documents meet the windows of the items in a
-shuffled hash join on the same keys, with the same result.
-
-Scale: the hit rows of a document are gathered by a row number that its own
-task made, so aggregation is partial before the one shuffle and no passage,
-however common, forms a group. A document costs memory by its own length.
+become a set of 64-bit keys, each from the window's length and three of its
+words. The set is broadcast as the hashed side of a join; every token window of
+every document streams past it, and of those found the words are compared with
+the windows themselves, so hits are verified exactly.
+
+Scale: windows of documents are never shuffled, hits are. Hits of one text are
+gathered under the MD5 of the text, so equal texts count once and a task that
+is repeated gives the same rows. The set is broadcast in pieces of at most
+`MAX_KEYS` keys (some 50 MB), one scan of the documents for each; texts of
+windows and results are broadcast up to `MAX_BYTES`, counted before, and joined
+with hot keys split beyond that. All ways give the same result. A document
+costs memory by its own length.
 
 Defined cases: null and empty texts have no words and no hits; items without
-words have no windows; repeated documents are judged row by row; an item found
+words have no windows; very long texts are scanned whole; repeated documents are judged row by row; an item found
 in several places counts once; empty tables give empty results. Result columns
 replace columns of the same name in the input, other columns stay.
 """
@@ -25,12 +25,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, let, scratch, spread_join
 
 #: Characters between words: ASCII other than letters and digits. Texts are split before A-Z become a-z, so both cases count.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
-MAX_KEYS = 500_000
+#: Keys in a broadcast set.
+MAX_KEYS = 1_000_000
+#: Bytes of another table that is broadcast.
+MAX_BYTES = 32 << 20
 
 
 def item_words(text: Column) -> Column:
@@ -41,13 +45,13 @@ def item_words(text: Column) -> Column:
 
 
 def window_key(words: Column, start: Column, n: int) -> Column:
-    """Key of the n words from the 1-based start: a hash of the first, a middle and the last."""
+    """Key of the n words from the 1-based start: a hash of n, the first, a middle and the last."""
     return F.xxhash64(
-        F.element_at(words, start), F.element_at(words, start + n // 2), F.element_at(words, start + n - 1)
+        F.lit(n), F.element_at(words, start), F.element_at(words, start + n // 2), F.element_at(words, start + n - 1)
     )
 
 
-def window_text(words: Column, start: Column, n: int) -> Column:
+def window_text(words: Column, start: Column, n: Column | int) -> Column:
     return F.array_join(F.slice(words, start, n), " ")
 
 
@@ -62,24 +66,46 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text",
     )
     by_size = F.coalesce(*(F.when(F.col("n") == k, window_key(F.col("w"), F.col("at"), k)) for k in range(1, n + 1)))
     return (
-        one.select("item_id", "n", F.array_join(F.slice("w", F.col("at"), F.col("n")), " ").alias("window"), by_size.alias("key"))
+        one.select("item_id", "n", window_text(F.col("w"), F.col("at"), F.col("n")).alias("window"), by_size.alias("key"))
         .groupBy("n", "window", "key")
         .agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     )
 
 
-def _found(words: Column, n: int, keys: list[int] | None) -> Column:
-    """Structs (at, n, window, key) of the windows of n words; only those in keys, if given."""
-    starts = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    if keys is not None:
-        starts = F.filter(starts, lambda i: window_key(words, i, n).isin(keys))
+def _keys_of(words: Column, n: int) -> Column:
+    """Structs (at, n, key) of the windows of n words."""
     made = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("at"), F.lit(n).alias("n"), window_text(words, i, n).alias("window"), window_key(words, i, n).alias("key")
-        ),
+        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
+        lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), window_key(words, i, n).alias("key")),
     )
-    return F.when(F.size(words) >= n, made).otherwise(F.slice(F.array(F.struct(F.lit(1).alias("at"), F.lit(n).alias("n"), F.lit("").alias("window"), F.lit(0).cast("long").alias("key"))), 1, 0))
+    return F.when(F.size(words) >= n, made).otherwise(F.slice(F.array(F.struct(F.lit(1).alias("at"), F.lit(n).alias("n"), F.lit(0).cast("long").alias("key"))), 1, 0))
+
+
+def _text_key(text: str) -> Column:
+    return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
+
+
+def find_hits(docs: DataFrame, windows: DataFrame, text: str, max_keys: int) -> DataFrame:
+    """(text_key, at, n, window, key) of the windows of docs whose keys are in the set; windows: (n, key)."""
+    sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most WINDOW rows
+    keys = windows.select(F.col("key").alias("known")).distinct()
+    passes = max(1, -(-keys.count() // max_keys))
+    scanned = docs.select(_text_key(text).alias("text_key"), item_words(F.col(text)).alias("w"))
+    streamed = scanned.select("text_key", "w", F.explode(F.concat(*(_keys_of(F.col("w"), k) for k in sorted(sizes)))).alias("f")) if sizes else None
+    found = None
+    for k in range(passes if sizes else 0):
+        some = keys.filter(F.pmod(F.xxhash64("known"), F.lit(passes)) == k) if passes > 1 else keys
+        hits = streamed.join(F.broadcast(some), F.col("f.key") == F.col("known")).select(
+            "text_key", "f.at", "f.n", window_text(F.col("w"), F.col("f.at"), F.col("f.n")).alias("window"), "f.key"
+        )
+        found = hits if found is None else found.union(hits)
+    if found is None:
+        return docs.sparkSession.createDataFrame([], "text_key string, at int, n int, window string, key bigint")
+    return found
+
+
+def _bytes(rows: DataFrame, size: Column) -> int:
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0)).alias("b")).head()["b"]
 
 
 def decontaminate(
@@ -90,80 +116,81 @@ def decontaminate(
     item_text: str = "text",
     n: int = WINDOW,
     max_keys: int = MAX_KEYS,
+    max_bytes: int = MAX_BYTES,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """docs (or its columns `keep`) with n_words, n_hit, n_items, item_ids (sorted as strings), hit_spans and contaminated.
 
     hit_spans: sorted disjoint (first, last) 1-based word positions inside windows that occur.
     """
-    windows = item_windows(items, item_id, item_text, n)
-    sizes = {r["n"]: r["c"] for r in windows.groupBy("n").agg(F.count("*").alias("c")).collect()}
-    small = sum(sizes.values()) <= max_keys
-    keys: dict[int, list[int] | None] = {k: None for k in sizes}
-    if small:
-        keys = {k: [] for k in sizes}
-        for r in windows.select("n", "key").distinct().collect():
-            keys[r["n"]].append(r["key"])
     made = ("n_words", "n_hit", "n_items", "item_ids", "hit_spans", "contaminated")
     rest = [c for c in keep or docs.columns if c not in made]
-
-    def scan(w: Column) -> Column:
-        parts = [_found(w, k, keys[k]) for k in sorted(sizes)]
-        none = F.expr("cast(array() as array<struct<at:int,n:int,window:string,key:bigint>>)")
-        return F.struct(F.size(w).cast("long").alias("n_words"), (F.concat(*parts) if parts else none).alias("found"))
-
-    scanned = docs.select(
-        F.struct(*rest).alias("row"), F.monotonically_increasing_id().alias("rid"), let(item_words(F.col(text)), scan).alias("s")
-    )
-    # the document's own columns travel once, with its first hit
-    hits = scanned.select("row", "rid", F.col("s.n_words").alias("n_words"), F.posexplode_outer("s.found").alias("pos", "f")).select(
-        F.when(F.coalesce("pos", F.lit(0)) == 0, F.col("row")).alias("row"), "rid", "n_words", "f.at", "f.n", "f.window", "f.key"
-    )
-    known = windows.select("n", "window", "key", "item_ids")
-    known = F.broadcast(known) if small else known.hint("shuffle_hash")
-    verified = hits.join(known, ["n", "window", "key"], "left")
-    is_hit = F.col("item_ids").isNotNull()
-    per_doc = verified.groupBy("rid").agg(
-        F.first("row", ignorenulls=True).alias("row"),
-        F.first("n_words").alias("n_words"),
-        F.collect_set(F.when(is_hit, F.struct("at", "n"))).alias("spots"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
-    )
-    covered = F.array_sort(
-        F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
-    )
-
-    def spans(pos: Column) -> Column:
-        first = F.filter(pos, lambda p, i: (i == 0) | (F.get(pos, i - 1) != p - 1))
-        last = F.filter(pos, lambda p, i: (i == F.size(pos) - 1) | (F.get(pos, i + 1) != p + 1))
-        return F.struct(
-            F.size(pos).cast("long").alias("n_hit"),
-            F.transform(F.arrays_zip(first.alias("first"), last.alias("last")), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("hit_spans"),
+    ids = F.aggregate("item_ids", F.lit(0).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
+    with scratch() as lasting:
+        windows = lasting(item_windows(items, item_id, item_text, n), "windows")
+        hits = lasting(find_hits(docs, windows, text, max_keys), "hits")
+        # verification: the words themselves
+        if _bytes(windows, F.octet_length("window") + ids + 40) <= max_bytes:
+            known = F.broadcast(windows.select("key", "window", "item_ids"))
+            verified = hits.join(known, ["key", "window"])
+        else:
+            verified = spread_join(hits, windows.select("key", "window", "item_ids"), ["key", "window"], by="text_key")
+        per_text = verified.groupBy("text_key").agg(
+            F.collect_set(F.struct("at", "n")).alias("spots"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"),
+        )
+        covered = F.array_sort(
+            F.array_distinct(F.flatten(F.transform("spots", lambda s: F.sequence(s["at"], s["at"] + s["n"] - 1))))
         )
 
-    return per_doc.withColumn("c", let(covered, spans)).select(
+        def spans(pos: Column) -> Column:
+            first = F.filter(pos, lambda p, i: (i == 0) | (F.get(pos, i - 1) != p - 1))
+            last = F.filter(pos, lambda p, i: (i == F.size(pos) - 1) | (F.get(pos, i + 1) != p + 1))
+            return F.struct(
+                F.size(pos).cast("long").alias("n_hit"),
+                F.transform(F.arrays_zip(first.alias("first"), last.alias("last")), lambda x: F.struct(x["first"].alias("first"), x["last"].alias("last"))).alias("hit_spans"),
+            )
+
+        found = lasting(
+            per_text.select("text_key", F.struct("item_ids", let(covered, spans).alias("c")).alias("found")).withColumnRenamed("text_key", "_text_key"),
+            "found",
+        )
+    placed = docs.select(
+        F.struct(*rest).alias("row"),
+        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
+        _text_key(text).alias("_text_key"),
+        F.monotonically_increasing_id().alias("_place"),
+    )
+    size = 64 + 8 * F.size("found.c.hit_spans") + F.aggregate("found.item_ids", F.lit(0).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
+    if _bytes(found, size) <= max_bytes:
+        judged = placed.join(F.broadcast(found), "_text_key", "left")
+    else:
+        judged = spread_join(placed, found, ["_text_key"], by="_place", how="left")
+    n_hit = F.coalesce(F.col("found.c.n_hit"), F.lit(0).cast("long"))
+    item_ids = F.coalesce(F.col("found.item_ids"), F.array().cast("array<string>"))
+    return judged.select(
         *(F.col("row")[c].alias(c) for c in rest),
         "n_words",
-        F.col("c.n_hit").alias("n_hit"),
-        F.size("item_ids").cast("long").alias("n_items"),
-        "item_ids",
-        F.col("c.hit_spans").alias("hit_spans"),
-        (F.col("c.n_hit") > 0).alias("contaminated"),
+        n_hit.alias("n_hit"),
+        F.size(item_ids).cast("long").alias("n_items"),
+        item_ids.alias("item_ids"),
+        F.coalesce(F.col("found.c.hit_spans"), F.array().cast("array<struct<first:int,last:int>>")).alias("hit_spans"),
+        (n_hit > 0).alias("contaminated"),
     )
 
 
 def remove_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of the given spans; what stands between words stays in place of them once."""
-    pieces = F.regexp_extract_all(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))
-    is_word = lambda p: ~p.rlike(r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+    """The text without the words of the given spans (sorted, disjoint) and what stands between them; linear in the text."""
+    pieces = F.regexp_extract_all(text, F.lit(WORD + "|" + NOT_WORD), F.lit(0))
 
     def cut(ps: Column) -> Column:
-        # pieces alternate, so the number of a word follows from the piece's place
-        offset = F.when(is_word(F.get(ps, F.lit(0))), 0).otherwise(1)
-        number = lambda i: F.floor((i - offset) / 2) + 1
-        inside = lambda i: F.exists(
-            spans, lambda s: (number(i) >= s["first"]) & (number(i) <= s["last"]) & (i >= offset)
+        # pieces alternate, so word k is piece 2k-1, or 2k after a leading gap (1-based)
+        lead = F.when(F.get(ps, F.lit(0)).rlike("^" + NOT_WORD), 1).otherwise(0)
+        begin = lambda k: F.when(k == 0, F.lit(1)).otherwise(2 * F.get(spans, k - 1)["last"] + lead)
+        end = lambda k: F.when(k == F.size(spans), F.size(ps)).otherwise(2 * F.get(spans, k)["first"] - 2 + lead)
+        kept = F.transform(
+            F.sequence(F.lit(0), F.size(spans)), lambda k: F.array_join(F.slice(ps, begin(k), F.greatest(end(k) - begin(k) + 1, F.lit(0))), "")
         )
-        return F.array_join(F.filter(ps, lambda p, i: ~inside(i)), "")
+        return F.array_join(kept, "")
 
     return F.when(F.size(spans) > 0, let(pieces, cut)).otherwise(text)

@@ -117,8 +117,8 @@ def brute_hits(doc, items, n=10):
     return len(words), sorted(hit), sorted(map(str, found))
 
 
-@pytest.mark.parametrize("max_keys", [decontaminate.MAX_KEYS, 0])
-def test_decontamination_matches_brute_force(spark, max_keys):
+@pytest.mark.parametrize("limits", [{}, {"max_keys": 7, "max_bytes": 0}])
+def test_decontamination_matches_brute_force(spark, limits):
     rng = random.Random(9)
     vocab = ["a", "b", "C", "é", "ß2"]
     item = lambda n: "".join(rng.choice(vocab) + rng.choice([" ", ", ", "\n"]) for _ in range(n))
@@ -127,7 +127,7 @@ def test_decontamination_matches_brute_force(spark, max_keys):
     docs = [(i, item(rng.randint(0, 60))) for i in range(40)] + [(100, None), (101, ""), (102, items[0][1] * 3), (102, items[0][1] * 3), (103, "solo, " * 5000), (104, "x" * 100_000)]
     d = spark.createDataFrame([(i, t, "keep", 5) for i, t in docs], "doc_id int, text string, window string, n_hit int")
     b = spark.createDataFrame(items, "item_id int, text string")
-    out = decontaminate.decontaminate(d, b, max_keys=max_keys).collect()
+    out = decontaminate.decontaminate(d, b, **limits).collect()
     assert len(out) == len(docs)
     want = {}
     for i, t in docs:
