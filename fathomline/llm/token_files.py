@@ -4,23 +4,26 @@ A data set is a folder of shards. Shard k holds the documents of one range of
 doc_id in ascending order, tokenised, each closed by an end id, packed one
 after the other into sequences of `length` ids:
 
-- `ids-<k>.arrow`: Arrow file (random access by record batch) with columns
-  `ids` fixed_size_list<uint16 or uint32>[length] and `mask`
-  fixed_size_list<bool>[length]. Every batch has `BATCH_ROWS` sequences but the
-  last, so sequence n of a shard is row n % BATCH_ROWS of batch n // BATCH_ROWS
-  and is read without a copy. Only the last sequence of a shard is padded; its
-  mask is false there.
-- `docs-<k>.arrow`: doc_id, place of its first id in the shard, number of ids.
-
-Ranges come from Spark's range partitioner, so a shard is one task's share and
-no task sees more; a task writes under a name of its own attempt and renames
-when the file is complete, so a lost or repeated task leaves no half shard. The
-manifest (one row a shard) is a table in the shared folder; the place of a
-shard in the whole stream is a running sum over it.
+- `ids-<k>-<attempt>.arrow`: Arrow file (random access by record batch) with
+  columns `ids` fixed_size_list<uint16 or uint32>[length] and `mask`
+  fixed_size_list<uint8>[length / 8], one bit an id, lowest bit first. Every
+  batch has `BATCH_ROWS` sequences but the last, so sequence n of a shard is row
+  n % BATCH_ROWS of batch n // BATCH_ROWS, and its ids and mask are read without
+  a copy. Only the last sequence of a shard is padded; its mask is 0 there.
+- `docs-<k>-<attempt>.arrow`: doc_id, place of its first id in the shard, number of ids.
+
+Ranges come from Spark's range partitioner over doc_id, a hash of the text and
+the row's place, so a shard is one task's share and no repeated or missing doc_id
+makes one longer. The manifest (one row a shard, with the attempt that wrote
+it) is a table in the shared folder: files of lost or repeated attempts are in
+no manifest and are never read. The place of a shard in the whole stream is a
+running sum over the manifest, one row a shard.
 
 Defined cases: null text is empty and becomes the end id alone; documents
-without a doc_id come first; repeated rows are all written, ordered by text; an
-empty table gives a data set without sequences; other columns are not read.
+without a doc_id come first; rows that repeat a doc_id are all written, ordered
+by a hash of the text; a very long text is tokenised whole and runs on over
+sequences; an empty table gives a data set without sequences; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -45,7 +48,7 @@ BATCH_ROWS = 64
 MEMO = 1_000_000
 #: Bytes of text that are encoded at once: the more, the fewer chunks are looked up again.
 ENCODE_BYTES = 8 << 20
-MANIFEST = "shard int, n_docs bigint, n_ids bigint, n_rows bigint"
+MANIFEST = "shard int, attempt bigint, n_docs bigint, n_ids bigint, n_rows bigint"
 
 _TOKENIZERS: dict[str, ChunkEncoder] = {}
 FORGET.append(_TOKENIZERS.clear)
@@ -130,7 +133,7 @@ def encoder(path: str) -> ChunkEncoder:
 
 
 def _schema(dtype: pa.DataType, length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.bool_(), length))])
+    return pa.schema([("ids", pa.list_(dtype, length)), ("mask", pa.list_(pa.uint8(), length // 8))])
 
 
 DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
@@ -159,8 +162,8 @@ class ShardWriter:
             self.held, self.n_held = [rest], len(rest)
 
     def _batch(self, flat: np.ndarray, real: int) -> None:
-        mask = pa.array(np.arange(len(flat)) < real)
-        lists = [pa.FixedSizeListArray.from_arrays(x, self.length) for x in (pa.array(flat), mask)]
+        mask = np.packbits(np.arange(len(flat)) < real, bitorder="little")
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((flat, self.length), (mask, self.length // 8))]
         self.file.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
         self.n_rows += len(flat) // self.length
 
@@ -185,8 +188,8 @@ def write_shard(folder: str, make: Callable[[], ChunkEncoder], end_id: int, leng
     for batch in slices(batches, 1, ENCODE_BYTES):
         if out is None:
             store.create_dir(root, recursive=True)
-            out = ShardWriter(store, f"{root}/.ids-{shard}-{attempt}", kind, length)
-            docs_sink = store.open_output_stream(f"{root}/.docs-{shard}-{attempt}")
+            out = ShardWriter(store, f"{root}/ids-{shard}-{attempt}.arrow", kind, length)
+            docs_sink = store.open_output_stream(f"{root}/docs-{shard}-{attempt}.arrow")
             docs_file = pa.ipc.new_file(docs_sink, DOCS)
         starts, counts = [], []
         end, at = np.array([end_id], kind).tobytes(), out.n_ids
@@ -202,24 +205,23 @@ def write_shard(folder: str, make: Callable[[], ChunkEncoder], end_id: int, leng
         out.close()
         docs_file.close()
         docs_sink.close()
-        for what in ("ids", "docs"):
-            place = f"{root}/{what}-{shard}.arrow"
-            if store.get_file_info(place).type != fs.FileType.NotFound:  # an earlier attempt's, with the same content
-                store.delete_file(place)
-            store.move(f"{root}/.{what}-{shard}-{attempt}", place)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([x], t) for x, t in ((shard, pa.int32()), (n_docs, pa.int64()), (out.n_ids, pa.int64()), (out.n_rows, pa.int64()))],
-            names=["shard", "n_docs", "n_ids", "n_rows"],
+            [pa.array([x], t) for x, t in ((shard, pa.int32()), (attempt, pa.int64()), (n_docs, pa.int64()), (out.n_ids, pa.int64()), (out.n_rows, pa.int64()))],
+            names=["shard", "attempt", "n_docs", "n_ids", "n_rows"],
         )
 
 
 def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0, length: int = LENGTH, shards: int | None = None, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes the data set into `folder` (a URI all executors reach); returns its manifest with `base`, the ids before each shard."""
+    if length % 8:
+        raise ValueError("length must be a multiple of 8")
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["doc_id", "h", "place"]
     dealt = (
-        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-        .repartitionByRange(n, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("place"))
+        .repartitionByRange(n, *order)
+        .sortWithinPartitions(*order)
+        .select("doc_id", "text")
     )
     manifest = written(dealt.mapInArrow(partial(write_shard, folder, partial(encoder, tokenizer), end_id, length), MANIFEST), "manifest")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -229,13 +231,13 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 0,
 class ShardReader:
     """Random access to a shard's sequences; local files are mapped, others read by batch."""
 
-    def __init__(self, folder: str, shard: int) -> None:
+    def __init__(self, folder: str, shard: int, attempt: int) -> None:
         store, root = fs.FileSystem.from_uri(folder)
-        path = f"{root}/ids-{shard}.arrow"
+        path = f"{root}/ids-{shard}-{attempt}.arrow"
         source = pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path)
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.docs = pa.ipc.open_file(store.open_input_file(f"{root}/docs-{shard}.arrow"))
+        self.docs = pa.ipc.open_file(store.open_input_file(f"{root}/docs-{shard}-{attempt}.arrow"))
         self.at, self.batch = -1, None
         self.wide_at, self.wide = -1, memoryview(b"")
 
@@ -245,10 +247,13 @@ class ShardReader:
         return self.batch
 
     def sequence(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids (without a copy) and mask of sequence n."""
-        batch = self._load(n // BATCH_ROWS)
-        row = n % BATCH_ROWS
-        return batch.column(0)[row].values.to_numpy(), batch.column(1)[row].values.to_numpy(zero_copy_only=False)
+        """Ids and packed mask of sequence n, both without a copy."""
+        batch, row = self._load(n // BATCH_ROWS), n % BATCH_ROWS
+        return tuple(batch.column(k)[row].values.to_numpy(zero_copy_only=True) for k in (0, 1))
+
+    def mask(self, n: int) -> np.ndarray:
+        """The mask of sequence n, one boolean an id."""
+        return np.unpackbits(self.sequence(n)[1], bitorder="little").view(bool)
 
     def stream(self, start: int, count: int) -> Iterator[memoryview]:
         """The count ids from place start of the shard as little-endian 32-bit integers, in pieces of one batch."""
@@ -263,10 +268,10 @@ class ShardReader:
 
 
 def read_shards(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, n_tokens, ids_crc32) of all documents of the shards (shard, base)."""
+    """(doc_id, start, n_tokens, ids_crc32) of all documents of the shards (shard, attempt, base)."""
     for batch in batches:
-        for shard, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            reader = ShardReader(folder, shard)
+        for shard, attempt, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            reader = ShardReader(folder, shard, attempt)
             for k in range(reader.docs.num_record_batches):
                 rows = reader.docs.get_batch(k)
                 sums = []
@@ -281,5 +286,5 @@ def read_shards(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
 def read_tokens(manifest: DataFrame, folder: str) -> DataFrame:
     """One row a document, read back from the files of the data set."""
-    shards = manifest.select("shard", "base").repartition(max(1, manifest.count()), "shard")
+    shards = manifest.select("shard", "attempt", "base").repartition(max(1, manifest.count()), "shard")
     return shards.mapInArrow(partial(read_shards, folder), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -85,11 +85,35 @@ def test_token_files_round_trip(spark):
         assert tuple(row) == (doc, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
     for m in manifest.collect():
-        reader = token_files.ShardReader(folder, m.shard)
-        masks = [reader.sequence(n)[1] for n in range(m.n_rows)]
+        reader = token_files.ShardReader(folder, m.shard, m.attempt)
+        masks = [reader.mask(n) for n in range(m.n_rows)]
+        assert all(not x.flags.owndata and not x.flags.writeable for n in range(m.n_rows) for x in reader.sequence(n))
         assert sum(x.sum() for x in masks) == m.n_ids and all(x.all() for x in masks[:-1]) and all(len(x) == 64 for x in masks)
 
 
+def test_repeated_and_missing_ids_are_spread_over_shards(spark):
+    docs = [(7, f"text {i % 50}") for i in range(300)] + [(None, f"none {i}") for i in range(60)] + [(8, "last")]
+    folder = new_folder(spark, "tokens")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(5)
+    manifest = token_files.write_tokens(frame, folder, BPE, length=64, shards=4)
+    assert manifest.count() == 4 and manifest.agg({"n_docs": "max"}).head()[0] < 250
+    got = sorted(token_files.read_tokens(manifest, folder).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 60 + [7] * 300 + [8]
+    assert [r.start for r in got] == list(np.cumsum([0, *(r.n_tokens for r in got)])[:-1])
+    plain = Tokenizer.from_file(BPE)
+    sums = sorted(zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()) for _, t in docs)
+    assert sorted(r.ids_crc32 for r in got) == sums
+
+
+def test_files_of_lost_attempts_are_not_read(spark, tmp_path):
+    folder = f"file://{tmp_path}"
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id bigint, text string")
+    manifest = token_files.write_tokens(docs, folder, BPE, length=8, shards=1)
+    (tmp_path / "ids-0-999.arrow").write_bytes(b"half")
+    (tmp_path / "docs-0-999.arrow").write_bytes(b"half")
+    assert token_files.read_tokens(manifest, folder).count() == 2
+
+
 def test_token_files_of_an_empty_table(spark):
     folder = new_folder(spark, "tokens")
     manifest = token_files.write_tokens(spark.createDataFrame([], "doc_id bigint, text string"), folder, BPE)
