@@ -12,7 +12,7 @@
    bucket; then, `ROUNDS` times, the classes that are still apart meet a leader
    of their own. What is apart after that is compared in full, so no link is
    lost: signatures in parts of `BLOCK` classes, and the full sets of survivors
-   in text blocks of about `TEXT_SHINGLES` shingles, where a pair that is joined
+   in blocks of about `TEXT_BLOCK` texts or `TEXT_SHINGLES` shingles, where a pair that is joined
    meanwhile is skipped. Pairs travel packed by block and only links leave a block.
 4. Sequential Bayesian verification: signature bytes are compared in batches
    of 16. With a uniform prior, a pair is pruned as soon as the posterior
@@ -57,7 +57,7 @@ BATCH = 16
 MISS = 1e-6
 ROUNDS = 2
 BLOCK = 512
-TEXT_SHINGLES = 1 << 18
+TEXT_BLOCK, TEXT_SHINGLES = 512, 1 << 19
 STAR = 128
 #: A table of ids goes to every executor only up to so many rows (8 bytes each).
 BROADCAST_IDS = 1_000_000
@@ -223,12 +223,33 @@ def _similar(s: np.ndarray, other: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(s) + len(other) - both)
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of pieces of the incidence matrix."""
+    sizes = [len(s) for s in sets]
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    row = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    width = max(1, (1 << 22) // len(sets))
+    for first in range(0, int(column[-1]) + 1, width):
+        lo, hi = np.searchsorted(column, (first, first + width))
+        piece = np.zeros((len(sets), width), np.float32)
+        piece[row[lo:hi], column[lo:hi] - first] = 1
+        out += piece @ piece.T
+    return out
+
+
+#: Pairs of a block that are compared at once, those of joined texts apart.
+ROUND = 8192
+
+
 def confirm_blocks(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed links from sorted rows (bx, by, role, node, component, text, a, b): role 0 texts, then role 1 pairs.
 
     Pairs whose sides are already joined by links of the same block pair aren't compared again.
     """
-    key, sets, parent, tried = None, {}, {}, set()
+    key, sets, parent, comp = None, {}, {}, {}
 
     def top(x: int) -> int:
         while parent.setdefault(x, x) != x:
@@ -236,26 +257,43 @@ def confirm_blocks(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -
             x = parent[x]
         return x
 
-    comp: dict[int, int] = {}
+    def linked(pairs: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+        for at in range(0, len(pairs), ROUND):
+            apart = [(a, b) for a, b in pairs[at : at + ROUND] if top(comp[a]) != top(comp[b])]
+            nodes = sorted({x for pair in apart for x in pair})
+            together = None
+            if 8 * len(apart) > len(nodes) ** 1.5:
+                together, place = _overlaps([sets[x] for x in nodes]), {x: k for k, x in enumerate(nodes)}
+            for a, b in apart:
+                if top(comp[a]) == top(comp[b]):
+                    continue
+                if together is None:
+                    holds = _similar(sets[a], sets[b], percent)
+                else:
+                    both = int(together[place[a], place[b]])
+                    holds = 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both)
+                if holds:
+                    parent[top(comp[a])] = top(comp[b])
+                    yield min(a, b), max(a, b)
+
+    pairs: set[tuple[int, int]] = set()
     for batch in slices(batches, 5):
         bx, by, role, node, component = (batch.column(k).to_pylist() for k in range(5))
-        fingerprints = shingle_sets(batch.column(5), size)
-        left, right = [], []
-        for k, s in enumerate(fingerprints):
+        found: list[tuple[int, int]] = []
+        for k, s in enumerate(shingle_sets(batch.column(5), size)):
             if key != (bx[k], by[k]):
-                key, sets, parent, tried, comp = (bx[k], by[k]), {}, {}, set(), {}
+                found.extend(linked(sorted(pairs)))
+                key, sets, parent, comp, pairs = (bx[k], by[k]), {}, {}, {}, set()
             if role[k] == 0:
                 sets[node[k]], comp[node[k]] = s, component[k]
-                continue
-            for a, b in zip(batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), strict=True):
-                if (a, b) in tried or top(comp[a]) == top(comp[b]):
-                    continue
-                tried.add((a, b))
-                if _similar(sets[a], sets[b], percent):
-                    parent[top(comp[a])] = top(comp[b])
-                    left.append(min(a, b))
-                    right.append(max(a, b))
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+            else:  # one block's pairs at most, as they come from every shared bucket
+                pairs.update(zip(batch.column(6)[k].as_py(), batch.column(7)[k].as_py(), strict=True))
+        yield _links(found)
+    yield _links(list(linked(sorted(pairs))))
+
+
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def confirm(size: int, percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,22 +353,28 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return written(spread_join(known, split.select("bucket", "n"), ["bucket"], by="node"), "apart")
 
 
-def _stars(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of each bucket's weightiest class and every class of another component."""
+def _stars(members: DataFrame, tried: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's weightiest class and every class of another component.
+
+    tried: number of earlier rounds, whose leaders' components stay out.
+    """
     first = F.struct("weight", (-F.col("node")).alias("last"), "component")
-    leaders = members.groupBy("bucket").agg(F.max(first).alias("top"))
-    met = _join(members, leaders, ["bucket"], by="node").filter(F.col("component") != F.col("top.component"))
-    a = -F.col("top.last")
-    return met.select(a.alias("a"), F.col("node").alias("b")).distinct()
+    for k in range(tried + 1):
+        leaders = members.groupBy("bucket").agg(F.max(first).alias("top"))
+        members = spread_join(members, leaders, ["bucket"], by="node").filter(F.col("component") != F.col("top.component"))
+        if k < tried:
+            members = members.drop("top")
+    return members.select((-F.col("top.last")).alias("a"), F.col("node").alias("b")).distinct()
 
 
 def _rest(apart: DataFrame, nodes: DataFrame, texts: DataFrame, size: int, percent: int, miss: float) -> DataFrame:
     """Links between classes that share a bucket and are still in different components."""
-    # texts are dealt in blocks of classes that share a bucket
-    home = apart.groupBy("node").agg(F.min("bucket").alias("home"), F.first("component").alias("component"))
+    # texts are dealt in blocks of classes that share a bucket, the largest they are in
+    home = apart.groupBy("node").agg(F.max(F.struct("n", "bucket"))["bucket"].alias("home"), F.first("component").alias("component"))
     home = written(home.join(nodes.select("node", "n_shingles", "sig"), "node"), "home")
-    crowd = home.groupBy("home").agg(F.sum("n_shingles").alias("size"))
-    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / TEXT_SHINGLES)))
+    blocks = F.greatest(F.ceil(F.sum("n_shingles") / TEXT_SHINGLES), F.ceil(F.count("*") / TEXT_BLOCK)).alias("blocks")
+    crowd = home.groupBy("home").agg(blocks)
+    block = F.xxhash64("home", F.pmod(F.xxhash64("node"), F.col("blocks")))
     homes = written(_join(home, crowd, ["home"], by="node").select("node", "component", "sig", block.alias("text_block")), "homes")
     width = F.ceil(F.col("n") / BLOCK)
     dealt = (
@@ -398,8 +442,8 @@ def near_duplicates(
             return signed.mapInArrow(partial(prune, percent, miss), "a bigint, b bigint")
 
         links = labels = None
-        for _ in range(rounds):
-            found = _confirmed(tested(written(_stars(apart), "stars")), texts, size, percent)
+        for tried in range(rounds):
+            found = _confirmed(tested(written(_stars(apart, tried), "stars")), texts, size, percent)
             links = found if links is None else links.union(found)
             labels = components(links)
             apart = _apart(members, labels)
