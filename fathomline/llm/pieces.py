@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer.
 
-The model file is compiled into three machines: the normaliser (dummy prefix
-and white space as U+2581), the lexicon of pieces as a trie, and byte fallback
-for letters the lexicon lacks. A text composed with them is a lattice whose
-arcs are pieces; its tropical shortest path is the encoding.
+The model file is compiled into three machines: the normaliser (its table of
+replacements, longest first; dummy prefix, white space as U+2581, extra white
+space), the lexicon of pieces as a trie, and byte fallback for letters the
+lexicon lacks. A text composed with them is a lattice whose arcs are pieces; its
+tropical shortest path is the encoding. User-defined pieces are cut out first.
 
 - For a unigram model an arc weighs minus the piece's score.
 - For a byte-pair model a merge order, not a score sum, decides. A sequence of
@@ -49,6 +50,101 @@ LONG = 64
 MARKS = ".,;:!?%#$&*|"
 PARTS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
+class Normaliser:
+    """The transducer of a model's normaliser: text to the letters that pieces are made of."""
+
+    def __init__(self, spec, symbols: list[str]) -> None:
+        self.prefix = SPACE if spec.add_dummy_prefix else ""
+        self.trim, self.escape = spec.remove_extra_whitespaces, SPACE if spec.escape_whitespaces else " "
+        blob = spec.precompiled_charsmap
+        size = int.from_bytes(blob[:4], "little") if blob else 0
+        #: A double array over UTF-8 bytes, its leaves being places of replacements.
+        self.units = np.frombuffer(blob[4 : 4 + size], "<u4").tolist() if blob else []
+        self.replacements = blob[4 + size :]
+        self.symbols = re.compile("|".join(map(re.escape, sorted(symbols, key=len, reverse=True)))) if symbols else None
+        self.table: dict[int, str] = {}  # letters that are replaced whatever follows
+        self.known: dict[str, bool] = {}  # whether more letters may belong to a replacement
+        self.identity = not (self.units or self.trim or symbols or self.escape != SPACE)
+
+    def _step(self, place: int, data: bytes) -> tuple[int, int, int]:
+        """(place after the bytes or -1, end of the longest replaced run or 0, its replacement)."""
+        best, value = 0, -1
+        for i, byte in enumerate(data):
+            place ^= byte
+            unit = self.units[place]
+            if unit & 0x800000FF != byte:
+                return -1, best, value
+            place ^= (unit >> 10) << ((unit & 0x200) >> 6)
+            if unit >> 8 & 1:
+                best, value = i + 1, self.units[place] & 0x7FFFFFFF
+        return place, best, value
+
+    @property
+    def _root(self) -> int:
+        unit = self.units[0]
+        return (unit >> 10) << ((unit & 0x200) >> 6)
+
+    def _replacement(self, value: int) -> str:
+        return self.replacements[value : self.replacements.index(b"\0", value)].decode()
+
+    def _learn(self, letter: str) -> bool:
+        data = letter.encode("utf-8", "replace")
+        place, best, value = self._step(self._root, data)
+        more = place >= 0 and any(self.units[place ^ b] & 0x800000FF == b for b in range(1, 256) if place ^ b < len(self.units))
+        if best == len(data):
+            self.table[ord(letter)] = self._replacement(value)
+        self.known[letter] = more
+        return more
+
+    def replaced(self, text: str) -> str:
+        """The text after the table of replacements, longest runs first from the left."""
+        if not self.units:
+            return text
+        known = self.known
+        new = set(text).difference(known)
+        if not any([known.get(c) or (c in new and self._learn(c)) for c in set(text)]):
+            return text.translate(self.table)
+        out, at = [], 0
+        while at < len(text):
+            if not known[text[at]]:
+                out.append(text[at].translate(self.table))
+                at += 1
+                continue
+            # runs are short: a replaced run has few letters
+            data = text[at : at + 32].encode("utf-8", "replace")
+            _, best, value = self._step(self._root, data)
+            if best:
+                out.append(self._replacement(value))
+                at += len(data[:best].decode())
+            else:
+                out.append(text[at])
+                at += 1
+        return "".join(out)
+
+    def __call__(self, text: str) -> list[str]:
+        """The letters of a text, user-defined symbols at odd places."""
+        pieces: list[str] = []
+        at = 0
+        for m in self.symbols.finditer(text) if self.symbols else ():
+            pieces += [self.replaced(text[at : m.start()]), m[0]]
+            at = m.end()
+        pieces.append(self.replaced(text[at:]))
+        if self.trim:
+            before = True  # white space at the start, or after other white space, goes
+            for k, piece in enumerate(pieces):
+                piece = re.sub(" +", " ", piece) if k % 2 == 0 else piece
+                pieces[k] = piece[1:] if before and piece.startswith(" ") and k % 2 == 0 else piece
+                before = pieces[k].endswith(" ") if pieces[k] else before
+            for k in range(len(pieces) - 1, -1, -1):
+                pieces[k] = pieces[k].rstrip(" ")
+                if pieces[k]:
+                    break
+        pieces = [p if k % 2 else p.replace(" ", self.escape) for k, p in enumerate(pieces)]
+        if any(pieces):
+            pieces[0] = self.prefix + pieces[0]
+        return pieces
+
+
 _MACHINES: dict[str, Transducer] = {}
 FORGET.append(_MACHINES.clear)
 
@@ -64,15 +160,16 @@ class Transducer:
             model.ParseFromString(f.read())
         kinds = proto.ModelProto.SentencePiece
         spec, trainer = model.normalizer_spec, model.trainer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or trainer.treat_whitespace_as_suffix:
-            raise ValueError("only models with the identity normaliser are supported")
-        self.prefix = SPACE if spec.add_dummy_prefix else ""
+        if trainer.treat_whitespace_as_suffix:
+            raise ValueError("models with white space as a suffix are not supported")
+        self.prefix, self.trim = SPACE if spec.add_dummy_prefix else "", spec.remove_extra_whitespaces
         self.bpe = trainer.model_type == proto.TrainerSpec.BPE
         self.pieces = [p.piece for p in model.pieces]
         self.unknown = trainer.unk_id
         self.lexicon: dict[str, int] = {}
         self.scores = [p.score for p in model.pieces]
         bytes_ids: dict[int, int] = {}
+        self.symbols: dict[str, bytes] = {}
         self.surface: list[bytes] = []
         for i, p in enumerate(model.pieces):
             if p.type == kinds.BYTE:
@@ -82,12 +179,16 @@ class Transducer:
             elif p.type == kinds.NORMAL:
                 self.lexicon[p.piece] = i
                 self.surface.append(p.piece.replace(SPACE, " ").encode())
+            elif p.type == kinds.USER_DEFINED:
+                self.symbols[p.piece] = np.array([i], "<i4").tobytes()
+                self.surface.append(p.piece.replace(SPACE, " ").encode())
             elif p.type in (kinds.CONTROL, kinds.UNKNOWN):
                 self.surface.append(trainer.unk_surface.encode() if p.type == kinds.UNKNOWN else b"")
             else:
                 raise ValueError(f"pieces of type {p.type} are not supported")
         if any(SPACE in p.lstrip(SPACE) for p in self.lexicon):
             raise ValueError("models with pieces across white space are not supported")
+        self.normalise = Normaliser(spec, list(self.symbols))
         self.byte_ids = [bytes_ids[b] for b in range(256)] if len(bytes_ids) == 256 else None
         self.trie: dict = {}
         for piece, i in self.lexicon.items():
@@ -170,7 +271,7 @@ class Transducer:
                     last[at + 1] = part[at]
         else:
             weights = [0.0] + [inf] * n
-            worst = min(self.scores) - 10.0
+            worst = min(self.scores[i] for i in self.lexicon.values()) - 10.0
             for at in range(n):
                 for piece in self._arcs(part, at):
                     i, end = self.lexicon.get(piece), at + len(piece)
@@ -193,7 +294,8 @@ class Transducer:
             if i is not None:
                 ids.append(i)
             elif self.byte_ids is None:
-                ids.append(self.unknown)
+                if ids[-1:] != [self.unknown]:  # a run of unknown letters is one piece
+                    ids.append(self.unknown)
             else:
                 ids.extend(self.byte_ids[b] for b in piece.encode("utf-8", "replace"))
         return np.array(ids, "<i4").tobytes()
@@ -201,12 +303,22 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        memo = self.memo
-        plain = SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " and self.prefix
+        plain = self.normalise.identity and SPACE not in text and "  " not in text and text[0] != " " and text[-1] != " " and self.prefix
         if plain:
             parts = (text.replace("\n", " \n") if self.lines else text).split(" ")  # with a space before it, or a line end
         if not plain or "" in parts:
-            parts = [SPACE + p for p in PARTS.findall(self.prefix + text.replace(" ", SPACE))]  # marked as written out
+            between = self.normalise(text)
+            if len(between) > 1:
+                return b"".join(self.symbols[p] if k % 2 else self._whole(p) for k, p in enumerate(between))
+            parts = [SPACE + p for p in PARTS.findall(between[0])]  # marked as written out
+        return self._ids(parts)
+
+    def _whole(self, letters: str) -> bytes:
+        """Ids of normalised letters."""
+        return self._ids([SPACE + p for p in PARTS.findall(letters)])
+
+    def _ids(self, parts: list[str]) -> bytes:
+        memo = self.memo
         try:
             return b"".join(map(memo.__getitem__, parts))
         except KeyError:
@@ -224,7 +336,7 @@ class Transducer:
 
     def _new(self, p: str) -> bytes:
         """Ids of a part that isn't remembered; a word's punctuation is taken apart from it where no piece joins them."""
-        root = p.rstrip(MARKS)
+        root = p.rstrip(MARKS) if self.byte_ids is not None else ""
         if root and root != p and root[-1] != SPACE and root[-1] + p[len(root)] not in self.joins:
             head = self.memo.get(root) or self.memo.recall(root)
             if head is None:
@@ -242,7 +354,7 @@ class Transducer:
     def decode(self, ids: list[int]) -> str:
         """The text of ids; bytes that are no text become U+FFFD."""
         text = b"".join(map(self.surface.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+        return text[1:] if (self.prefix or self.trim) and text.startswith(" ") else text
 
 
 def machine(path: str) -> Transducer:
