@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import answers, asking, documents, extraction, governance, hints, indexing, inventory, linking, reports, retrieval, search
+from .plans import answers, asking, context, documents, extraction, governance, hints, indexing, inventory, linking, reports, retrieval, search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (search, extraction, indexing, linking, retrieval, governance, documents, answers, inventory, hints, reports, asking):
+for _module in (search, extraction, indexing, linking, retrieval, governance, documents, answers, inventory, hints, reports, asking, context):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE
