@@ -25,16 +25,31 @@ def resolve_path(base: Column, relative: Column) -> Column:
     return F.array_join(walked, "/")
 
 
-def resolve_constants(constants: DataFrame, keys: list[str], depth: int = 4) -> DataFrame:
+def resolve_constants(constants: DataFrame, keys: list[str]) -> DataFrame:
     """Constants (name, base, suffix) with the texts of their bases put in, base by base; a cycle or an unknown base stays null.
 
-    Each round resolves one more step by a join with the constants known so far; `depth` bounds the steps.
+    Chains of any length: each round puts the base's own base and text in place of the base, so what is left of a chain
+    halves; rounds end when no constant has a base that can still be put in. Only that count comes to the driver.
     """
-    value = constants.select(*keys, "name", "base", F.when(F.col("base").isNull(), F.col("suffix")).alias("value"), "suffix")
-    for _ in range(depth):
-        known = value.filter("value IS NOT NULL").select(*keys, F.col("name").alias("base"), F.col("value").alias("_v"))
-        value = value.join(known, [*keys, "base"], "left").select(*keys, "name", "base", F.coalesce("value", F.concat("_v", "suffix")).alias("value"), "suffix")
-    return value.select(*keys, "name", "value")
+    now = constants.select(*keys, "name", "base", F.col("suffix").alias("value"), F.lit(1).cast("long").alias("steps"))
+    size = constants.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).head()["n"] or 0
+    while True:
+        into = now.select(*keys, F.col("name").alias("base"), F.col("base").alias("_base"), F.col("value").alias("_value"), F.col("steps").alias("_steps"))
+        met = now.join(into, [*keys, "base"], "left")
+        found = F.col("_value").isNotNull()
+        now = met.select(
+            *keys,
+            "name",
+            F.when(found, F.col("_base")).otherwise(F.col("base")).alias("base"),
+            F.when(found, F.concat("_value", "value")).otherwise(F.col("value")).alias("value"),
+            F.when(found, F.col("steps") + F.col("_steps")).otherwise(F.col("steps")).alias("steps"),
+        ).checkpoint()
+        # a chain of more steps than there are constants goes in a circle
+        now = now.withColumn("value", F.when(F.col("steps") <= size, F.col("value"))).filter(F.col("value").isNotNull())
+        waiting = now.filter("base IS NOT NULL").select(*keys, F.col("base").alias("name"))
+        if not waiting.join(now.select(*keys, "name"), [*keys, "name"], "left_semi").limit(1).count():
+            break
+    return constants.select(*keys, "name").join(now.filter("base IS NULL").select(*keys, "name", "value"), [*keys, "name"], "left")
 
 
 def object_blocks(numbered: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,10 +9,18 @@ from ..functions import text as T
 
 
 def rpc_links(callers: DataFrame, definers: DataFrame) -> DataFrame:
-    """Calls whose symbol another repository defines: (symbol, source_repo, target_repo), one row a pair of repositories."""
-    a = callers.select("symbol", F.col("repo").alias("source_repo")).distinct()
-    b = definers.select("symbol", F.col("repo").alias("target_repo")).distinct()
-    return a.join(b, "symbol").filter("source_repo <> target_repo")
+    """Membership in the class of a symbol that one repository calls and another defines: (symbol, repo, calls, defines, n_links).
+
+    n_links: how many other repositories a member is linked with, as caller and as definer. A class of c callers and d
+    definers stands for up to c * d links; they aren't written out.
+    """
+    a = callers.select("symbol", "repo", F.lit(1).alias("calls"), F.lit(0).alias("defines"))
+    b = definers.select("symbol", "repo", F.lit(0).alias("calls"), F.lit(1).alias("defines"))
+    members = a.union(b).groupBy("symbol", "repo").agg(F.max("calls").alias("calls"), F.max("defines").alias("defines"))
+    sizes = members.groupBy("symbol").agg(F.sum("calls").alias("_c"), F.sum("defines").alias("_d"))
+    both = F.col("calls") * F.col("defines")
+    links = F.col("calls") * (F.col("_d") - both) + F.col("defines") * (F.col("_c") - both)
+    return members.join(sizes, "symbol").withColumn("n_links", links).filter("n_links > 0").select("symbol", "repo", "calls", "defines", "n_links")
 
 
 def shared_identifiers(edges: DataFrame, identifier: Column, repo: str = "repo") -> DataFrame:

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +23,53 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def topk(points: DataFrame, query: list[float], k: int, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """The k points most like the query, ties by id: a TakeOrdered over one narrow projection."""
-    asked = F.array(*(F.lit(float(x)) for x in query))
-    scored = points.withColumn("score", F.round(cosine(F.col(vector), asked), 6)).drop(vector)
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+#: Queries that are scored at once, and points in a slice of a batch.
+QUERY_BLOCK, POINT_SLICE = 2048, 4096
+
+
+def _best(ids: np.ndarray, vectors: np.ndarray, k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, point_id, score): the k best points of a partition for each query; itself left out."""
+    best = np.full((len(ids), k), -np.inf)
+    who = np.full((len(ids), k), np.iinfo(np.int64).max)
+    for batch in batches:
+        for at in range(0, batch.num_rows, POINT_SLICE):
+            part = batch.slice(at, POINT_SLICE)
+            names = part.column(0).to_numpy()
+            points = np.array(part.column(1).to_pylist(), np.float64).reshape(len(names), -1)
+            sizes = np.sqrt((points**2).sum(axis=1))
+            scores = vectors @ (points / np.where(sizes > 0, sizes, 1)[:, None]).T
+            scores[:, sizes == 0] = -np.inf
+            scores[ids[:, None] == names[None, :]] = -np.inf
+            both = np.concatenate((best, scores), axis=1)
+            known = np.concatenate((who, np.broadcast_to(names, scores.shape)), axis=1)
+            order = np.lexsort((known, -both), axis=1)[:, :k]  # ties by id
+            best, who = np.take_along_axis(both, order, 1), np.take_along_axis(known, order, 1)
+    row, place = np.nonzero(best > -np.inf)
+    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(who[row, place]), pa.array(best[row, place])], names=["query_id", "point_id", "score"])
+
+
+def topk(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding", id_col: str = "vec_id", block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, rank, point_id, score): the k points most like each query by cosine, ties by id, the query itself left out.
+
+    Queries are a stated set. They are taken in blocks of `block` vectors, one scan of the points a block; each
+    partition keeps k points a query, so only those are shuffled, and scores are compared unrounded. Vectors without
+    length match nothing.
+    """
+    asked = queries.select(F.col(id_col).cast("long").alias("q"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    blocks = max(1, -(-asked.count() // block))
+    read = points.select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).filter("v IS NOT NULL")
+    found = None
+    for b in range(blocks):
+        some = asked.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).orderBy("q").collect()  # about `block` vectors
+        vectors = np.array([r["v"] for r in some], np.float64).reshape(len(some), -1)
+        sizes = np.sqrt((vectors**2).sum(axis=1))
+        whole = sizes > 0
+        ids = np.array([r["q"] for r in some], np.int64)[whole]
+        job = partial(_best, ids, vectors[whole] / sizes[whole][:, None], k)
+        part = read.mapInArrow(job, "query_id long, point_id long, score double") if len(ids) else None
+        if part is not None:
+            found = part if found is None else found.union(part)
+    if found is None:
+        return points.sparkSession.createDataFrame([], "query_id long, rank int, point_id long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id")
+    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "rank", "point_id", "score")

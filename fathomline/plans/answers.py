@@ -33,7 +33,7 @@ def constant_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("s_suppkey")
     base = F.when(n < 10, None).when(n == 17, "C17").otherwise(F.concat(F.lit("C"), F.floor(n / 10).cast("string")))
     rows = read(spark, sf_dir, "supplier").select(F.lit(1).alias("file"), F.concat(F.lit("C"), n.cast("string")).alias("name"), base.alias("base"), F.concat(F.lit("/"), n.cast("string")).alias("suffix"))
-    return A.resolve_constants(rows, ["file"], 6).select("name", "value")
+    return A.resolve_constants(rows, ["file"]).select("name", "value")
 
 
 def object_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,11 +113,12 @@ def context_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_overfetch_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty nearest points, at most three of a label, the first ten."""
+    """Thirty nearest points of each query, at most three of a label, the first ten."""
     points = read(spark, sf_dir, "embeddings")
-    near = V.topk(points, search._query_vector(points), 30)
-    w = Window.partitionBy("label").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("n", F.row_number().over(w)).filter("n <= 3").select("vec_id", "label", "score").orderBy(F.desc("score"), "vec_id").limit(10)
+    near = V.topk(points, search.asked(points), 30).join(points.select(F.col("vec_id").alias("point_id"), "label"), "point_id")
+    few = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "label").orderBy("rank"))).filter("n <= 3")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
+    return few.withColumn("place", place).filter("place <= 10").select("query_id", "place", F.col("point_id").alias("vec_id"), "label", F.round("score", 6).alias("score"))
 
 
 def score_json(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +236,8 @@ ORACLE = {
     ),
     "rerank_heuristic": f"{_BM_CTE}, {_RERANK} SELECT question_id, doc, score, place FROM rp",
     "context_selection": f"{_BM_CTE}, {_RERANK} SELECT question_id, doc, place, (sum(n) OVER (PARTITION BY question_id ORDER BY place))::BIGINT AS upto FROM rp QUALIFY upto <= 6000 OR place = 1",
-    "vector_overfetch_rerank": """WITH v AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1),
-        t AS (SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, v ORDER BY score DESC, vec_id LIMIT 30)
-        SELECT vec_id, label, score FROM (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) <= 3) ORDER BY score DESC, vec_id LIMIT 10""",
+    "vector_overfetch_rerank": f"""WITH {search.nearest_sql("true", 30)}, f AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY rank) <= 3)
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place, vec_id, label, round(score, 6) AS score FROM f QUALIFY place <= 10""",
     "score_json": "SELECT event_type, sum((props::JSON->>'k')::BIGINT)::BIGINT AS total, count(*) FILTER (WHERE props::JSON->>'k' IS NULL) AS n_missing FROM events GROUP BY event_type",
     "query_expansion": f"""WITH n AS (SELECT item_id, {_TOK.format('text')}[1:16] AS t FROM benchmark), u AS (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i)[1:2] AS t FROM n)
         SELECT item_id, k AS pos, t[k // 3 + 1] || [' implementation', ' route handler', ' table'][k % 3 + 1] AS query FROM u, unnest(range(0, 3 * len(t))) AS r(k)""",

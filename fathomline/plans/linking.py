@@ -24,7 +24,7 @@ def cross_links_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 def links_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fifteen identifiers with most links, by kind of link."""
     tables = cross_links_tables(spark, sf_dir).groupBy("identifier").agg((F.sum("n_links") / 2).cast("long").alias("n")).withColumn("kind", F.lit("table"))
-    calls = cross_links_rpc(spark, sf_dir).groupBy(F.col("symbol").alias("identifier")).agg(F.count("*").alias("n")).withColumn("kind", F.lit("rpc"))
+    calls = cross_links_rpc(spark, sf_dir).groupBy(F.col("symbol").alias("identifier")).agg((F.sum("n_links") / 2).cast("long").alias("n")).withColumn("kind", F.lit("rpc"))
     return tables.unionByName(calls).orderBy(F.desc("n"), "kind", "identifier").limit(15)
 
 
@@ -68,7 +68,11 @@ _SHARED = """m AS (SELECT DISTINCT lower(tab) AS identifier, repo FROM edges),
  shared AS (SELECT identifier, repo, count(*) OVER (PARTITION BY identifier) - 1 AS n_links FROM m QUALIFY n_links > 0)"""
 _AT = "repo || '/d' || id % 3 || '/' || path"
 ORACLE = {
-    "cross_links_rpc": with_sql(f"WITH {_RPC} SELECT * FROM rpc"),
+    "cross_links_rpc": with_sql(
+        f"""WITH {_RPC}, e AS (SELECT symbol, source_repo AS repo, target_repo AS other FROM rpc UNION ALL SELECT symbol, target_repo, source_repo FROM rpc)
+        SELECT symbol, repo, (count(*) FILTER (WHERE calls) > 0)::INT AS calls, (count(*) FILTER (WHERE NOT calls) > 0)::INT AS defines, n_links
+        FROM (SELECT symbol, repo, count(*) AS n_links FROM e GROUP BY ALL) JOIN (SELECT symbol, repo, type = 'CALLS_RPC_FUNC' AS calls FROM symbols) USING (symbol, repo) GROUP BY symbol, repo, n_links"""
+    ),
     "cross_links_tables": with_sql(f"WITH {_SHARED} SELECT * FROM shared"),
     "links_histogram": with_sql(
         f"""WITH {_RPC}, {_SHARED} SELECT * FROM (SELECT identifier, (sum(n_links) // 2)::BIGINT AS n, 'table' AS kind FROM shared GROUP BY identifier

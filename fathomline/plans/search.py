@@ -1,4 +1,4 @@
-"""Vector retrieval queries."""
+"""Vector retrieval queries: every point whose id is divisible by 50 asks all points."""
 
 from __future__ import annotations
 
@@ -9,22 +9,24 @@ from ..operators import vectors
 from ..session import read
 
 
-def _query_vector(points: DataFrame) -> list[float]:
-    """The question's embedding: here the first point of the table."""
-    row = points.orderBy("vec_id").select("embedding").first()
-    return list(row[0]) if row else []
+def asked(points: DataFrame) -> DataFrame:
+    """The stated query set."""
+    return points.filter("vec_id % 50 = 0")
 
 
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest points of five labels for each query."""
     points = read(spark, sf_dir, "embeddings")
-    asked = _query_vector(points)
-    return vectors.topk(points.filter(F.col("label") < 5), asked, 10).select("vec_id", "label", "score")
+    found = vectors.topk(points.filter(F.col("label") < 5), asked(points), 10)
+    return found.select("query_id", "rank", F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
+def nearest_sql(condition: str, most: int) -> str:
+    """Common table expression `near`: the nearest points of each query."""
+    return f"""near AS (SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) DESC, p.vec_id) AS rank,
+        p.vec_id, p.label, list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS score
+        FROM embeddings q JOIN embeddings p ON q.vec_id % 50 = 0 AND p.vec_id <> q.vec_id AND {condition} QUALIFY rank <= {most})"""
 
 
 QUERIES = {"vector_topk": vector_topk}
-ORACLE = {
-    "vector_topk": """
-        WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings ORDER BY vec_id LIMIT 1)
-        SELECT vec_id, label, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score
-        FROM embeddings, q WHERE label < 5 ORDER BY score DESC, vec_id LIMIT 10"""
-}
+ORACLE = {"vector_topk": f"WITH {nearest_sql('p.label < 5', 10)} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM near"}
