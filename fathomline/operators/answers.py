@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpointed
+
 
 def route_object(text: Column) -> Column:
     """method, alias, url and handler of a `{method: ['GET'], alias: '..', url: '..', handler: '..'}` object."""
@@ -37,13 +39,15 @@ def resolve_constants(constants: DataFrame, keys: list[str]) -> DataFrame:
         into = now.select(*keys, F.col("name").alias("base"), F.col("base").alias("_base"), F.col("value").alias("_value"), F.col("steps").alias("_steps"))
         met = now.join(into, [*keys, "base"], "left")
         found = F.col("_value").isNotNull()
-        now = met.select(
-            *keys,
-            "name",
-            F.when(found, F.col("_base")).otherwise(F.col("base")).alias("base"),
-            F.when(found, F.concat("_value", "value")).otherwise(F.col("value")).alias("value"),
-            F.when(found, F.col("steps") + F.col("_steps")).otherwise(F.col("steps")).alias("steps"),
-        ).checkpoint()
+        now = checkpointed(
+            met.select(
+                *keys,
+                "name",
+                F.when(found, F.col("_base")).otherwise(F.col("base")).alias("base"),
+                F.when(found, F.concat("_value", "value")).otherwise(F.col("value")).alias("value"),
+                F.when(found, F.col("steps") + F.col("_steps")).otherwise(F.col("steps")).alias("steps"),
+            )
+        )
         # a chain of more steps than there are constants goes in a circle
         now = now.withColumn("value", F.when(F.col("steps") <= size, F.col("value"))).filter(F.col("value").isNotNull())
         waiting = now.filter("base IS NOT NULL").select(*keys, F.col("base").alias("name"))

@@ -10,45 +10,63 @@ from ..functions import text as T
 K1, B, DELTA = 1.2, 0.7, 0.5
 
 
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column]) -> DataFrame:
-    """(doc, field, term, tf, len) of the fields' tokens."""
-    per_field = F.array(*(F.struct(F.lit(name).alias("field"), T.tokens(F.coalesce(x, F.lit(""))).alias("terms")) for name, x in fields.items()))
-    exploded = docs.select(F.col(id_col).alias("doc"), F.explode(per_field).alias("f")).select("doc", "f.field", F.size("f.terms").alias("len"), F.explode("f.terms").alias("term"))
-    return exploded.groupBy("doc", "field", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+#: Terms of questions that are broadcast; more are joined by a shuffle.
+MAX_TERMS = 1_000_000
+
+
+def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], terms: DataFrame | None = None) -> DataFrame:
+    """(doc, field, term, tf, len) of the fields' tokens; only of the given terms (term), if any.
+
+    Tokens that aren't asked for are dropped before anything is shuffled.
+    """
+    per_field = F.array(*(F.struct(F.lit(name).alias("field"), F.lower(F.coalesce(x, F.lit(""))).alias("text")) for name, x in fields.items()))
+    rows = docs.select(F.col(id_col).alias("doc"), F.explode(per_field).alias("f")).select("doc", "f.field", F.regexp_count("f.text", F.lit("[a-z0-9]+")).alias("len"), "f.text")
+    tokens = rows.select("doc", "field", "len", F.explode(F.split("text", "[^a-z0-9]+")).alias("term")).filter("term <> ''")
+    if terms is not None:
+        tokens = tokens.join(terms, "term", "left_semi")
+    return tokens.groupBy("doc", "field", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], k: int) -> DataFrame:
     """The k best documents of each question (question_id, text): BM25+ over weighted fields, ties by document.
 
-    Postings are joined with the questions' distinct terms, a small table, before any aggregation by document.
+    Tokens meet the questions' distinct terms, a small table, as they are split.
     """
-    index = postings(docs, id_col, {name: x for name, (x, _) in fields.items()})
     asked = questions.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    sizes = docs.select(*(F.size(T.tokens(F.coalesce(x, F.lit("")))).alias(name) for name, (x, _) in fields.items()))
+    terms = asked.select("term").distinct()
+    hit = postings(docs, id_col, {name: x for name, (x, _) in fields.items()}, F.broadcast(terms) if terms.count() <= MAX_TERMS else terms)
+    sizes = docs.select(*(F.regexp_count(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+")).alias(name) for name, (x, _) in fields.items()))
     stats = sizes.agg(F.count("*").alias("n"), *(F.avg(F.nullif(F.col(name), F.lit(0))).alias(f"avg_{name}") for name in fields))
-    hit = index.join(asked.select("term").distinct(), "term", "left_semi")
     # reads all columns of the postings, so both uses share one exchange
     df = hit.groupBy("field", "term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("len") > 0), 1)).alias("df"))
     boost = F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, (_, w) in fields.items()))
     mean = F.coalesce(*(F.when(F.col("field") == name, F.col(f"avg_{name}")) for name in fields))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = boost * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean)))
-    (row,) = stats.collect()  # one row: the corpus size and the mean lengths
-    known = hit.join(df, ["field", "term"]).withColumns({c: F.lit(row[c]) for c in stats.columns})
-    scored = known.select("doc", "term", weight.alias("w")).join(asked, "term").groupBy("question_id", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
+    known = hit.join(df, ["field", "term"]).crossJoin(F.broadcast(stats))  # one row: the corpus size and the mean lengths
+    # a document's weights are summed by term first, so a question's row is a sum of few
+    weights = known.groupBy("doc", "term").agg(F.sum(weight).alias("w"))
+    scored = weights.join(asked, "term").groupBy("question_id", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
     w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def exact_term_score(text: Column, terms: Column, whole: float = 4, part: float = 1, phrase: float = 12) -> Column:
     """Whole words count most, parts of words a little, two neighbouring terms as a phrase extra."""
-    words = T.tokens(text)
-    low = F.lower(text)
-    single = F.aggregate(
-        terms, F.lit(0.0), lambda s, t: s + F.when(F.array_contains(words, t), F.lit(whole)).when((t != "") & low.contains(t), F.lit(part)).otherwise(F.lit(0.0))
-    )
-    pairs = F.transform(F.slice(terms, 2, F.greatest(F.size(terms) - 1, F.lit(0))), lambda t, i: F.concat(F.get(terms, i), F.lit(" "), t))
-    return single + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(low.contains(p), F.lit(phrase)).otherwise(F.lit(0.0)))
+
+    def score(x: Column) -> Column:
+        single = F.aggregate(
+            terms,
+            F.lit(0.0),
+            lambda s, t: s
+            + F.when((t == "") | ~F.contains(x["low"], t), F.lit(0.0)).when(F.contains(x["words"], F.concat(F.lit(" "), t, F.lit(" "))), F.lit(whole)).otherwise(F.lit(part)),
+        )
+        pairs = F.transform(F.slice(terms, 2, F.greatest(F.size(terms) - 1, F.lit(0))), lambda t, i: F.concat(F.get(terms, i), F.lit(" "), t))
+        return single + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(F.contains(x["low"], p), F.lit(phrase)).otherwise(F.lit(0.0)))
+
+    # the text is normalised once a row, not once a term; words stand between single spaces
+    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), "[^a-z0-9]+", " ")
+    return F.transform(F.array(F.struct(words.alias("words"), F.lower(text).alias("low"))), score)[0]
 
 
 def diversity(scored: DataFrame, keys: list[str], group: str, score: str = "score", step: float = 30, most: float = 90) -> DataFrame:

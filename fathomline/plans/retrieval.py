@@ -16,6 +16,9 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
 
 
+#: Candidates of the exact rerankers.
+CANDIDATES = 300
+
 _TOKENS = "list_filter(string_split_regex(lower(coalesce({0}, '')), '[^a-z0-9]+'), lambda x: x <> '')"
 _Q = f"q AS (SELECT item_id AS question_id, list_distinct({_TOKENS.format('text')}) AS terms FROM benchmark)"
 _BM25 = f"""d AS (SELECT chunk_id AS doc, unnest([{{'field': 'content', 'boost': 1.0, 't': {_TOKENS.format('content')}}}, {{'field': 'path', 'boost': 1.5, 't': {_TOKENS.format('path')}}}]) AS f FROM chunks),
@@ -26,12 +29,13 @@ _BM25 = f"""d AS (SELECT chunk_id AS doc, unnest([{{'field': 'content', 'boost':
  {_Q}, qt AS (SELECT question_id, unnest(terms) AS term FROM q),
  bm AS (SELECT question_id, doc, round(sum(boost * ln(1 + (n - df + 0.5) / (df + 0.5)) * (0.5 + tf * 2.2 / (tf + 1.2 * (0.3 + 0.7 * len / mean)))), 6) AS score
  FROM p JOIN df USING (field, term) JOIN avgs USING (field) JOIN qt USING (term) GROUP BY question_id, doc),
- top AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 10)"""
+ many AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) AS rank FROM bm QUALIFY rank <= 300),
+ top AS (SELECT * FROM many WHERE rank <= 10)"""
 
 
-def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bm25_topk(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
     fields = {"content": (F.col("content"), 1.0), "path": (F.col("path"), 1.5)}
-    return R.bm25(load(spark, sf_dir, "chunks"), _questions(spark, sf_dir), "chunk_id", fields, 10).select("question_id", "doc", "score", "rank")
+    return R.bm25(load(spark, sf_dir, "chunks"), _questions(spark, sf_dir), "chunk_id", fields, most).select("question_id", "doc", "score", "rank")
 
 
 def _with_text(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
@@ -40,10 +44,14 @@ def _with_text(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame
 
 
 def exact_term_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """BM25 candidates in order of exact terms and phrases."""
+    """The ten best of 300 BM25 candidates by exact terms and phrases."""
     asked = _questions(spark, sf_dir).select("question_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    scored = _with_text(spark, sf_dir, bm25_topk(spark, sf_dir)).join(asked, "question_id")
-    return scored.select("question_id", "doc", R.exact_term_score(F.col("content"), F.col("terms")).alias("score"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each is scored at length
+    candidates = bm25_topk(spark, sf_dir, CANDIDATES).repartition(tasks, "question_id", "doc")
+    scored = _with_text(spark, sf_dir, candidates).join(asked, "question_id")
+    exact = scored.select("question_id", "doc", R.exact_term_score(F.col("content"), F.col("terms")).alias("score")).filter("score > 0")
+    place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc"))
+    return exact.withColumn("n", place).filter("n <= 10").drop("n")
 
 
 def repo_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,9 +98,13 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bm25_topk, exact_term_rerank, repo_diversity, hybrid_union, compacted_context, mirror_dedup, sources_by_role, question_intents)}
 
-_EXACT = f"""ex AS (SELECT question_id, doc, (list_sum(list_transform(terms, lambda t: CASE WHEN list_contains({_TOKENS.format('content')}, t) THEN 4.0 WHEN contains(lower(content), t) THEN 1.0 ELSE 0.0 END))
- + coalesce(list_sum(list_transform(range(1, len(terms)), lambda i: CASE WHEN contains(lower(content), terms[i] || ' ' || terms[i + 1]) THEN 12.0 ELSE 0.0 END)), 0))::DOUBLE AS score
- FROM top JOIN chunks ON chunk_id = doc JOIN q USING (question_id))"""
+_EXACT = f"""tw AS MATERIALIZED (SELECT DISTINCT chunk_id AS doc, unnest({_TOKENS.format('content')}) AS term FROM chunks),
+ tl AS MATERIALIZED (SELECT chunk_id AS doc, lower(content) AS low FROM chunks),
+ ut AS MATERIALIZED (SELECT question_id, term, lead(term) OVER (PARTITION BY question_id ORDER BY i) AS next FROM (SELECT question_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM q)),
+ ea AS (SELECT question_id, many.doc, sum(CASE WHEN tw.doc IS NOT NULL THEN 4.0 WHEN contains(low, ut.term) THEN 1.0 ELSE 0.0 END
+   + CASE WHEN next IS NOT NULL AND contains(low, ut.term || ' ' || next) THEN 12.0 ELSE 0.0 END)::DOUBLE AS score
+  FROM many JOIN ut USING (question_id) JOIN tl ON tl.doc = many.doc LEFT JOIN tw ON tw.doc = many.doc AND tw.term = ut.term GROUP BY ALL),
+ ex AS (SELECT * FROM ea WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) <= 10)"""
 ORACLE = {
     "bm25_topk": with_sql(f"WITH {_BM25} SELECT * FROM top"),
     "exact_term_rerank": with_sql(f"WITH {_BM25}, {_EXACT} SELECT * FROM ex"),

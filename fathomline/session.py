@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +25,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
 def read(spark: SparkSession, sf_dir: str, name: str):
     """One of the given tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpointed(df):
+    """df with its lineage cut in the shared folder that the session names; a session on one machine may go without one."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(folder or "file://" + tempfile.mkdtemp(prefix="fathomline-"))
+    return df.checkpoint()
