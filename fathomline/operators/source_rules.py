@@ -142,7 +142,8 @@ def line_facts(files: DataFrame, content: str = "content", first_line: int = 1,
         return F.filter(numbered, lambda x: F.length(x["text"]).between(12, 220) & ~x["text"].rlike(NOISE[0]) & ~x["text"].rlike(NOISE[1]))
 
     rest = [c for c in files.columns if c != content]
-    rows = files.select(*rest, F.monotonically_increasing_id().alias("_row"), F.explode(facts_of(F.split(content, r"\r?\n"))).alias("x"))
+    numbered = files.withColumn("_row", F.monotonically_increasing_id())  # before the lines are taken apart: one number a file
+    rows = numbered.select(*rest, "_row", F.explode(facts_of(F.split(content, r"\r?\n"))).alias("x"))
     found = rows.withColumn("category", category).filter("category IS NOT NULL")
     key = Window.partitionBy("_row", "category", F.lower("x.text")).orderBy("x.line")
     once = found.withColumn("_n", F.row_number().over(key)).filter("_n = 1")
