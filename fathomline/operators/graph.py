@@ -50,10 +50,16 @@ def within(symbols: DataFrame, uses: DataFrame, keys: list[str], span: int, most
 
 
 def best_definition(handlers: DataFrame, definitions: DataFrame) -> DataFrame:
-    """For each handler the definition of its symbol whose path shares most leading segments (at least one), then the first by id."""
-    d = definitions.select("symbol", F.col("id").alias("definition_id"), F.col("path").alias("definition_path"))
-    scored = handlers.join(d, "symbol").withColumn("score", T.common_prefix(F.col("path"), F.col("definition_path"))).filter("score > 0")
-    best = scored.groupBy("id").agg(F.max_by(F.struct("definition_id", "score"), F.struct("score", -F.col("definition_id"))).alias("b"))
+    """For each handler the definition of its symbol whose path shares most leading segments (at least one), then the first by id.
+
+    Definitions are reduced to the first of every symbol and leading part of a path, and handlers meet these by equal
+    parts, so a symbol with many handlers and definitions makes no pair of them.
+    """
+    parts = F.split("path", "/")
+    levels = F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(n.alias("score"), F.array_join(F.slice(parts, 1, n), "/").alias("part"))))
+    firsts = definitions.select("symbol", "id", levels.alias("x")).groupBy("symbol", "x.score", "x.part").agg(F.min("id").alias("definition_id"))
+    met = handlers.select("id", "symbol", levels.alias("x")).select("id", "symbol", "x.score", "x.part").join(firsts, ["symbol", "score", "part"])
+    best = met.groupBy("id").agg(F.max(F.struct("score", "definition_id")).alias("b"))  # one definition a level
     return best.select("id", "b.definition_id", "b.score")
 
 

@@ -43,17 +43,20 @@ def _with_text(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame
     return ranked.join(chunks, "doc")
 
 
-def exact_term_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best of 300 BM25 candidates by exact terms and phrases."""
+def _exact(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
     asked = _questions(spark, sf_dir).select("question_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each is scored at length
-    candidates = bm25_topk(spark, sf_dir, CANDIDATES).repartition(tasks, "question_id", "doc")
-    scored = _with_text(spark, sf_dir, candidates).join(asked, "question_id")
+    scored = _with_text(spark, sf_dir, candidates.repartition(tasks, "question_id", "doc")).join(asked, "question_id")
     exact = scored.select("question_id", "doc", R.exact_term_score(F.col("content"), F.col("terms")).alias("score")).filter("score > 0")
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc"))
     return exact.withColumn("n", place).filter("n <= 10").drop("n")
 
 
+def exact_term_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of 300 BM25 candidates by exact terms and phrases."""
+    return _exact(spark, sf_dir, bm25_topk(spark, sf_dir, CANDIDATES))
+
+
 def repo_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 results after the penalty on many chunks of one repository."""
     rows = _with_text(spark, sf_dir, bm25_topk(spark, sf_dir)).select("question_id", "doc", "branch", "rank", F.col("score"))
@@ -62,8 +65,8 @@ def repo_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hybrid_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three best of BM25 pinned before the order of exact terms, the first eight."""
-    best = bm25_topk(spark, sf_dir)
-    exact = exact_term_rerank(spark, sf_dir)
+    best = bm25_topk(spark, sf_dir, CANDIDATES)  # one search for both lists
+    exact = _exact(spark, sf_dir, best)
     order = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc"))
     lists = [best.filter("rank <= 3").withColumn("pos", F.col("rank")), exact.withColumn("pos", order)]
     return R.union_by_priority(lists, ["question_id"], "doc", 8)
