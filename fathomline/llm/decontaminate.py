@@ -155,12 +155,11 @@ def decontaminate(
             per_text.select("text_key", F.struct("item_ids", let(covered, spans).alias("c")).alias("found")).withColumnRenamed("text_key", "_text_key"),
             "found",
         )
-    placed = docs.select(
-        F.struct(*rest).alias("row"),
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("n_words"),
-        _text_key(text).alias("_text_key"),
-        F.monotonically_increasing_id().alias("_place"),
-    )
+    own = [] if text in rest else [F.col(text).alias("_text")]
+    placed = docs.select(F.struct(*rest).alias("row"), *own, _text_key(text).alias("_text_key"), F.monotonically_increasing_id().alias("_place"))
+    whole = F.col("row")[text] if text in rest else F.col("_text")
+    # counted last: a filter on the result counts the words of what it keeps
+    n_words = F.regexp_count(F.coalesce(whole, F.lit("")), F.lit(WORD)).cast("long")
     size = 64 + 8 * F.size("found.c.hit_spans") + F.aggregate("found.item_ids", F.lit(0).cast("long"), lambda a, x: a + 16 + F.octet_length(x))
     if _bytes(found, size) <= max_bytes:
         judged = placed.join(F.broadcast(found), "_text_key", "left")
@@ -170,7 +169,7 @@ def decontaminate(
     item_ids = F.coalesce(F.col("found.item_ids"), F.array().cast("array<string>"))
     return judged.select(
         *(F.col("row")[c].alias(c) for c in rest),
-        "n_words",
+        n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(item_ids).cast("long").alias("n_items"),
         item_ids.alias("item_ids"),
