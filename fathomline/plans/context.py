@@ -68,7 +68,7 @@ def handler_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = handlers.withColumn("alias", F.split("handler", r"\.")[0]).join(needs, ["file_id", "alias"], "left")
     stem = F.regexp_extract("target", r"([^/]+)$", 1)
     known = files.select("repo", F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.[a-z.]+$", "").alias("stem"), F.col("file_id").alias("found")).groupBy("repo", "stem").agg(F.min("found").alias("found"))
-    return named.withColumn("stem", stem).join(known, ["repo", "stem"], "left").select("file_id", "handler", F.element_at(F.split("handler", r"\."), -1).alias("method"), "target", "found")
+    return named.withColumn("stem", stem).join(known, ["repo", "stem"], "left").select("file_id", "handler", F.element_at(F.split("handler", r"\."), -1).alias("method"), "target", F.col("found").cast("string").alias("found"))
 
 
 def doc_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -294,7 +294,7 @@ ORACLE = {
         r"""WITH n AS (SELECT file_id, unnest(regexp_extract_all(content, 'const\s+([A-Za-z_]\w*)\s*=\s*require\(\s*["'']([^"'']+)["'']', 1)) AS alias, unnest(regexp_extract_all(content, 'const\s+([A-Za-z_]\w*)\s*=\s*require\(\s*["'']([^"'']+)["'']', 2)) AS target FROM sources),
         h AS (SELECT file_id, repo, unnest(list_distinct(regexp_extract_all(content, 'handler\s*:\s*([A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)+)', 1))) AS handler FROM sources),
         k AS (SELECT repo, regexp_replace(regexp_extract(path, '([^/]+)$', 1), '\.[a-z.]+$', '') AS stem, min(file_id) AS found FROM sources GROUP BY ALL)
-        SELECT h.file_id, handler, string_split(handler, '.')[-1] AS method, target, found FROM h LEFT JOIN n ON h.file_id = n.file_id AND string_split(handler, '.')[1] = alias
+        SELECT h.file_id, handler, string_split(handler, '.')[-1] AS method, target, found::VARCHAR AS found FROM h LEFT JOIN n ON h.file_id = n.file_id AND string_split(handler, '.')[1] = alias
         LEFT JOIN k ON h.repo = k.repo AND regexp_extract(target, '([^/]+)$', 1) = k.stem"""
     ),
     "doc_subjects": with_sources(
