@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, licenses, near_dup, pieces, quality, token_files, url_filter
+from . import chat, decontaminate, html_text, language, licenses, near_dup, packing, pieces, quality, token_files, url_filter
 from .common import new_folder, table
 
 #: (host, path, verdict) of the URL rules (fixed values of the contract).
@@ -93,6 +93,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(manifest, folder)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, public_tokenizers.path(BPE_VOCABULARY))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_near_duplicates": op2_near_duplicates,
@@ -104,4 +109,5 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
+    "op11_best_fit_packing": op11_best_fit_packing,
 }
