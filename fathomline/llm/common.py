@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: White space of the word rules: U+0020 and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]"
@@ -198,3 +202,103 @@ class Memo(dict):
         if len(self) > self.size:
             self.old = dict(self)
             self.clear()
+
+
+#: Rows of a run's block.
+RUN_ROWS = 4096
+
+
+def _changes(column: pa.Array) -> np.ndarray:
+    """Places where a sorted column's value differs from the one before (null equals null)."""
+    if len(column) < 2:
+        return np.zeros(min(len(column), 1), np.int64)
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    plain = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    nulls = np.asarray(a.is_null().to_numpy(zero_copy_only=False)) != np.asarray(b.is_null().to_numpy(zero_copy_only=False))
+    return np.concatenate([[0], 1 + np.flatnonzero(plain | nulls)])
+
+
+def _cut_runs(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    new_stage()
+    run, seq = TaskContext.get().partitionId(), 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cuts = _changes(batch.column(0))
+        ends = np.append(cuts[1:], batch.num_rows)
+        starts = np.concatenate([np.arange(a, b, size) for a, b in zip(cuts, ends, strict=True)])
+        items = pa.StructArray.from_arrays(batch.columns[1:], names=batch.schema.names[1:])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, batch.num_rows), pa.int32()), items)
+        n = len(starts)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(pa.array(starts)), pa.array(np.full(n, run), pa.int32()), pa.array(np.arange(seq, seq + n), pa.int64()), lists],
+            names=[batch.schema.names[0], "run", "seq", "items"],
+        )
+        seq += n
+
+
+def runs(rows: DataFrame, key: str, order: list[str], size: int = RUN_ROWS) -> DataFrame:
+    """(key, run, seq, items): the rows of every key in their order, in blocks of at most `size`; (run, seq) orders a key's blocks.
+
+    Rows are dealt by ranges of key, order and their own place, so a key with a third of all rows, or a row that
+    repeats as often, is spread over many tasks. Write the result before it is read twice.
+    """
+    spark = rows.sparkSession
+    rest = [c for c in rows.columns if c != key]
+    by = [key, *order, "_place"]
+    dealt = (
+        rows.select("*", F.monotonically_increasing_id().alias("_place"))
+        .repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *by)
+        .sortWithinPartitions(*by)
+        .select(key, *rest)
+    )
+    fields = ", ".join(f"{c}: {t}" for c, t in dealt.select(*rest).dtypes)
+    return dealt.mapInArrow(partial(_cut_runs, size), f"{key} {dict(rows.dtypes)[key]}, run int, seq bigint, items array<struct<{fields}>>")
+
+
+def _digests(sep: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    new_stage()
+    key, digest, done = None, None, []
+    for batch in batches:
+        for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if digest is None or k != key:
+                if digest is not None:
+                    done.append((key, digest.hexdigest()))
+                key, digest = k, hashlib.sha256()
+            else:
+                digest.update(sep)
+            digest.update(data.as_buffer())
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c, batch.column(0).type if i == 0 else pa.string()) for i, c in enumerate(zip(*done, strict=True))], names=[batch.schema.names[0], "sha256"])
+            done = []
+        schema = batch.schema
+    if digest is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([key], schema.types[0]), pa.array([digest.hexdigest()])], names=[schema.names[0], "sha256"])
+
+
+def joined_digests(blocks: DataFrame, key: str, data: str, sep: str) -> DataFrame:
+    """(key, sha256): SHA-256 of a key's data joined by sep in the order of (run, seq).
+
+    The hash goes from one byte to the next, so a key's blocks pass one task, but one at a time.
+    """
+    dealt = blocks.select(key, "run", "seq", F.col(data).cast("binary").alias("data")).repartition(key).sortWithinPartitions(key, "run", "seq")
+    return dealt.select(key, "data").mapInArrow(partial(_digests, sep.encode()), f"{key} {dict(blocks.dtypes)[key]}, sha256 string")
+
+
+def running(rows: DataFrame, key: str, place: str, sums: dict[str, str], span: int = 1024) -> DataFrame:
+    """rows with, for each {new: column} of sums, the sum of the column over the key's rows of lower place.
+
+    Sums go over `span` places, then over the sums of spans, so a long key is summed by many tasks; places are distinct in a key.
+    """
+    part = F.floor(F.col(place) / span).cast("long")
+    totals = rows.groupBy(key, part.alias("_span")).agg(*(F.sum(c).alias(f"_{new}") for new, c in sums.items()))
+    upto = Window.partitionBy(key).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(key, "_span", *(F.sum(f"_{new}").over(upto).alias(f"_{new}") for new in sums))
+    inner = Window.partitionBy(key, "_span").orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_span", part)
+    for new, c in sums.items():
+        placed = placed.withColumn(f"_in_{new}", F.sum(c).over(inner))
+    zero = F.lit(0)
+    return placed.join(before, [key, "_span"]).select(
+        *rows.columns, *((F.coalesce(f"_in_{new}", zero) + F.coalesce(f"_{new}", zero)).alias(new) for new in sums)
+    )

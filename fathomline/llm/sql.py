@@ -111,10 +111,39 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN spots USING (rid) LEFT JOIN items USING (rid)"""
 
+
+
+def _crc32(text: str) -> str:
+    """SQL of the CRC-32 of a text of ASCII characters."""
+    step = "list_reduce(list_prepend(xor(a, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    codes = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: {step}), 4294967295::BIGINT)"
+
+
+_OP13 = f"""
+WITH t AS (SELECT conv_id AS c, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS mark, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS p
+    FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, count(*) AS n, c - c % 5 AS b, {_crc32('c::VARCHAR')} % 9 AS h FROM t GROUP BY c),
+taken AS (SELECT i.*, least(i.h, coalesce(k.n, 0)) AS taken FROM ids i LEFT JOIN ids k ON i.b = k.c),
+m AS (SELECT i.c, p + 1 AS d, mark, bytes FROM taken i JOIN t ON t.c = i.b AND p < h
+    UNION ALL SELECT i.c, p - h + taken + 1, mark, bytes FROM taken i JOIN t ON t.c = i.c AND p >= h),
+paths AS (SELECT c, d, bytes, string_agg(mark, '') OVER (PARTITION BY c ORDER BY d ROWS UNBOUNDED PRECEDING) AS path, count(*) OVER (PARTITION BY c) AS len FROM m
+    UNION ALL SELECT c, 0, 0, '', (SELECT count(*) FROM m WHERE m.c = ids.c) FROM ids),
+nodes AS (SELECT path, d, min(c) AS o, count(*) AS n, min(bytes) AS bytes,
+    string_agg(CASE WHEN len = d THEN c::VARCHAR END, ',' ORDER BY c) AS ends FROM paths GROUP BY path, d),
+kids AS (SELECT left(path, 32 * (d - 1)::INT) AS path, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1),
+v AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN kids USING (path)),
+below AS (SELECT u.path, sum((w.n - 1) * w.bytes) AS saved, count(*) FILTER (WHERE w.k = 0) AS leaves FROM v u JOIN v w ON starts_with(w.path, u.path) GROUP BY u.path)
+SELECT v.o AS conv_id, v.d AS depth, up.o AS parent_conv_id, v.n AS n_convs, v.k AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens,
+    sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN below USING (path) LEFT JOIN v up ON v.d > 0 AND up.path = left(v.path, 32 * (v.d - 1)::INT)"""
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": _OP3,
     "op5_chat_rotation": _OP5,
     "op7_quality_rules": _OP7,
     "op8_license_scan": _OP8,
     "op9_decontaminate": _OP9,
+    "op13_prefix_trie": _OP13,
 }
