@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, language, licenses, near_dup, packing, pieces, prefix_trie, quality, token_files, url_filter
+from . import chat, decontaminate, html_text, language, licenses, near_dup, packing, pieces, prefix_trie, quality, repair, token_files, url_filter
 from .common import new_folder, table
 
 #: (host, path, verdict) of the URL rules (fixed values of the contract).
@@ -98,6 +98,10 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path(BPE_VOCABULARY))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
 
@@ -114,5 +118,6 @@ QUERIES = {
     "op9_decontaminate": op9_decontaminate,
     "op10_token_files": op10_token_files,
     "op11_best_fit_packing": op11_best_fit_packing,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_prefix_trie": op13_prefix_trie,
 }

@@ -139,11 +139,56 @@ SELECT v.o AS conv_id, v.d AS depth, up.o AS parent_conv_id, v.n AS n_convs, v.k
     sha256(coalesce(v.ends, '')) AS ends_sha256
 FROM v JOIN below USING (path) LEFT JOIN v up ON v.d > 0 AND up.path = left(v.path, 32 * (v.d - 1)::INT)"""
 
+
+def _op12() -> str:
+    """The cheapest edits by a recursion over turns; a state is a struct of cost, audit and repaired text, so least() breaks ties by the audit."""
+
+    def edit(state: str, price: str, letter: str, line: str = "''") -> str:
+        return f"{{'c': {state}.c + {price}, 'a': {state}.a || '{letter}', 't': {state}.t || {line}}}"
+
+    insert = {"user": "chr(10) || 'user:'", "assistant": "chr(10) || 'assistant:'"}
+    keep = lambda z, x: f"CASE WHEN starts_with(p.role, '{x}') THEN {edit(z, 'pay', 'K', 'chr(10) || p.role || chr(58) || p.text')} END"
+    rerole = lambda z, who: edit(z, "pay + 1", "R", f"{insert[who]} || p.text")
+    drop = lambda z: edit(z, "2", "D")
+    put = lambda z, who: edit(z, "5", "I", insert[who])
+    start = "{'c': 0::BIGINT, 'a': '', 't': ''}"
+    never = "{'c': 1000000000::BIGINT, 'a': '', 't': ''}"
+    mark = "md5(strlen(role) || ':' || role || text)"
+    return f"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+dm AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM raw, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS c(copy) WHERE k <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, {mark}) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+    regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS bare FROM dm),
+pos AS (SELECT *, CASE WHEN bare = '' THEN 1 WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 2
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+    i > 1 AND left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) || left(role, 1) NOT IN ('su', 'ua', 'au') AS bad FROM numbered),
+priced AS (SELECT *, CASE fault WHEN 0 THEN 0 WHEN 3 THEN 5 ELSE 1000000000 END AS pay FROM pos),
+walk AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {start} AS b, {never} AS s, {put(start, 'user')} AS u, {put(put(start, 'user'), 'assistant')} AS a FROM pos
+    UNION ALL SELECT conv_id, i, b, s, least(u, {put('a', 'user')}), a FROM (
+        SELECT conv_id, i, b, s, u, least(a, {put('u', 'assistant')}) AS a FROM (
+            SELECT conv_id, i, b, s, least(u, {put('b', 'user')}, {put('s', 'user')}, {put('a', 'user')}) AS u, a FROM (
+                SELECT w.conv_id, p.i, {drop('w.b')} AS b, least({drop('w.s')}, {keep('w.b', 's')}) AS s,
+                    least({drop('w.u')}, {keep('w.b', 'u')}, {keep('w.s', 'u')}, {keep('w.a', 'u')}, {rerole('w.b', 'user')}, {rerole('w.s', 'user')}, {rerole('w.a', 'user')}) AS u,
+                    least({drop('w.a')}, {keep('w.u', 'a')}, {rerole('w.u', 'assistant')}) AS a
+                FROM walk w JOIN priced p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i + 1)))),
+final AS (SELECT w.conv_id, least(w.b, w.a) AS f FROM walk w JOIN pos p ON p.conv_id IS NOT DISTINCT FROM w.conv_id AND p.i = w.i AND p.i = p.n),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank,
+    count(*) FILTER (WHERE fault = 2) AS duplicate, count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE bad) AS illegal FROM pos GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(f.c, 0) AS cost, coalesce(f.a, '') AS audit, sha256(coalesce(substr(f.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN final ON o.conv_id IS NOT DISTINCT FROM final.conv_id
+LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id"""
+
+
 ORACLE: dict[str, str] = {
     "op3_url_filter": _OP3,
     "op5_chat_rotation": _OP5,
     "op7_quality_rules": _OP7,
     "op8_license_scan": _OP8,
     "op9_decontaminate": _OP9,
+    "op12_conversation_repair": _op12(),
     "op13_prefix_trie": _OP13,
 }
