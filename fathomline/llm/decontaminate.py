@@ -1,8 +1,7 @@
 """Benchmark decontamination with a broadcast hash set of normalised n-grams.
 
 Windows of 10 words of the test items (an item of fewer words is one window)
-become a set of 64-bit keys, each from the window's length and three of its
-words. The set is broadcast as the hashed side of a join; every token window of
+become a set of 64-bit keys, each a hash of all the window's words. The set is broadcast as the hashed side of a join; every token window of
 every document streams past it, and of those found the words are compared with
 the windows themselves, so hits are verified exactly.
 
@@ -44,11 +43,13 @@ def item_words(text: Column) -> Column:
     )
 
 
-def window_key(words: Column, start: Column, n: int) -> Column:
-    """Key of the n words from the 1-based start: a hash of n, the first, a middle and the last."""
-    return F.xxhash64(
-        F.lit(n), F.element_at(words, start), F.element_at(words, start + n // 2), F.element_at(words, start + n - 1)
-    )
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def window_key(hashes: Column, start: Column, n: Column | int) -> Column:
+    """Key of the n words from the 1-based start: a hash of the hashes of all of them."""
+    return F.xxhash64(F.slice(hashes, start, n))
 
 
 def window_text(words: Column, start: Column, n: Column | int) -> Column:
@@ -64,21 +65,21 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text",
         F.least(F.size("w"), F.lit(n)).alias("n"),
         F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))).alias("at"),
     )
-    by_size = F.coalesce(*(F.when(F.col("n") == k, window_key(F.col("w"), F.col("at"), k)) for k in range(1, n + 1)))
+    key = window_key(word_hashes(F.col("w")), F.col("at"), F.col("n"))
     return (
-        one.select("item_id", "n", window_text(F.col("w"), F.col("at"), F.col("n")).alias("window"), by_size.alias("key"))
+        one.select("item_id", "n", window_text(F.col("w"), F.col("at"), F.col("n")).alias("window"), key.alias("key"))
         .groupBy("n", "window", "key")
         .agg(F.collect_set(F.col("item_id").cast("string")).alias("item_ids"))
     )
 
 
-def _keys_of(words: Column, n: int) -> Column:
+def _keys_of(hashes: Column, n: int) -> Column:
     """Structs (at, n, key) of the windows of n words."""
     made = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))),
-        lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), window_key(words, i, n).alias("key")),
+        F.sequence(F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(1))),
+        lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), window_key(hashes, i, n).alias("key")),
     )
-    return F.when(F.size(words) >= n, made).otherwise(F.slice(F.array(F.struct(F.lit(1).alias("at"), F.lit(n).alias("n"), F.lit(0).cast("long").alias("key"))), 1, 0))
+    return F.when(F.size(hashes) >= n, made).otherwise(F.slice(F.array(F.struct(F.lit(1).alias("at"), F.lit(n).alias("n"), F.lit(0).cast("long").alias("key"))), 1, 0))
 
 
 def _text_key(text: str) -> Column:
@@ -91,7 +92,8 @@ def find_hits(docs: DataFrame, windows: DataFrame, text: str, max_keys: int) ->
     keys = windows.select(F.col("key").alias("known")).distinct()
     passes = max(1, -(-keys.count() // max_keys))
     scanned = docs.select(_text_key(text).alias("text_key"), item_words(F.col(text)).alias("w"))
-    streamed = scanned.select("text_key", "w", F.explode(F.concat(*(_keys_of(F.col("w"), k) for k in sorted(sizes)))).alias("f")) if sizes else None
+    windows_of = let(word_hashes(F.col("w")), lambda h: F.concat(*(_keys_of(h, k) for k in sorted(sizes)))) if sizes else None
+    streamed = scanned.select("text_key", "w", F.explode(windows_of).alias("f")) if sizes else None
     found = None
     for k in range(passes if sizes else 0):
         some = keys.filter(F.pmod(F.xxhash64("known"), F.lit(passes)) == k) if passes > 1 else keys
