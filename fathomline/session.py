@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -27,6 +28,18 @@ def read(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh path in the folder that driver and executors share, as spark.checkpoint.dir names it; a session on one machine may go without one."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="fathomline-")
+        context.setCheckpointDir(found)
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df):
     """df with its lineage cut in the shared folder that the session names; a session on one machine may go without one."""
     context = df.sparkSession.sparkContext
