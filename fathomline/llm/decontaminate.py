@@ -5,7 +5,8 @@ become a set of 64-bit keys, each a hash of all the window's words. The set is b
 every document streams past it, and of those found the words are compared with
 the windows themselves, so hits are verified exactly.
 
-Scale: windows of documents are never shuffled, hits are. Hits of one text are
+Scale: windows of documents are never shuffled, hits are. Up to `FEW_KEYS` keys are also
+tested inside the scan, where only windows that hit become rows; the result is the same without. Hits of one text are
 gathered under the MD5 of the text, so equal texts count once and a task that
 is repeated gives the same rows. The set is broadcast in pieces of at most
 `MAX_KEYS` keys (some 50 MB), one scan of the documents for each; texts of
@@ -32,6 +33,8 @@ WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Keys in a broadcast set.
 MAX_KEYS = 1_000_000
+#: Keys that also go into the plan as a hash set, which tasks test before they make a row of a window.
+FEW_KEYS = 16_384
 #: Bytes of another table that is broadcast.
 MAX_BYTES = 32 << 20
 
@@ -48,7 +51,7 @@ def word_hashes(words: Column) -> Column:
 
 
 def window_key(hashes: Column, start: Column, n: Column | int) -> Column:
-    """Key of the n words from the 1-based start: a hash of the hashes of all of them."""
+    """Key of the n words from the 1-based start: a hash of the hashes of all of them, as in `_windows_of`."""
     return F.xxhash64(F.slice(hashes, start, n))
 
 
@@ -73,27 +76,30 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text: str = "text",
     )
 
 
-def _keys_of(hashes: Column, n: int) -> Column:
-    """Structs (at, n, key) of the windows of n words."""
-    made = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(1))),
-        lambda i: F.struct(i.alias("at"), F.lit(n).alias("n"), window_key(hashes, i, n).alias("key")),
-    )
-    return F.when(F.size(hashes) >= n, made).otherwise(F.slice(F.array(F.struct(F.lit(1).alias("at"), F.lit(n).alias("n"), F.lit(0).cast("long").alias("key"))), 1, 0))
+def _windows_of(n: int, known: list[int] | None) -> str:
+    """SQL of the structs (at, n, key) of the windows of n words of column h, their hashes; only of those with a known key, if keys are given."""
+    found = f"sequence(1, greatest(size(h) - {n - 1}, 1))"
+    if known is not None:
+        found = f"filter({found}, i -> xxhash64(slice(h, i, {n})) IN ({', '.join(f'{k}L' for k in known)}))"
+    made = f"transform({found}, i -> struct(i AS at, {n} AS n, xxhash64(slice(h, i, {n})) AS key))"
+    return f"if(size(h) >= {n}, {made}, CAST(array() AS array<struct<at: int, n: int, key: bigint>>))"
 
 
 def _text_key(text: str) -> Column:
     return F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))
 
 
-def find_hits(docs: DataFrame, windows: DataFrame, text: str, max_keys: int) -> DataFrame:
+def find_hits(docs: DataFrame, windows: DataFrame, text: str, max_keys: int, few_keys: int = FEW_KEYS) -> DataFrame:
     """(text_key, at, n, window, key) of the windows of docs whose keys are in the set; windows: (n, key)."""
     sizes = [r["n"] for r in windows.select("n").distinct().collect()]  # at most WINDOW rows
     keys = windows.select(F.col("key").alias("known")).distinct()
-    passes = max(1, -(-keys.count() // max_keys))
+    n_keys = keys.count()
+    passes = max(1, -(-n_keys // max_keys))
+    # a small set is a hash set in the plan, so windows that miss it never become rows
+    known = [r["known"] for r in keys.collect()] if 0 < n_keys <= few_keys else None
     scanned = docs.select(_text_key(text).alias("text_key"), item_words(F.col(text)).alias("w"))
-    windows_of = let(word_hashes(F.col("w")), lambda h: F.concat(*(_keys_of(h, k) for k in sorted(sizes)))) if sizes else None
-    streamed = scanned.select("text_key", "w", F.explode(windows_of).alias("f")) if sizes else None
+    hashed = scanned.withColumn("h", word_hashes(F.col("w")))
+    streamed = hashed.select("text_key", "w", F.explode(F.concat(*(F.expr(_windows_of(k, known)) for k in sorted(sizes)))).alias("f")) if sizes else None
     found = None
     for k in range(passes if sizes else 0):
         some = keys.filter(F.pmod(F.xxhash64("known"), F.lit(passes)) == k) if passes > 1 else keys
