@@ -2,71 +2,92 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-K1, B, DELTA = 1.2, 0.7, 0.5
-
-
-#: Terms of questions that are broadcast; more are joined by a shuffle.
-MAX_TERMS = 1_000_000
-
-
-def postings(docs: DataFrame, id_col: str, fields: dict[str, Column], terms: DataFrame | None = None) -> DataFrame:
-    """(doc, field, term, tf, len) of the fields' tokens; only of the given terms (term), if any.
-
-    Tokens that aren't asked for are dropped before anything is shuffled.
-    """
-    per_field = F.array(*(F.struct(F.lit(name).alias("field"), F.lower(F.coalesce(x, F.lit(""))).alias("text")) for name, x in fields.items()))
-    rows = docs.select(F.col(id_col).alias("doc"), F.explode(per_field).alias("f")).select("doc", "f.field", F.regexp_count("f.text", F.lit("[a-z0-9]+")).alias("len"), "f.text")
-    tokens = rows.select("doc", "field", "len", F.explode(F.split("text", "[^a-z0-9]+")).alias("term")).filter("term <> ''")
-    if terms is not None:
-        tokens = tokens.join(terms, "term", "left_semi")
-    return tokens.groupBy("doc", "field", "term").agg(F.count("*").alias("tf"), F.max("len").alias("len"))
+from . import lexical as L
 
 
 def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, tuple[Column, float]], k: int) -> DataFrame:
     """The k best documents of each question (question_id, text): BM25+ over weighted fields, ties by document.
 
-    Tokens meet the questions' distinct terms, a small table, as they are split.
+    For documents that are searched once; `lexical.build` keeps what this counts. Tokens are counted where a document is
+    read, and those that no question has are dropped before anything is shuffled.
+    """
+    columns = {name: x for name, (x, _) in fields.items()}
+    weights = L.asked_terms(questions).select("question_id", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
+    terms = L.small(weights.select("term").distinct())
+    hits = L.counted(docs, id_col, columns).join(terms, "term", "left_semi").select("doc", "field", "term", "tf", "len")
+    return L.scored(hits, L.lengths(docs, id_col, columns), {name: w for name, (_, w) in fields.items()}, weights, k)
+
+
+#: Points for a term that equals a symbol or message name, stands as a word, in quotes, before a colon, inside a word; for two and
+#: three neighbouring terms of PHRASE_TERM characters or more that follow one another; for a glossary entry and each term it defines (fixed values).
+EQUAL, WHOLE, QUOTED, KEYED, PART, PAIR, TRIPLE, PHRASE_TERM, GLOSSARY, DEFINED = 5, 4, 5, 4, 1, 12, 20, 3, 25, 5
+#: Questions that score one copy of a document's text.
+QUESTIONS_AT_ONCE = 500
+
+_WORDS, _IN_QUOTES, _KEYS = re.compile("[a-z0-9_]+"), re.compile("(?<=[\"'])[^\"'\\s]+(?=[\"'])"), re.compile(r"(?<![a-z0-9_])([a-z0-9_]+)\s*:")
+
+
+class ExactText:
+    """What the exact-term rules look up in one document, gathered once for all its questions."""
+
+    def __init__(self, text: str, path: str, names: list[str]) -> None:
+        self.low = text.lower()
+        self.words, self.quoted, self.keys = set(_WORDS.findall(self.low)), set(_IN_QUOTES.findall(self.low)), set(_KEYS.findall(self.low))
+        self.names = {n.lower() for n in names}
+        self.glossary = path.lower().startswith("vocabulary://")
+
+    def score(self, terms: list[str]) -> int:
+        points, here = 0, []
+        for t in filter(None, terms):
+            inside = t in self.words or t in self.low
+            here.append(inside)
+            if t in self.names:
+                points += EQUAL
+            elif t in self.words:
+                points += WHOLE + QUOTED * (t in self.quoted) + KEYED * (t in self.keys)
+            elif inside:
+                points += PART
+        # a phrase needs all of its terms, so most need no search
+        long = [(t, ok) for t, ok in zip(filter(None, terms), here, strict=True) if len(t) >= PHRASE_TERM]
+        for n, worth in ((2, PAIR), (3, TRIPLE)):
+            for k in range(len(long) - n + 1):
+                some = long[k : k + n]
+                if all(ok for _, ok in some) and " ".join(t for t, _ in some) in self.low:
+                    points += worth
+        if self.glossary and (defined := sum(t in self.names for t in terms)):
+            points += GLOSSARY + DEFINED * defined
+        return points
+
+
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out: list[tuple] = []
+        for doc, text, path, names, asked in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            known = ExactText(text or "", path or "", [n for n in names or () if n])
+            out += [(q["question_id"], doc, float(score)) for q in asked if (score := known.score(q["terms"])) > 0]
+        if out:
+            q, doc, score = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(doc, pa.int64()), pa.array(score, pa.float64())], names=["question_id", "doc", "score"])
+
+
+def exact_scores(candidates: DataFrame, docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(question_id, doc, score > 0) of candidates (question_id, doc) by the exact terms of their questions.
+
+    docs: (doc, text, path, names); terms: (question_id, terms in their order). A document's text meets all its
+    questions at once, QUESTIONS_AT_ONCE of them, and is searched for words once.
     """
-    asked = questions.select("question_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
-    hit = postings(docs, id_col, {name: x for name, (x, _) in fields.items()}, F.broadcast(terms) if terms.count() <= MAX_TERMS else terms)
-    sizes = docs.select(*(F.regexp_count(F.lower(F.coalesce(x, F.lit(""))), F.lit("[a-z0-9]+")).alias(name) for name, (x, _) in fields.items()))
-    stats = sizes.agg(F.count("*").alias("n"), *(F.avg(F.nullif(F.col(name), F.lit(0))).alias(f"avg_{name}") for name in fields))
-    # reads all columns of the postings, so both uses share one exchange
-    df = hit.groupBy("field", "term").agg(F.sum(F.when((F.col("tf") > 0) & (F.col("len") > 0), 1)).alias("df"))
-    boost = F.coalesce(*(F.when(F.col("field") == name, F.lit(w)) for name, (_, w) in fields.items()))
-    mean = F.coalesce(*(F.when(F.col("field") == name, F.col(f"avg_{name}")) for name in fields))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = boost * idf * (DELTA + F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / mean)))
-    known = hit.join(df, ["field", "term"]).crossJoin(F.broadcast(stats))  # one row: the corpus size and the mean lengths
-    # a document's weights are summed by term first, so a question's row is a sum of few
-    weights = known.groupBy("doc", "term").agg(F.sum(weight).alias("w"))
-    scored = weights.join(asked, "term").groupBy("question_id", "doc").agg(F.round(F.sum("w"), 6).alias("score"))
-    w = Window.partitionBy("question_id").orderBy(F.desc("score"), "doc")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
-def exact_term_score(text: Column, terms: Column, whole: float = 4, part: float = 1, phrase: float = 12) -> Column:
-    """Whole words count most, parts of words a little, two neighbouring terms as a phrase extra."""
-
-    def score(x: Column) -> Column:
-        single = F.aggregate(
-            terms,
-            F.lit(0.0),
-            lambda s, t: s
-            + F.when((t == "") | ~F.contains(x["low"], t), F.lit(0.0)).when(F.contains(x["words"], F.concat(F.lit(" "), t, F.lit(" "))), F.lit(whole)).otherwise(F.lit(part)),
-        )
-        pairs = F.transform(F.slice(terms, 2, F.greatest(F.size(terms) - 1, F.lit(0))), lambda t, i: F.concat(F.get(terms, i), F.lit(" "), t))
-        return single + F.aggregate(pairs, F.lit(0.0), lambda s, p: s + F.when(F.contains(x["low"], p), F.lit(phrase)).otherwise(F.lit(0.0)))
-
-    # the text is normalised once a row, not once a term; words stand between single spaces
-    words = F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), "[^a-z0-9]+", " ")
-    return F.transform(F.array(F.struct(words.alias("words"), F.lower(text).alias("low"))), score)[0]
+    asked = candidates.select("question_id", "doc").join(terms, "question_id")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy("question_id"))
+    grouped = asked.withColumn("part", F.floor((place - 1) / QUESTIONS_AT_ONCE)).groupBy("doc", "part").agg(F.collect_list(F.struct("question_id", "terms")).alias("asked"))
+    return grouped.join(docs, "doc").select("doc", "text", "path", "names", "asked").mapInArrow(_exact, "question_id bigint, doc bigint, score double")
 
 
 def diversity(scored: DataFrame, keys: list[str], group: str, score: str = "score", step: float = 30, most: float = 90) -> DataFrame:

@@ -45,9 +45,9 @@ def _with_text(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame
 
 def _exact(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:
     asked = _questions(spark, sf_dir).select("question_id", F.array_distinct(T.tokens(F.col("text"))).alias("terms"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # few rows, but each is scored at length
-    scored = _with_text(spark, sf_dir, candidates.repartition(tasks, "question_id", "doc")).join(asked, "question_id")
-    exact = scored.select("question_id", "doc", R.exact_term_score(F.col("content"), F.col("terms")).alias("score")).filter("score > 0")
+    # a chunk's first two words stand for its symbols
+    docs = load(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("doc"), F.col("content").alias("text"), "path", F.slice(T.tokens(F.col("content")), 1, 2).alias("names"))
+    exact = R.exact_scores(candidates, docs, asked)
     place = F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc"))
     return exact.withColumn("n", place).filter("n <= 10").drop("n")
 
@@ -101,13 +101,19 @@ def question_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (bm25_topk, exact_term_rerank, repo_diversity, hybrid_union, compacted_context, mirror_dedup, sources_by_role, question_intents)}
 
-_EXACT = f"""tw AS MATERIALIZED (SELECT DISTINCT chunk_id AS doc, unnest({_TOKENS.format('content')}) AS term FROM chunks),
- tl AS MATERIALIZED (SELECT chunk_id AS doc, lower(content) AS low FROM chunks),
- ut AS MATERIALIZED (SELECT question_id, term, lead(term) OVER (PARTITION BY question_id ORDER BY i) AS next FROM (SELECT question_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM q)),
- ea AS (SELECT question_id, many.doc, sum(CASE WHEN tw.doc IS NOT NULL THEN 4.0 WHEN contains(low, ut.term) THEN 1.0 ELSE 0.0 END
-   + CASE WHEN next IS NOT NULL AND contains(low, ut.term || ' ' || next) THEN 12.0 ELSE 0.0 END)::DOUBLE AS score
+_EXACT = f"""tl AS MATERIALIZED (SELECT chunk_id AS doc, lower(content) AS low, {_TOKENS.format('content')}[1:2] AS names FROM chunks),
+ tw AS MATERIALIZED (SELECT DISTINCT doc, unnest(string_split_regex(low, '[^a-z0-9_]+')) AS term FROM tl),
+ ut AS MATERIALIZED (SELECT question_id, unnest(terms) AS term, generate_subscripts(terms, 1) AS i FROM q),
+ ph AS MATERIALIZED (SELECT question_id, term || ' ' || lead(term) OVER w AS two, term || ' ' || lead(term) OVER w || ' ' || lead(term, 2) OVER w AS three
+  FROM ut WHERE length(term) >= 3 WINDOW w AS (PARTITION BY question_id ORDER BY i)),
+ ea AS (SELECT question_id, many.doc, sum(CASE WHEN list_contains(names, ut.term) THEN 5 WHEN tw.doc IS NOT NULL
+   THEN 4 + CASE WHEN regexp_matches(low, '["'']' || ut.term || '["'']') THEN 5 ELSE 0 END + CASE WHEN regexp_matches(low, '(^|[^a-z0-9_])' || ut.term || '[ \n\t\r]*:') THEN 4 ELSE 0 END
+   WHEN contains(low, ut.term) THEN 1 ELSE 0 END) AS score
   FROM many JOIN ut USING (question_id) JOIN tl ON tl.doc = many.doc LEFT JOIN tw ON tw.doc = many.doc AND tw.term = ut.term GROUP BY ALL),
- ex AS (SELECT * FROM ea WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY score DESC, doc) <= 10)"""
+ eb AS (SELECT question_id, many.doc, sum(CASE WHEN contains(low, two) THEN 12 ELSE 0 END + CASE WHEN contains(low, three) THEN 20 ELSE 0 END) AS score
+  FROM many JOIN ph USING (question_id) JOIN tl ON tl.doc = many.doc GROUP BY ALL),
+ ex AS (SELECT question_id, doc, (ea.score + coalesce(eb.score, 0))::DOUBLE AS score FROM ea LEFT JOIN eb USING (question_id, doc) WHERE ea.score + coalesce(eb.score, 0) > 0
+  QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY ea.score + coalesce(eb.score, 0) DESC, doc) <= 10)"""
 ORACLE = {
     "bm25_topk": with_sql(f"WITH {_BM25} SELECT * FROM top"),
     "exact_term_rerank": with_sql(f"WITH {_BM25}, {_EXACT} SELECT * FROM ex"),

@@ -95,3 +95,26 @@ def test_search_reads_asked_buckets(spark, tmp_path):
 def test_empty_index(spark, tmp_path):
     index = L.build(_frame(spark, []), f"file://{tmp_path}/a", "doc", fields())
     assert _found(spark, index) == []
+
+
+@pytest.mark.parametrize(
+    ("text", "path", "names", "terms", "points"),
+    [
+        ("the limit is set", "a.ts", [], ["limit"], 4),
+        ("const x = 'limit'", "a.ts", [], ["limit"], 4 + 5),
+        ("{ limit : 3 }", "a.ts", [], ["limit"], 4 + 4),
+        ("limits", "a.ts", [], ["limit"], 1),
+        ("my_limit", "a.ts", [], ["limit"], 1),  # an underscore belongs to the word
+        ("other", "a.ts", ["Limit"], ["limit"], 5),
+        ("min max limit", "a.ts", [], ["min", "max", "limit"], 3 * 4 + 2 * 12 + 20),
+        ("min\nmax", "a.ts", [], ["min", "max"], 2 * 4),  # a phrase is told by one space
+        ("of the limit", "a.ts", [], ["of", "the", "limit"], 3 * 4 + 12),  # terms of two characters make no phrases
+        ("xmin maxy", "a.ts", [], ["min", "max"], 2 * 1 + 12),
+        ("what limit means", "vocabulary://limit", ["limit"], ["limit", "means"], 5 + 4 + 12 + 25 + 5),
+        ("", "a.ts", [], ["limit", ""], 0),
+    ],
+)
+def test_exact_points_worked_out_by_hand(text, path, names, terms, points):
+    from fathomline.operators.ranking import ExactText
+
+    assert ExactText(text, path, names).score(terms) == points
