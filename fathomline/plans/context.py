@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import asking as A
 from ..operators import source_rules as R
+from ..operators import vectors
 from ..session import read
+from . import search
 from .asking import _ASKS, _RERANK, _ROUTE, _TERMS, _VOCABULARY, questions
 from .hints import _EDGES, _EVIDENCE_ALL, _POINTS, points
 from .reports import _FACTS, facts
@@ -99,11 +101,8 @@ def vocabulary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def locale_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest points of a preferred label to the points whose id is divisible by 50, five each."""
     e = read(spark, sf_dir, "embeddings")
-    asked = F.broadcast(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")))  # a stated query set
-    dot = F.aggregate(F.zip_with("q", "embedding", lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
-    scored = e.filter("label = 1").crossJoin(asked).filter("vec_id <> query_id").select("query_id", "vec_id", dot.alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return scored.withColumn("rank", rank).filter("rank <= 5").select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+    found = vectors.topk(e.filter("label = 1"), search.asked(e), 5)
+    return found.select("query_id", "rank", F.col("point_id").alias("vec_id"), F.round("score", 6).alias("score"))
 
 
 def domain_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -308,9 +307,7 @@ ORACLE = {
         SELECT question_id, name, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM a JOIN (SELECT file_id, lower(term) AS name FROM vocabulary) USING (name) GROUP BY ALL""",
         _ASKS, _VOCABULARY,
     ),
-    "locale_points": """WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda p: p[1]::DOUBLE * p[2]::DOUBLE)) AS score
-        FROM embeddings q JOIN embeddings e ON q.vec_id % 50 = 0 AND e.label = 1 AND e.vec_id <> q.vec_id)
-        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, round(score, 4) AS score FROM s QUALIFY rank <= 5""",
+    "locale_points": f"WITH {search.nearest_sql('p.label = 1', 5)} SELECT query_id, rank, vec_id, round(score, 6) AS score FROM near",
     "domain_terms": with_sources(
         """SELECT file_id, domain FROM sources, (VALUES ('accounts', 'account', 'minimum'), ('limits', 'max_', 'limit'), ('platform', 'cron', 'report')) r(domain, a, b)
         WHERE contains(lower(content), a) AND contains(lower(content), b)"""

@@ -145,3 +145,31 @@ def test_nearest_points_in_blocks_equal_brute_force(spark):
         want = sorted((-unit[q] @ unit[i], i) for i in unit if i != q)[:6]
         mine = sorted((r.rank, r.point_id) for r in got if r.query_id == q)
         assert [i for _, i in mine] == [i for _, i in want]
+
+
+def test_inverted_lists_reach_nine_tenths_of_the_neighbours(spark, tmp_path):
+    from .conftest import SF
+
+    points = spark.read.parquet(f"{SF}/embeddings.parquet")
+    queries = points.filter("vec_id % 50 = 0")
+    want = {(r.query_id, r.point_id) for r in vectors.topk(points, queries, 10).collect()}
+    lists = vectors.fit_lists(points)
+    vectors.build_lists(points, lists, f"file://{tmp_path}/lists")
+    stored = spark.read.parquet(f"file://{tmp_path}/lists")
+    assert stored.count() == stored.select("id").distinct().count() == points.count()  # every row is in one list
+    got = vectors.search_lists(spark, f"file://{tmp_path}/lists", lists, queries, 10).collect()
+    assert len({(r.query_id, r.point_id) for r in got} & want) >= 0.9 * len(want)
+    # cells and blocks change nothing, and probing all lists is exact
+    small = vectors.search_lists(spark, f"file://{tmp_path}/lists", lists, queries, 10, block=2, cell_rows=7).collect()
+    assert sorted((r.query_id, r.rank, r.point_id) for r in small) == sorted((r.query_id, r.rank, r.point_id) for r in got)
+    every = vectors.Lists(lists.centres, len(lists.centres))
+    assert {(r.query_id, r.point_id) for r in vectors.search_lists(spark, f"file://{tmp_path}/lists", every, queries, 10).collect()} == want
+
+
+def test_lists_of_few_equal_and_no_points(spark, tmp_path):
+    same = spark.createDataFrame([(k, [1.0, 0.0]) for k in range(30)] + [(30, [0.0, 0.0]), (31, None)], "vec_id long, embedding array<float>")
+    for name, frame_ in (("same", same), ("none", same.limit(0))):
+        lists = vectors.fit_lists(frame_, 3)
+        vectors.build_lists(frame_, lists, f"file://{tmp_path}/{name}")
+        got = vectors.search_lists(spark, f"file://{tmp_path}/{name}", lists, frame_.filter("vec_id < 2 OR vec_id >= 30"), 3).collect()
+        assert sorted((r.query_id, r.point_id) for r in got) == ([] if name == "none" else [(0, 1), (0, 2), (0, 3), (1, 0), (1, 2), (1, 3)])
