@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpointed
 
 
 def rpc_links(callers: DataFrame, definers: DataFrame) -> DataFrame:
@@ -76,6 +77,29 @@ def trace(entries: DataFrame, definitions: DataFrame, uses: DataFrame) -> DataFr
     )
 
 
+def paths(entries: DataFrame, edges: DataFrame, hops: list[tuple[str, int]]) -> DataFrame:
+    """(entry, hop, edge, path): what each entry edge leads to, hop by hop, with the edges on the way.
+
+    entries and edges: (id, type, from_key, to_key); hop h follows edges of type hops[h - 1][0] that start where an edge of
+    the frontier ends, hops[h - 1][1] for an entry at most, the first by id. An edge that the entry has reached before is left out;
+    of several ways to an edge the one behind the earliest edge of the frontier stays. An entry has a bounded number of edges
+    at every hop, so of a key's edges only the first few can be chosen, and no more are joined however many it has.
+    """
+    frontier = entries.select(F.col("id").alias("entry"), F.lit(0).alias("hop"), F.col("id").alias("edge"), "to_key", F.lit(1).alias("place"), F.array(F.col("id")).alias("path"))
+    frontier = checkpointed(frontier)
+    found, most = frontier, 1
+    for hop, (kind, cap) in enumerate(hops, 1):
+        first = F.row_number().over(Window.partitionBy("from_key").orderBy("id"))
+        some = edges.filter(F.col("type") == kind).select("id", "from_key", F.col("to_key").alias("next"), first.alias("n")).filter(F.col("n") <= cap + most)
+        met = frontier.join(some, F.col("to_key") == F.col("from_key")).groupBy("entry", "id").agg(F.min(F.struct("place", "path")).alias("way"), F.first("next").alias("to_key"))
+        new = met.join(found.select("entry", F.col("edge").alias("id")), ["entry", "id"], "left_anti")
+        ranked = new.withColumn("place", F.row_number().over(Window.partitionBy("entry").orderBy("id"))).filter(F.col("place") <= cap)
+        path = F.concat("way.path", F.array("id")).alias("path")
+        frontier = checkpointed(ranked.select("entry", F.lit(hop).alias("hop"), F.col("id").alias("edge"), "to_key", "place", path))
+        found, most = found.union(frontier), most + cap
+    return found.select("entry", "hop", "edge", "path")
+
+
 def line_map(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """One text a line of a file: overlapping chunks say it first in order of their start."""
     lines = chunks.select(*keys, "start_line", F.posexplode(F.split("content", "\n")).alias("k", "text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..session import read
 from .fixtures import load, with_sql
 
 
@@ -47,6 +48,25 @@ def graph_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.trace(entries, _symbols(spark, sf_dir, "DEFINES_SYMBOL"), load(spark, sf_dir, "edges"))
 
 
+#: Calls, handlers, remote calls, definitions, symbols, models and tables, one edge an order; keys that many share.
+PATH_EDGES = """SELECT o_orderkey AS id, CASE o_orderkey % 7 WHEN 0 THEN 'CALLS_HTTP_ENDPOINT' WHEN 1 THEN 'HANDLES_HTTP_ENDPOINT' WHEN 2 THEN 'CALLS_RPC_FUNC' WHEN 3 THEN 'DEFINES_SYMBOL'
+  WHEN 4 THEN 'CALLS_SYMBOL' WHEN 5 THEN 'DEFINES_MODEL' ELSE 'TOUCHES_TABLE' END AS type,
+ CASE o_orderkey % 7 WHEN 1 THEN concat('route:', o_custkey % 97) WHEN 2 THEN concat('fn:', o_custkey % 41) WHEN 3 THEN concat('rpc:', o_custkey % 59) WHEN 4 THEN concat('fn:', o_custkey % 53)
+  WHEN 5 THEN concat('sym:', o_custkey % 3) WHEN 6 THEN concat('model:', o_custkey % 71) END AS from_key,
+ CASE o_orderkey % 7 WHEN 0 THEN concat('route:', o_custkey % 101) WHEN 1 THEN concat('fn:', o_custkey % 43) WHEN 2 THEN concat('rpc:', o_custkey % 61) WHEN 3 THEN concat('fn:', o_custkey % 47)
+  WHEN 4 THEN concat('sym:', o_custkey % 5) WHEN 5 THEN concat('model:', o_custkey % 73) ELSE concat('table:', o_custkey) END AS to_key FROM orders"""
+#: The edges followed from a call, and how many an entry keeps at each hop (fixed values).
+HOPS = [("HANDLES_HTTP_ENDPOINT", 6), ("CALLS_RPC_FUNC", 12), ("DEFINES_SYMBOL", 12), ("CALLS_SYMBOL", 12), ("DEFINES_MODEL", 12), ("TOUCHES_TABLE", 16)]
+
+
+def graph_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six hops from every call of an endpoint to the tables behind it."""
+    read(spark, sf_dir, "orders").createOrReplaceTempView("_orders")
+    edges = spark.sql(PATH_EDGES.replace(" FROM orders", " FROM _orders"))
+    found = G.paths(edges.filter("type = 'CALLS_HTTP_ENDPOINT'"), edges, HOPS)
+    return found.select("entry", "hop", "edge", F.array_join(F.transform("path", lambda x: x.cast("string")), ">").alias("path"))
+
+
 def edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repositories of chunks or edges with the counts of both, zero where there are none."""
     chunks = load(spark, sf_dir, "chunks").groupBy(F.concat(F.lit("repo-"), F.regexp_extract("repo", "([0-9]+)", 1)).alias("repo")).agg(F.count("*").alias("n_chunks"))
@@ -60,14 +80,31 @@ def line_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.line_map(chunks, ["repo", "path"])
 
 
-QUERIES = {f.__name__: f for f in (cross_links_rpc, cross_links_tables, links_histogram, neighbor_window, symbol_tables, best_definition, graph_trace, edge_counts, line_map)}
+QUERIES = {f.__name__: f for f in (cross_links_rpc, cross_links_tables, links_histogram, neighbor_window, symbol_tables, best_definition, graph_trace, graph_paths, edge_counts, line_map)}
 
 _RPC = """rpc AS (SELECT DISTINCT a.symbol, a.repo AS source_repo, b.repo AS target_repo FROM symbols a JOIN symbols b
  ON a.symbol = b.symbol AND a.repo <> b.repo WHERE a.type = 'CALLS_RPC_FUNC' AND b.type = 'DEFINES_SYMBOL')"""
 _SHARED = """m AS (SELECT DISTINCT lower(tab) AS identifier, repo FROM edges),
  shared AS (SELECT identifier, repo, count(*) OVER (PARTITION BY identifier) - 1 AS n_links FROM m QUALIFY n_links > 0)"""
 _AT = "repo || '/d' || id % 3 || '/' || path"
+
+
+def _paths_sql() -> str:
+    steps = ["h0 AS (SELECT id AS entry, 0 AS hop, id AS edge, to_key, 1 AS place, id::VARCHAR AS path FROM e WHERE type = 'CALLS_HTTP_ENDPOINT')"]
+    for k, (kind, cap) in enumerate(HOPS, 1):
+        before = " UNION ALL ".join(f"SELECT entry, edge FROM h{j}" for j in range(k))
+        steps.append(
+            f"""h{k} AS (SELECT entry, {k} AS hop, id AS edge, to_key, row_number() OVER (PARTITION BY entry ORDER BY id) AS place, path || '>' || id AS path
+ FROM (SELECT entry, id, e.to_key, path FROM h{k - 1} f JOIN e ON e.type = '{kind}' AND e.from_key = f.to_key
+  WHERE NOT EXISTS (SELECT 1 FROM ({before}) b WHERE b.entry = f.entry AND b.edge = e.id) QUALIFY row_number() OVER (PARTITION BY entry, id ORDER BY f.place) = 1)
+ QUALIFY place <= {cap})"""
+        )
+    rows = " UNION ALL ".join(f"SELECT entry, hop, edge, path FROM h{k}" for k in range(len(HOPS) + 1))
+    return f"WITH e AS MATERIALIZED ({PATH_EDGES}), {', '.join(steps)} {rows}"
+
+
 ORACLE = {
+    "graph_paths": _paths_sql(),
     "cross_links_rpc": with_sql(
         f"""WITH {_RPC}, e AS (SELECT symbol, source_repo AS repo, target_repo AS other FROM rpc UNION ALL SELECT symbol, target_repo, source_repo FROM rpc)
         SELECT symbol, repo, (count(*) FILTER (WHERE calls) > 0)::INT AS calls, (count(*) FILTER (WHERE NOT calls) > 0)::INT AS defines, n_links
