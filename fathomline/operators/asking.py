@@ -39,14 +39,10 @@ def gates(question: Column) -> dict[str, Column]:
     """Flags and hints of a question by name."""
     low = F.lower(question)
     word = lambda p: low.rlike(rf"\b({p})\b")
-    mrg, askap = word("mrg"), word("mmb|askap")
     return {
         "expand": _has(low, EXPAND) | (F.size(routes_of(question)) > 0),
         "expand_route": _has(low, EXPAND_ROUTE),
         "inspect": _has(low, DETAILS) | low.rlike(r"\bwhat does\b.*\bdo\b"),
-        "broker": F.when(mrg & ~askap, "mrg").when(askap & ~mrg, "askap"),
-        "platform": F.when(~_has(low, FLOW_CONTEXT), F.when(word("mt4"), "MT4").when(word("mt5"), "MT5")),
-        "medal": word("medals?|level|rank") & word("how|gain|gained|get|earn|earned|increase|requirements?"),
         "greeting": (F.size(F.filter(F.split(F.trim(low), r"\s+"), lambda w: w != "")) <= 4) & F.trim(low).rlike(GREETING),
         "asks_services": word("what services|services? (detected|list|available)|detected (services?|repos?)"),
         "asks_env": word("environment variables?|env vars?|what env|which env"),
@@ -54,6 +50,25 @@ def gates(question: Column) -> dict[str, Column]:
     }
 
 
+def domain_hints(questions: DataFrame, rules: DataFrame) -> DataFrame:
+    """(question_id, hint): the hints of a table of rules that a question (question_id, question) gives.
+
+    rules: (hint, any, also, none, alone): a question gives a hint if it has a word of `any`, one of `also` unless that is
+    empty, and none of `none`; where `alone` is set, only if nothing in it speaks of a flow. Words are runs of letters, digits
+    and underscores in lower case; each meets the rules' words in an equi-join, so rules may be many.
+    """
+    words = F.split(F.lower("question"), "[^a-z0-9_]+")
+    said = questions.select("question_id", _has(F.lower("question"), FLOW_CONTEXT).alias("flow"), F.explode(F.array_distinct(words)).alias("word"))
+    tagged = lambda c: F.transform(F.coalesce(c, F.array()), lambda w: F.struct(F.lit(c).alias("part"), F.lower(w).alias("word")))
+    needs = F.size(F.coalesce("also", F.array())) > 0
+    spread = rules.select("hint", "alone", needs.alias("needs"), F.explode(F.concat(*(tagged(c) for c in ("any", "also", "none")))).alias("w")).select("hint", "alone", "needs", "w.*")
+    met = said.join(spread, "word").groupBy("question_id", "hint").agg(
+        *(F.max((F.col("part") == c).cast("int")).alias(f"_{c}") for c in ("any", "also", "none")), F.first("alone").alias("alone"), F.first("needs").alias("needs"), F.first("flow").alias("flow")
+    )
+    given = (F.col("_any") == 1) & ((F.col("_also") == 1) | ~F.col("needs")) & (F.col("_none") == 0) & ~(F.coalesce("alone", F.lit(False)) & F.col("flow"))
+    return met.filter(given).select("question_id", "hint")
+
+
 def named_points(points: DataFrame) -> DataFrame:
     """(file_id, kind, name): every name of a point in lower case, routes normalised."""
     kinds = {"route": "routes", "symbol": "symbols", "queue": "queue_names", "table": "db_tables"}

@@ -21,9 +21,9 @@ QUESTIONS = f"""SELECT s_suppkey AS question_id, CASE s_suppkey % 10
  WHEN 4 THEN 'Hello!'
  WHEN 5 THEN concat('What is the meaning of queue jobs.', {_S}, ' and item.created.', {_S})
  WHEN 6 THEN 'what env vars are read by repo-3'
- WHEN 7 THEN 'what is MT5'
- WHEN 8 THEN concat('MRG: call of /v', {_S}, '/items in the glossary')
- ELSE 'how to gain a medal at askap' END AS question FROM supplier"""
+ WHEN 7 THEN 'what is P5'
+ WHEN 8 THEN concat('North: call of /v', {_S}, '/items in the glossary')
+ ELSE 'how to gain a level at south' END AS question FROM supplier"""
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +32,24 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def question_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = {k: (v if k in ("broker", "platform") else v.cast("int")) for k, v in A.gates(F.col("question")).items()}
-    return questions(spark, sf_dir).select("question_id", *(v.alias(k) for k, v in flags.items()))
+    return questions(spark, sf_dir).select("question_id", *(v.cast("int").alias(k) for k, v in A.gates(F.col("question")).items()))
+
+
+#: A table of hints: (hint, any, also, none, alone).
+HINTS = [
+    ("north", ["north"], [], ["south", "southern"], False),
+    ("south", ["south", "southern"], [], ["north"], False),
+    ("P4", ["p4"], [], ["p5"], True),
+    ("P5", ["p5"], [], [], True),
+    ("reward", ["level", "rank", "points"], ["how", "gain", "get", "earn"], [], False),
+    ("tables", ["database", "tables"], None, None, False),
+]
+
+
+def domain_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hints that questions give, by a table of rules."""
+    rules = spark.createDataFrame(HINTS, "hint string, any array<string>, also array<string>, none array<string>, alone boolean")
+    return A.domain_hints(questions(spark, sf_dir), rules)
 
 
 def exact_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,6 +181,7 @@ def comparison_of_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "question_gates": question_gates,
+    "domain_hints": domain_hints,
     "exact_routes": exact_routes,
     "rerank_named": rerank_named,
     "strong_evidence": strong_evidence,
@@ -224,15 +241,15 @@ ORACLE = {
     "question_gates": with_sources(
         rf"""SELECT question_id, ({_ANY(A.EXPAND)} OR regexp_matches(question, '/[A-Za-z0-9_./:{{}}-]+'))::INT AS expand, {_ANY(A.EXPAND_ROUTE)}::INT AS expand_route,
         ({_ANY(A.DETAILS)} OR regexp_matches(lower(question), '\bwhat does\b.*\bdo\b'))::INT AS inspect,
-        CASE WHEN {_WORD.format("mrg")} AND NOT {_WORD.format("mmb|askap")} THEN 'mrg' WHEN {_WORD.format("mmb|askap")} AND NOT {_WORD.format("mrg")} THEN 'askap' END AS broker,
-        CASE WHEN {_ANY(A.FLOW_CONTEXT)} THEN NULL WHEN {_WORD.format("mt4")} THEN 'MT4' WHEN {_WORD.format("mt5")} THEN 'MT5' END AS platform,
-        ({_WORD.format("medals?|level|rank")} AND {_WORD.format("how|gain|gained|get|earn|earned|increase|requirements?")})::INT AS medal,
         (len(string_split(trim(question), ' ')) <= 4 AND regexp_matches(lower(trim(question)), '^(hello|hi|hey|thanks|bye|test)[!.?]*$'))::INT AS greeting,
         {_WORD.format("what services|services? (?:detected|list|available)|detected (?:services?|repos?)")}::INT AS asks_services,
         {_WORD.format("environment variables?|env vars?|what env|which env")}::INT AS asks_env,
         {_WORD.format("database tables?|db tables?|which tables?|what tables?")}::INT AS asks_tables FROM questions""",
         _ASKS,
     ),
+    # worked out by hand for the ten kinds of questions
+    "domain_hints": f"""WITH questions AS ({QUESTIONS}) SELECT question_id, unnest(CASE s WHEN 0 THEN ['tables'] WHEN 3 THEN ['tables'] WHEN 7 THEN ['P5'] WHEN 8 THEN ['north'] WHEN 9 THEN ['south', 'reward'] ELSE [] END) AS hint
+        FROM (SELECT question_id, question_id % 10 AS s FROM questions)""",
     "exact_routes": with_sources(
         f"""SELECT DISTINCT question_id, route, file_id FROM (SELECT question_id, {_ROUTE.format("r")} AS route FROM (SELECT question_id, unnest({_ROUTES_OF}) AS r FROM questions))
         JOIN (SELECT file_id, {_ROUTE.format("r")} AS route FROM (SELECT file_id, unnest(routes) AS r FROM hints)) USING (route)""",

@@ -94,7 +94,7 @@ def doc_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vocabulary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vocabulary terms whose value or term a question names exactly."""
     v = A.vocabulary(load(spark, sf_dir), ["file_id"]).select("file_id", "group_name", F.lower("term").alias("name")).distinct()
-    asked = questions(spark, sf_dir).select("question_id", F.explode(F.array_union(A.terms_of(F.col("question")), F.array(F.lit("pro"), F.lit("islamic")))).alias("name")).filter("question_id % 10 = 6")
+    asked = questions(spark, sf_dir).select("question_id", F.explode(F.array_union(A.terms_of(F.col("question")), F.array(F.lit("pro"), F.lit("silver")))).alias("name")).filter("question_id % 10 = 6")
     return asked.join(v, "name").groupBy("question_id", "name").agg(F.countDistinct("file_id").alias("n_files"), F.min("file_id").alias("first_file"))
 
 
@@ -243,7 +243,7 @@ def account_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Account types with their codes and least deposits, in preferred order, then by name."""
     v = A.vocabulary(load(spark, sf_dir), ["file_id"]).filter("group_name = 'ACCOUNT_TYPES'")
     code, least = F.regexp_extract("value", r"code: '([^']*)'", 1), F.regexp_extract("value", r"minimum: (\d+)", 1).cast("int")
-    place = F.array_position(F.array(F.lit("Islamic"), F.lit("Pro")), F.col("term"))
+    place = F.array_position(F.array(F.lit("Silver"), F.lit("Pro")), F.col("term"))
     order = F.row_number().over(Window.partitionBy("file_id").orderBy(F.when(place > 0, place).otherwise(99), "term"))
     return v.select("file_id", order.alias("place"), "term", code.alias("code"), least.alias("minimum"))
 
@@ -303,7 +303,7 @@ ORACLE = {
         SELECT repo, row_number() OVER (PARTITION BY repo ORDER BY score DESC, file_id) AS rank, file_id, score FROM s WHERE score > 0 QUALIFY rank <= 10"""
     ),
     "vocabulary_hits": with_sources(
-        f"""WITH a AS (SELECT DISTINCT question_id, unnest(list_concat({_TERMS}, ['pro', 'islamic'])) AS name FROM questions WHERE question_id % 10 = 6)
+        f"""WITH a AS (SELECT DISTINCT question_id, unnest(list_concat({_TERMS}, ['pro', 'silver'])) AS name FROM questions WHERE question_id % 10 = 6)
         SELECT question_id, name, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file FROM a JOIN (SELECT file_id, lower(term) AS name FROM vocabulary) USING (name) GROUP BY ALL""",
         _ASKS, _VOCABULARY,
     ),
@@ -376,7 +376,7 @@ ORACLE = {
         *_POINTS, *_EVIDENCE_ALL, *_RERANK,
     ),
     "account_types": with_sources(
-        r"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY CASE term WHEN 'Islamic' THEN 1 WHEN 'Pro' THEN 2 ELSE 99 END, term) AS place, term, regexp_extract(value, 'code: ''([^'']*)''', 1) AS code,
+        r"""SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY CASE term WHEN 'Silver' THEN 1 WHEN 'Pro' THEN 2 ELSE 99 END, term) AS place, term, regexp_extract(value, 'code: ''([^'']*)''', 1) AS code,
         regexp_extract(value, 'minimum: (\d+)', 1)::INT AS minimum FROM vocabulary WHERE group_name = 'ACCOUNT_TYPES'""",
         _VOCABULARY,
     ),

@@ -9,6 +9,7 @@ from ..functions import text as T
 from ..operators import lifecycle as L
 from ..operators import registry as G
 from ..session import read
+from ..sources.ignore import ignored
 from .fixtures import load, with_sql
 
 #: Registry entries from the nations; aliases are words of the invented prose.
@@ -49,6 +50,21 @@ def registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.upsert_entries(base, changes)
 
 
+#: Paths and ignore files of a tree for each size of part: a root file, and one two folders down that takes some back.
+TREE = """SELECT concat('repo-', p_size) AS repo, concat(CASE p_partkey % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/gen/' ELSE '' END, CASE p_partkey % 2 WHEN 0 THEN 'logs/' ELSE 'app/' END,
+ 'part', p_partkey, CASE p_partkey % 5 WHEN 0 THEN '.ts' WHEN 1 THEN '.tmp' WHEN 2 THEN '.md' WHEN 3 THEN '.png' ELSE '.d.ts' END) AS path FROM part"""
+_ROOT_RULES, _DEEP_RULES = "*.tmp\n*.d.ts\n!part1*.tmp\n/src/logs/part?.ts\n!logs/", "*.ts\n!part*2*.ts\napp/*.md\n!*.tmp"
+
+
+def ignored_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the last matching rule of their folders ignores."""
+    read(spark, sf_dir, "part").createOrReplaceTempView("_part")
+    files = spark.sql(TREE.replace(" FROM part", " FROM _part"))
+    repos = files.select("repo").distinct()
+    rules = [repos.select("repo", F.lit(folder).alias("folder"), F.lit(text).alias("content")) for folder, text in (("", _ROOT_RULES), ("src/gen", _DEEP_RULES))]
+    return ignored(files, rules[0].union(rules[1].filter("repo <> 'repo-3'")))
+
+
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by the path rules that they match."""
     files = load(spark, sf_dir, "files").select("path")
@@ -175,14 +191,27 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        registry_expand, project_tags, registry_coverage, registry_upsert, path_rules, schema_tables, decision_analytics, related_by_overlap, docs_gap, rules_supersede,
+        registry_expand, project_tags, registry_coverage, registry_upsert, ignored_files, path_rules, schema_tables, decision_analytics, related_by_overlap, docs_gap, rules_supersede,
         rule_application, rate_limit, chat_history, quality_gate, code_changes, model_router, scope_filter, migration_kinds, events_windowed, front_matter, page_titles,
     )
 }
 
 _R = f"r AS ({REGISTRY})"
 _TOK = "list_filter(string_split_regex(lower({0}), '[^a-z0-9]+'), lambda x: x <> '')"
+# The rules written out by hand. By default *.png and a folder `logs` are ignored; the root takes `logs` back; below src/gen, but in repo-3, the
+# second file comes last. Kinds of names: 1 ts, 2 tmp, 3 md, 4 png, 5 d.ts.
+_IGNORED = f"""WITH files AS ({TREE}), f AS (SELECT *, regexp_extract(path, '[^/]+$') AS name, starts_with(path, 'src/gen/') AND repo <> 'repo-3' AS deep FROM files)
+ SELECT repo, path FROM f WHERE CASE
+  WHEN deep AND ends_with(name, '.tmp') THEN false
+  WHEN deep AND regexp_matches(name, '^part.*2.*[.]ts$') THEN false
+  WHEN deep AND ends_with(name, '.ts') THEN true
+  WHEN deep AND regexp_matches(path, '^src/gen/app/[^/]*[.]md$') THEN true
+  WHEN regexp_matches(path, '^src/logs/part[^/][.]ts$') THEN true
+  WHEN starts_with(name, 'part1') AND ends_with(name, '.tmp') THEN false
+  ELSE ends_with(name, '.d.ts') OR ends_with(name, '.tmp') OR ends_with(name, '.png') END"""
+
 ORACLE = {
+    "ignored_files": _IGNORED,
     "registry_expand": f"WITH {_R} SELECT DISTINCT item_id, name FROM (SELECT item_id, unnest({_TOK.format('text')}) AS alias FROM benchmark) JOIN r USING (alias) WHERE length(alias) >= 3",
     "project_tags": with_sql(
         f"""WITH {_R}, t AS (SELECT kind AS project, alias AS term, 8.0 * count(*) AS weight FROM r GROUP BY ALL),

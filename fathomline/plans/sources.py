@@ -179,7 +179,7 @@ async function runNightly{k}() {
     ("src/constants/accounts{k}.ts", """export const ACCOUNT_TYPES = [
   { name: ~Standard {s}~, code: ~STD{k}~, minimum: {s} },
   { name: ~Pro~, code: ~PRO{k}~, minimum: 1{s} },
-  { name: ~Islamic~, code: ~ISL{k}~, minimum: 2{s} },
+  { name: ~Silver~, code: ~SLV{k}~, minimum: 2{s} },
 ];
 
 export const ORDER_STATUS = { NEW: ~new~, PAID: ~paid~, LATE_{s}: ~late~ };

@@ -6,51 +6,57 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .ignore import DEFAULTS, glob_regex, ignored
 
 MAX_BYTES = 1_000_000
 
-#: File names and extensions that are read (fixed values).
-NAMES = ("Dockerfile", "Makefile", "package.json", "composer.json", "go.mod", ".env.example")
-EXTENSIONS = ("ts", "tsx", "js", "jsx", "php", "go", "sql", "md", "mdx", "json", "yml", "yaml", "toml", "ini", "conf", "sh", "html", "css", "proto", "graphql")
-#: Folders that are never read (fixed values).
-IGNORED = ("node_modules", ".git", "dist", "build", "vendor", "coverage", "__pycache__", ".venv", "target", ".next", ".cache", "tmp")
+#: File names and extensions that are read, in lower case (fixed values).
+NAMES = ("dockerfile", "jenkinsfile", "makefile", "gnumakefile", "go.mod", "composer.json", "phpunit.xml", "phpunit.xml.dist")
+EXTENSIONS = (
+    "ts", "tsx", "js", "jsx", "json", "sql", "md", "yml", "yaml", "php", "phtml", "inc", "go", "c", "cc", "cpp", "cxx", "h", "hh", "hpp", "hxx", "proto",
+    "toml", "ini", "conf", "cfg", "properties", "xml", "gradle", "make", "mk", "sh", "bash", "zsh", "ps1",
+)
 
 
 def is_allowed(path: Column) -> Column:
-    """By file name or extension, outside of ignored folders."""
-    name = F.element_at(F.split(path, "/"), -1)
-    extension = F.lower(F.element_at(F.split(name, r"\."), -1))
-    folders = F.split(path, "/")
-    return (name.isin(*NAMES) | (name.contains(".") & extension.isin(*EXTENSIONS))) & ~F.arrays_overlap(folders, F.array(*map(F.lit, IGNORED)))
+    """By file name or extension, in any case; a name that only starts with a dot has none."""
+    name = F.lower(F.element_at(F.split(path, "/"), -1))
+    extension = F.regexp_extract(name, r"[^.].*?\.([^.]+)$", 1)
+    return name.isin(*NAMES) | name.endswith(".env.example") | extension.isin(*EXTENSIONS)
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL, or more than a twentieth control bytes, among the first 8,000 bytes."""
+    """A NUL anywhere, or more than a twentieth control bytes among the first 8,000 bytes."""
     head = F.decode(F.substring(content, 1, 8000), "ISO-8859-1")
     control = F.regexp_count(head, F.lit(r"[\x01-\x08\x0B\x0C\x0E-\x1F]"))
-    return head.contains("\x00") | (control > 0.05 * F.length(head))
+    return (F.position(F.lit(b"\x00"), content) > 0) | (control > 0.05 * F.length(head))
 
 
-def ignored_by(path: Column, patterns: list[str]) -> Column:
-    """Whether a path matches one of a list of ignore patterns: `dir/`, `*.ext`, `name` at any depth, `/rooted`."""
+def globbed(path: Column, patterns: list[str]) -> Column:
+    """Whether the whole path matches one of some globs; a leading slash and backslashes are taken for what they mean in paths."""
     out = F.lit(False)
     for p in patterns:
-        p = p.strip()
-        if not p or p.startswith("#"):
-            continue
-        rooted, folder = p.startswith("/"), p.endswith("/")
-        body = "".join("[^/]*" if c == "*" else f"\\{c}" if c in ".+?^$(){}|[]\\" else c for c in p.strip("/"))
-        out = out | path.rlike(f"{'^' if rooted else '(^|/)'}{body}{'/' if folder else '(/|$)'}")
+        out = out | path.rlike(f"^(?:{glob_regex(p.replace(chr(92), '/').lstrip('/'))})$")
     return out
 
 
-def repository(spark: SparkSession, root: str, ignore: list[str] | None = None) -> DataFrame:
-    """(path, content) of the text files of a repository: allowed, not ignored, of bounded size, neither binary nor blank."""
+def repository(spark: SparkSession, root: str, ignore: list[str] | None = None, include: list[str] | None = None, exclude: list[str] | None = None, ignore_files: DataFrame | None = None) -> DataFrame:
+    """(path, content) of the text files of a repository: included, not excluded, not ignored by default, by lines of `ignore` or by the
+    ignore files (folder, content) of folders above them, of an allowed kind and bounded size, neither binary nor blank.
+
+    Spark's readers don't list names that start with a dot, so ignore files come as a table and such files aren't read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").split("://")[-1]
     rel = F.regexp_replace(F.substring_index("path", base, -1), "^/+", "")
-    found = raw.filter(F.col("length") <= MAX_BYTES).select(rel.alias("path"), "content")
-    kept = found.filter(is_allowed(F.col("path")) & ~ignored_by(F.col("path"), ignore or []) & ~is_binary(F.col("content")))
+    found = raw.filter(F.col("length") <= MAX_BYTES).select(F.lit("").alias("repo"), rel.alias("path"), "content")
+    rules = spark.createDataFrame([], "folder string, content string") if ignore_files is None else ignore_files
+    rules = rules.select(F.lit("").alias("repo"), "folder", "content")
+    wanted = is_allowed(F.col("path")) & ~globbed(F.col("path"), exclude or [])
+    if include:
+        wanted = wanted & globbed(F.col("path"), include)
+    gone = ignored(found.select("repo", "path"), rules, (*DEFAULTS, *(ignore or [])))
+    kept = found.filter(wanted & ~is_binary(F.col("content"))).join(gone, ["repo", "path"], "left_anti")
     return kept.select("path", F.decode("content", "UTF-8").alias("content")).filter(T.strip(F.col("content")) != "")
 
 
