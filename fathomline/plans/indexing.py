@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking as C
 from ..operators import index as I
-from ..session import read
+from ..session import read, shared_folder
+from ..sources.versions import ScopedTable, buckets, merged_by
 from .fixtures import load, with_sql
 
 KEYS = ["chunk_id"]
@@ -152,14 +153,42 @@ def index_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RUNS = """WITH o AS (SELECT doc_id, sha256(doc_id || ':' || text) AS hash FROM documents),
  n AS (SELECT doc_id, sha256(doc_id || ':' || text || CASE WHEN lang = 'fr' THEN ':v2' ELSE '' END) AS hash FROM documents) """
 
+def scope_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks by repository and branch after one repository was loaded anew with fewer chunks, and two branches went."""
+    chunks = load(spark, sf_dir, "chunks").select("chunk_id", "repo", "branch", "content")
+    table = ScopedTable(spark, shared_folder(spark, "chunks"), "chunk_id bigint, repo string, branch string, content string", ("repo", "branch"))
+    table.replace(chunks)
+    again = chunks.filter("repo = 'src1' AND chunk_id % 2 = 0").withColumn("content", F.concat("content", F.lit("!")))
+    table.replace(again, also=[{"repo": "src1", "branch": b} for b in ("en", "de", "fr", "es")])
+    table.delete(lambda scope: scope[0] != "src1" and scope[1] == "de")
+    return table.read().groupBy("repo", "branch").agg(F.count("*").alias("n"), F.sum(F.length("content")).alias("n_chars"))
+
+
+def merged_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last event of each user and kind from batches of a stream, one of them repeated and one late."""
+    events = read(spark, sf_dir, "events").select("user_id", "event_type", "event_id", buckets(["user_id"]))
+    table = ScopedTable(spark, shared_folder(spark, "state"), "user_id bigint, event_type string, event_id bigint, bucket int", ("bucket",))
+    merge = merged_by(table, ["user_id", "event_type"], ["event_id"])
+    for number, part in enumerate((1, 0, 2)):
+        merge(events.filter(F.col("event_id") % 3 == part), number)
+    merge(events.filter("event_id < 0").union(events.withColumn("event_id", F.col("event_id") + 1_000_000)), 1)  # batch 1 is there already
+    return table.read().select("user_id", "event_type", "event_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         chunk_blocks, chunk_merge_small, chunk_overlap, chunk_ids, chunk_sections, chunk_sql_statements, chunk_pack, chunk_declarations, noise_filter,
         content_normalize, incremental_stale, incremental_new, incremental_index, edge_merge_last_wins, edge_replace_scope, version_log, index_summary,
+        scope_replaced, merged_state,
     )
 }
 ORACLE = {
+    "scope_replaced": with_sql(
+        """SELECT repo, branch, count(*) AS n, sum(length(content) + CASE WHEN repo = 'src1' THEN 1 ELSE 0 END)::BIGINT AS n_chars FROM chunks
+        WHERE CASE WHEN repo = 'src1' THEN chunk_id % 2 = 0 ELSE branch IS DISTINCT FROM 'de' END GROUP BY ALL"""
+    ),
+    "merged_state": "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL",
     "chunk_blocks": with_sql(f"WITH {_BLOCKS} SELECT * FROM b"),
     "chunk_merge_small": with_sql(f"WITH {_BLOCKS}, {_MERGED} SELECT * FROM m"),
     "chunk_overlap": with_sql(f"WITH {_BLOCKS}, {_OVERLAP} SELECT * FROM o"),
