@@ -1,7 +1,7 @@
 """Chunks of source files by language: declarations, statements, sections and blocks, with symbols, sizes and overlap.
 
-A file's lines are read once from the top; brace depth is a running sum, so every splitter is linear in the file. Files
-are independent rows, a map over Arrow batches.
+A file's lines are read once from the top; brace depth is a running sum, and where a body closes is looked up in minima of
+it, so an unclosed body costs a logarithm and not the rest of the file. Files are independent rows, a map over Arrow batches.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ SECTION_CHARS, KEYED_LINES, CONFIG_LINES, CONFIG_STEP, PHP_HEADER = 3200, 100, 1
 
 LANGUAGES = (
     ("typescript", r"\.(?:tsx?|jsx?|mjs|cjs)$"), ("php", r"\.php$"), ("sql", r"\.sql$"), ("go", r"\.go$"), ("markdown", r"\.mdx?$"),
-    ("json", r"\.json$"), ("yaml", r"\.ya?ml$"), ("config", r"(?:\.env(?:\.[a-z]+)?|\.ini|\.toml|\.conf|dockerfile)$"),
+    ("json", r"\.json$"), ("yaml", r"\.ya?ml$"), ("config", r"(?:^|/)(?:\.env[^/]*|[^/]*rc|dockerfile|makefile)$"),
 )
 
 
@@ -39,6 +39,36 @@ def language(path: str) -> str:
     return next((name for name, pattern in LANGUAGES if re.search(pattern, low)), "text")
 
 
+class Minima:
+    """Finds the next place of a list with a value of at most a bound, by minima over blocks of blocks."""
+
+    WIDTH = 16
+
+    def __init__(self, values: list[int]) -> None:
+        self.levels = [values]
+        while len(self.levels[-1]) > self.WIDTH:
+            below = self.levels[-1]
+            self.levels.append([min(below[k : k + self.WIDTH]) for k in range(0, len(below), self.WIDTH)])
+
+    def next(self, first: int, bound: int) -> int | None:
+        """The first place from `first` on with a value of at most `bound`."""
+        level, at = 0, first
+        while True:
+            row = self.levels[level]
+            if at >= len(row):
+                if level + 1 == len(self.levels):
+                    return None
+                level, at = level + 1, -(-at // self.WIDTH)
+            elif row[at] <= bound:
+                if level == 0:
+                    return at
+                level, at = level - 1, at * self.WIDTH
+            elif (at + 1) % self.WIDTH == 0 and level + 1 < len(self.levels):
+                level, at = level + 1, (at + 1) // self.WIDTH
+            else:
+                at += 1
+
+
 class Braces:
     """Where the braces that open at or after a line close."""
 
@@ -47,17 +77,17 @@ class Braces:
         for line in lines:
             depth += line.count("{") - line.count("}")
             self.after.append(depth)
+        self.minima = Minima(self.after)
+        self.opens = [len(lines)] * (len(lines) + 1)  # the first line from here on that opens one
+        for k in range(len(lines) - 1, -1, -1):
+            self.opens[k] = k if "{" in lines[k] else self.opens[k + 1]
         self.lines = lines
 
     def close(self, first: int, limit: int | None = None) -> int:
         """The line that closes what opens from `first` on; MAX_LINES lines if nothing does."""
-        outside = self.after[first - 1] if first else 0
-        opened = False
-        for k in range(first, len(self.lines) if limit is None else limit + 1):
-            opened = opened or "{" in self.lines[k]
-            if opened and self.after[k] <= outside:
-                return k
-        return min(first + MAX_LINES - 1, len(self.lines) - 1 if limit is None else limit)
+        last = len(self.lines) - 1 if limit is None else limit
+        found = self.minima.next(self.opens[first], self.after[first - 1] if first else 0)
+        return found if found is not None and found <= last else min(first + MAX_LINES - 1, last)
 
 
 METHOD = re.compile(r"^\s+(?:public\s+|private\s+|protected\s+|static\s+|async\s+|get\s+|set\s+)*([A-Za-z_$][\w$]*)\s*\([^)]*\)?[^;]*\{\s*$")
@@ -79,7 +109,7 @@ def typescript(lines: list[str]) -> Iterator[Segment]:
             end = braces.close(at)
             yield Segment(at, end, "function", m[1])
             at = end + 1
-        elif m := re.match(r"\s*export\s+const\s+([A-Za-z_$][\w$]*)", line):
+        elif m := re.match(r"\s*export\s+(?:const|let|var)\s+([A-Za-z_$][\w$]*)", line):
             end = braces.close(at) if "{" in line else at
             if "[" in line and "]" not in line:
                 end = next((k for k in range(at, len(lines)) if lines[k].startswith("]")), end)
@@ -177,14 +207,16 @@ def _small(lines: list[str], s: Segment) -> bool:
 
 
 def _bounded(lines: list[str], s: Segment) -> Iterator[Segment]:
-    """The segment in windows of at most MAX_LINES lines, cut after a blank line if there is one."""
+    """A segment of more than MAX_LINES lines or MAX_CHARS characters in windows of at most MAX_LINES lines, each cut after its last blank line."""
+    if s.last - s.first < MAX_LINES and sum(len(x) + 1 for x in lines[s.first : s.last + 1]) - 1 <= MAX_CHARS:
+        yield s
+        return
     at = s.first
-    while s.last - at + 1 > MAX_LINES:
-        end = at + MAX_LINES - 1
-        end = next((k for k in range(end, at + MAX_LINES // 2, -1) if not lines[k].strip()), end)
+    while at <= s.last:
+        end = min(at + MAX_LINES - 1, s.last)
+        end = next((k for k in range(end, at, -1) if not lines[k].strip()), end)
         yield s._replace(first=at, last=end)
         at = end + 1
-    yield s._replace(first=at)
 
 
 def chunks_of(path: str, content: str) -> list[tuple[int, int, str, str | None, str | None, bool, str]]:
