@@ -12,8 +12,9 @@ with more than `4 * BLOCK` turns, as numbers may repeat or be missing, is
 divided further by number, copies of the same turn and a hash of the turn.
 
 Texts are shuffled once. Offsets are running sums over a table of part sizes
-(three numbers a part and participant, no text); its window is the only place
-where all parts of a conversation meet, sorted and streamed, not collected.
+(three numbers a part and participant, no text), over spans of parts, parts and
+what crowded parts were divided into where a dialogue has many. Parts meet their
+participants by a join that splits parts with very many of them; views are never collected.
 
 Defined cases: null text is empty; a null role is the speaker `unknown`; turns
 without a number come first; turns with the same number are ordered by the MD5
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import hot_keys, spread_join
+from .common import HOT, hot_keys, spread_join
 
 BLOCK = 64
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -77,6 +78,32 @@ def _dealt(said: DataFrame, block: int) -> DataFrame:
     return rest.union(divided.select("conv_id", "part", F.col("turn").alias("t"), "chunk", sub, "turn", "speaker", "text", "mark", "copies"))
 
 
+def _offsets(sized: DataFrame, most: int = HOT, span: int = 256) -> DataFrame:
+    """sized with number and start: how many parts, and characters, a participant's dialogue has before a part.
+
+    Sums in a window of a dialogue's parts; if some dialogue has more than `most`, sums over `span` parts first, then over
+    the parts of a span, then over what a crowded part was divided into, so no window holds a whole dialogue.
+    """
+    keys, sums = ["conv_id", "perspective"], ("number", "start")
+    counted = sized.withColumns({"_number": F.lit(1).cast("long"), "_start": F.col("n_chars")})
+    upto = lambda by, order: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    if not hot_keys(sized, keys, least=most)[1]:
+        own = {c: F.coalesce(F.sum(f"_{c}").over(upto(keys, PLACE)), zero) for c in sums}
+        return counted.withColumns(own).drop("_number", "_start")
+    levels = {"_l0": [F.floor(F.col("part") / span)], "_l1": [F.col("part")], "_l2": [F.col("t"), F.col("chunk"), F.floor(F.col("sub") / span)]}
+    rows = counted.withColumns({k: F.struct(*(c.alias(f"c{i}") for i, c in enumerate(cs))) for k, cs in levels.items()})
+    names = list(levels)
+    for k, level in enumerate(names):
+        above, here = [*keys, *names[:k]], [*keys, *names[: k + 1]]
+        totals = rows.groupBy(*here).agg(*(F.sum(f"_{c}").alias(f"_s_{c}") for c in sums))
+        before = totals.select(*here, *(F.coalesce(F.sum(f"_s_{c}").over(upto(above, [level])), zero).alias(f"_{level}_{c}") for c in sums))
+        rows = spread_join(rows, before, here, by="sub")
+    last = {c: F.coalesce(F.sum(f"_{c}").over(upto([*keys, *names], PLACE)), zero) for c in sums}
+    total = {c: sum((F.col(f"_{level}_{c}") for level in names), last[c]) for c in sums}
+    return rows.select(*sized.columns, *(total[c].alias(c) for c in sums))
+
+
 def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """(conv_id, perspective, part, n_turns, n_trained, start, n_chars, text, mask): one row per dialogue, participant and part.
 
@@ -106,14 +133,9 @@ def rotate(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", speaker:
     less = len(OPEN + "assistant\n") - F.length(_head(F.col("perspective"), nobody))
     own = total(F.transform(F.filter("speakers", lambda s: s["speaker"] == F.col("perspective")), lambda s: s["copies"]))
     sized = spread_join(slim, people, ["conv_id"], by="place").select("conv_id", *PLACE, "perspective", (F.col("size") + less * own).alias("n_chars"))
-    order = Window.partitionBy("conv_id", "perspective").orderBy(*PLACE)
-    before = F.coalesce(F.sum("n_chars").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = sized.select("conv_id", *PLACE, F.struct("perspective", (F.row_number().over(order) - 1).cast("long").alias("number"), before.alias("start"), "n_chars").alias("view"))
-    views = placed.groupBy("conv_id", *PLACE).agg(F.collect_list("view").alias("views")).withColumnsRenamed({k: f"_{k}" for k in ["conv_id", *PLACE]})
-    on = F.lit(True)
-    for k in ["conv_id", *PLACE]:
-        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    seen = parts.join(views, on).select("conv_id", "turns", F.explode("views").alias("view"))
+    placed = _offsets(sized).select("conv_id", *PLACE, "perspective", F.struct("perspective", "number", "start", "n_chars").alias("view"))
+    # a part's text meets its participants' views; a part with very many of them is copied to several tasks
+    seen = spread_join(placed, parts, ["conv_id", *PLACE], by="perspective").select("conv_id", "turns", "view")
 
     me = F.col("view.perspective")
     pieces = F.flatten(
