@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import containment as C
+from ..operators import tagging
 from ..session import read
+from .fixtures import load, with_sql
 
 _PARTS = ("the", "than", "thand", "ther", "entheri")
 
@@ -38,7 +40,20 @@ def feedback_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.not_triggered(read(spark, sf_dir, "conversations").filter("role = 'user'"), ["conv_id", "turn"], "text", triggers)
 
 
-QUERIES = {f.__name__: f for f in (registry_mentions, feature_gaps, feedback_gaps)}
+def chunk_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects of chunks by path rules, names in paths and texts, else by their repository."""
+    part = F.get(F.array(*map(F.lit, _PARTS)), F.col("n_nationkey") % 5)
+    number = F.col("n_nationkey").cast("string")
+    entries = read(spark, sf_dir, "nation").select(
+        F.col("n_name").alias("name"), F.concat(F.lit("p"), number).alias("project"), F.array(F.concat(F.lit("src-"), number), part, F.lit("entheres"), F.lit("of")).alias("terms"), F.array(F.concat(F.lit("SRC"), number)).alias("repos")
+    )
+    rules = spark.createDataFrame([("src1", "src1/en/**", "english"), ("src2", "*/de/1*.md", "german"), ("src3", "src3/fr", "french")], "repo string, pattern string, project string")
+    fallback = F.when(F.col("chunk_id") % 3 == 0, F.array(F.lit("x"))).when(F.col("chunk_id") % 3 == 1, F.array(F.lit("x"), F.lit("y"))).alias("fallback")
+    found = tagging.projects(load(spark, sf_dir, "chunks").select("chunk_id", "repo", "path", "content", fallback), entries, rules)
+    return found.select("chunk_id", F.array_join("projects", ",").alias("projects"), "how")
+
+
+QUERIES = {f.__name__: f for f in (registry_mentions, feature_gaps, feedback_gaps, chunk_projects)}
 
 ORACLE = {
     "registry_mentions": f"""WITH q AS (SELECT item_id AS question_id, lower(text) AS t FROM benchmark UNION ALL SELECT n_nationkey + 1000000, lower(concat(' Repo-', n_nationkey % 10, ' ')) FROM nation),
@@ -48,6 +63,19 @@ ORACLE = {
     "feature_gaps": """WITH f AS (SELECT 'benchmark' AS kind, unnest(string_split_regex(text, '[^\\p{L}]+')) AS name FROM benchmark UNION ALL SELECT 'part', p_name FROM part),
  g AS (SELECT kind, name, count(*) AS n FROM f WHERE name <> '' GROUP BY ALL), d AS MATERIALIZED (SELECT lower(text) AS t FROM documents WHERE lang = 'en')
  SELECT kind, name, n FROM g WHERE NOT EXISTS (SELECT 1 FROM d WHERE contains(t, lower(name)))""",
+    "chunk_projects": with_sql(
+        f"""WITH c AS (SELECT chunk_id, repo, path, regexp_replace(lower(path), '[^a-z0-9]+', '', 'g') AS p, regexp_replace(lower(content), '[^a-z0-9]+', '', 'g') AS t FROM chunks),
+ e AS (SELECT 'p' || n_nationkey AS project, 'src' || n_nationkey AS repo, unnest(['src' || n_nationkey, [{', '.join(f"'{p}'" for p in _PARTS)}][n_nationkey % 5 + 1], 'entheres']) AS name FROM nation),
+ s AS (SELECT chunk_id, project, 30 AS points FROM c JOIN e ON contains(p, name)
+  UNION ALL SELECT chunk_id, project, CASE WHEN length(name) >= 6 THEN 8 ELSE 4 END FROM c JOIN e ON c.repo = e.repo AND contains(t, name)
+  UNION ALL SELECT chunk_id, CASE repo WHEN 'src1' THEN 'english' WHEN 'src2' THEN 'german' ELSE 'french' END, 100 FROM c
+  WHERE starts_with(path, 'src1/en') AND repo = 'src1' OR repo = 'src2' AND regexp_matches(path, '/de/1.*[.]md$') OR repo = 'src3' AND starts_with(path, 'src3/fr/')),
+ g AS (SELECT chunk_id, project, sum(points) AS score FROM s GROUP BY ALL HAVING sum(points) >= 12),
+ h AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY score DESC, project) <= 6),
+ l AS (SELECT chunk_id, string_agg(project, ',' ORDER BY score DESC, project) AS projects FROM h GROUP BY chunk_id)
+ SELECT chunk_id, coalesce(projects, CASE WHEN chunk_id % 3 = 0 THEN 'x' ELSE '' END) AS projects,
+  CASE WHEN projects IS NOT NULL THEN 'scored' WHEN chunk_id % 3 = 0 THEN 'repo' WHEN chunk_id % 3 = 1 THEN 'ambiguous' ELSE 'none' END AS how FROM c LEFT JOIN l USING (chunk_id)"""
+    ),
     "feedback_gaps": """WITH r AS (SELECT DISTINCT lower(substring(text, 1, 9)) AS name FROM benchmark WHERE item_id % 3 <> 0)
  SELECT conv_id, turn FROM conversations c WHERE role = 'user' AND NOT EXISTS (SELECT 1 FROM r WHERE contains(lower(c.text), name))""",
 }
