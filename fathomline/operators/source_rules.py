@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 # Patterns and words by which names are recognised.
-QUOTED = r"""["'`]([^"'`]+)["'`]"""
 QUOTED_NAME = r"""["'`]([A-Za-z][A-Za-z0-9_.:-]{1,80})["'`]"""
 ROUTE_PATTERNS = (
     r"""(?i)(?:app|router|route)\s*\.\s*(?:get|post|put|patch|delete|any)\s*\(\s*["'`]([^"'`]+)["'`]""",

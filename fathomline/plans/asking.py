@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import asking as A
-from ..session import read
+from ..session import checkpointed, read
 from .hints import _EVIDENCE_ALL, _POINTS, points
 from .sources import load, with_sources
 
@@ -65,8 +65,9 @@ def rerank_named(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def strong_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reranked points whose text or names hold a term of the question."""
-    found = A.rerank(questions(spark, sf_dir), points(spark, sf_dir), 5)
-    p = points(spark, sf_dir).select("file_id", F.lower(F.concat_ws("\n", "repo", "path", "content")).alias("text"))
+    known = checkpointed(points(spark, sf_dir))  # thirty patterns a file, evaluated once
+    found = A.rerank(questions(spark, sf_dir), known, 5)
+    p = known.select("file_id", F.lower(F.concat_ws("\n", "repo", "path", "content")).alias("text"))
     q = questions(spark, sf_dir).select("question_id", A.terms_of(F.col("question")).alias("terms"))
     joined = found.join(q, "question_id").join(p, "file_id")
     return joined.filter(F.exists("terms", lambda t: F.contains(F.col("text"), t))).select("question_id", "file_id", F.size(F.filter("terms", lambda t: F.contains(F.col("text"), t))).alias("n_terms"))
