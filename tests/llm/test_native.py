@@ -224,3 +224,14 @@ def test_chat_nulls_and_empty_table(spark):
     assert {r.perspective for r in out if r.conv_id is None} == {"unknown"}
     assert sum(r.n_turns for r in out) == 3
     assert chat.rotate(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_a_very_long_rule_path(spark):
+    from fathomline.llm import url_filter
+
+    long = "/" + "a/" * 600
+    rules = [("com", long, "com" + long, "block"), ("x.com", long + "b", "x.com" + long + "b", "allow"), ("com", "/", "com/", "allow")]
+    pages = [(1, f"http://y.com{long}"), (2, f"http://x.com{long}bc"), (3, f"http://x.com{long}c"), (4, f"http://x.com{long[:-1]}"), (5, f"http://com{long * 3}")]
+    frame = spark.createDataFrame(rules, "host string, path string, rule string, verdict string")
+    got = {r.page_id: r.verdict for r in url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string"), frame).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "allow", 5: "block"}
