@@ -23,6 +23,7 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, t
     weights = L.asked_terms(questions).select("question_id", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
     terms = L.small(weights.select("term").distinct())
     hits = L.counted(docs, id_col, columns).join(terms, "term", "left_semi").select("doc", "field", "term", "tf", "len")
+    hits = hits.repartition("field", "term")  # one exchange for both uses, so texts are counted once
     return L.scored(hits, L.lengths(docs, id_col, columns), {name: w for name, (_, w) in fields.items()}, weights, k)
 
 
