@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+from fathomline.operators import extract as E
 from fathomline.operators import source_rules as R
 from fathomline.plans import fixtures, sources
 from fathomline.session import spread
@@ -23,3 +26,22 @@ def test_a_name_that_all_files_call_and_define(spark):
     df = spark.createDataFrame(found, "repo string, file_id long, type string, line int, from_symbol string, receiver string, name string")
     got = {(r["repo"], r["from_symbol"], r["receiver"], r["callee"], r["n_targets"], r["first_target"]) for r in R.call_targets(df, ["repo"], "file_id").collect()}
     assert got == {("r", "main", "x", "go", n, 0), ("r", "only", "x", "go", n - 1, 0), ("r", "first", None, "go", n - 1, 1)}
+
+
+def test_patterns_name_a_word_of_their_matches():
+    """The line of each pattern holds its word, so no match is passed over."""
+    lines = {
+        "declare": "APP app.get('/a')", "decorate": "@Get('/a')", "handle": 'http.HandleFunc("/a"', "constant": "const A = '/a'; const AB", "select": "FROM a", "join": "Join a", "insert": "INSERT INTO a", "update": "Update a SET",
+        "create": "CREATE TABLE a", "delete": "DELETE FROM a", "publish": "sendToQueue('a') x.publish('a')", "consume": "x.consume('a')", "assert": "assertQueue('a') assertExchange('a')",
+        "read": "process.env.A process.env['A'] os.Getenv('A')", "config": "process.env.A || 'b'", "node-cron": "cron.schedule('a')", "decorator": "@Cron('a')", "interval": "setInterval(a", "axios": "axios.get('a')",
+        "fetch": "fetch('a')", "call": "rpc.call('a')", "function": "function a", "class": "interface a",
+    }
+    for p in E.ALL:
+        found = re.search(p.regex, lines[p.operation])
+        assert found and p.word in found.group(0).lower(), p
+
+
+def test_facts_are_looked_for_once(spark):
+    files = spark.createDataFrame([(1, "x")], "file_id long, content string")
+    plan = E.facts(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sendToQueue") == 1
