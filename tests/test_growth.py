@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from fathomline.operators import extract as E
+from fathomline.operators import graph as G
 from fathomline.operators import source_rules as R
 from fathomline.plans import fixtures, sources
 from fathomline.session import spread
@@ -45,3 +48,35 @@ def test_facts_are_looked_for_once(spark):
     files = spark.createDataFrame([(1, "x")], "file_id long, content string")
     plan = E.facts(files)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("sendToQueue") == 1
+
+
+def test_entries_of_one_key_share_their_hops(spark):
+    edges = [(k, "CALL", None, "k:a" if k % 3 else "k:b") for k in range(60)] + [(100 + k, "STEP", "k:a" if k % 2 else "k:b", f"t:{k % 4}") for k in range(20)]
+    edges += [(200 + k, "CALL", f"t:{k % 4}", "k:a") for k in range(12)] + [(300, "STEP", None, None)]
+    rows = spark.createDataFrame(edges, "id long, type string, from_key string, to_key string")
+    hops = [("STEP", 4), ("CALL", 5), ("STEP", 3)]
+
+    def walk(entry):
+        out, seen, front = [(entry[0], 0, entry[0], (entry[0],))], {entry[0]}, [(entry[3], (entry[0],))]
+        for hop, (kind, cap) in enumerate(hops, 1):
+            new = {}
+            for key, path in front:
+                for e in edges:
+                    if e[1] == kind and e[2] is not None and e[2] == key and e[0] not in seen:
+                        new.setdefault(e[0], (e[3], (*path, e[0])))
+            some = sorted(new)[:cap]
+            out += [(entry[0], hop, e, new[e][1]) for e in some]
+            front, seen = [new[e] for e in some], seen | set(some)
+        return out
+
+    for kind in ("CALL", "STEP"):
+        got = sorted((r["entry"], r["hop"], r["edge"], tuple(r["path"])) for r in G.paths(rows.filter(F.col("type") == kind), rows, hops).collect())
+        assert got == sorted(x for e in edges if e[1] == kind for x in walk(e))
+
+
+def test_entries_of_one_key_are_joined_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(k, "CALL", None, "k") for k in range(500)] + [(1000 + k, "STEP", "k", "t") for k in range(3)], "id long, type string, from_key string, to_key string")
+    sizes, real = [], G.checkpointed
+    monkeypatch.setattr(G, "checkpointed", lambda df: sizes.append((made := real(df)).count()) or made)
+    assert G.paths(rows.filter("type = 'CALL'"), rows, [("STEP", 3)]).count() == 2000
+    assert sizes == [1, 3]
