@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from fathomline.operators import extract as E
 from fathomline.operators import graph as G
 from fathomline.operators import source_rules as R
-from fathomline.plans import fixtures, sources
+from fathomline.plans import asking, fixtures, sources
 from fathomline.session import spread
 
+from .conftest import SF
+
 
 def test_few_bytes_of_many_rows_are_dealt_out(spark):
     assert sources.load(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() > 4
@@ -50,6 +52,12 @@ def test_facts_are_looked_for_once(spark):
     assert plan.count("sendToQueue") == 1
 
 
+def test_gates_give_the_hints_that_were_left_out(spark):
+    rows = {r["question_id"] % 10: r for r in asking.question_gates(spark, SF).collect()}
+    assert (rows[7]["platform"], rows[8]["region"], rows[9]["region"], rows[9]["reward"]) == ("P5", "north", "south", 1)
+    assert (rows[0]["platform"], rows[0]["region"], rows[0]["reward"]) == (None, None, 0)
+
+
 def test_entries_of_one_key_share_their_hops(spark):
     edges = [(k, "CALL", None, "k:a" if k % 3 else "k:b") for k in range(60)] + [(100 + k, "STEP", "k:a" if k % 2 else "k:b", f"t:{k % 4}") for k in range(20)]
     edges += [(200 + k, "CALL", f"t:{k % 4}", "k:a") for k in range(12)] + [(300, "STEP", None, None)]
