@@ -48,9 +48,9 @@ class _Cell:
         self.vectors.append(vectors)
 
     def meet(self, names: np.ndarray, points: np.ndarray) -> None:
-        if not self.ids:
-            return
         if self.best is None:
+            if not self.ids:
+                return
             self.ids, self.vectors = np.concatenate(self.ids), np.concatenate(self.vectors)
             self.best, self.who = np.full((len(self.ids), self.k), -np.inf), np.full((len(self.ids), self.k), np.iinfo(np.int64).max)
         for at in range(0, len(names), POINT_SLICE):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomline.operators import extract as E
 from fathomline.operators import graph as G
 from fathomline.operators import source_rules as R
+from fathomline.operators import vectors as V
 from fathomline.plans import asking, fixtures, sources
 from fathomline.session import spread
 
@@ -88,3 +89,17 @@ def test_entries_of_one_key_are_joined_once(spark, monkeypatch):
     monkeypatch.setattr(G, "checkpointed", lambda df: sizes.append((made := real(df)).count()) or made)
     assert G.paths(rows.filter("type = 'CALL'"), rows, [("STEP", 3)]).count() == 2000
     assert sizes == [1, 3]
+
+
+def test_points_of_a_cell_in_several_batches(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    asked = e.filter("vec_id % 50 = 0")
+    near = lambda *a, **b: sorted((r[0], r[1], r[2], round(r[3], 9)) for r in V.topk(*a, **b).collect())
+    want = near(e, asked, 10)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")
+    try:
+        assert near(e, asked, 10, block=3) == want
+        one = asked.filter("vec_id = 0")  # a single query, whose id is 0
+        assert near(e, one, 10) == [x for x in want if x[0] == 0]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
