@@ -6,11 +6,13 @@ import re
 
 from pyspark.sql import functions as F
 
+from fathomline.operators import asking as A
 from fathomline.operators import extract as E
 from fathomline.operators import graph as G
 from fathomline.operators import source_rules as R
 from fathomline.operators import vectors as V
-from fathomline.plans import asking, fixtures, sources
+from fathomline.plans import asking, context, fixtures, sources
+from fathomline.plans.hints import points
 from fathomline.session import spread
 
 from .conftest import SF
@@ -103,3 +105,50 @@ def test_points_of_a_cell_in_several_batches(spark):
         assert near(e, one, 10) == [x for x in want if x[0] == 0]
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_words_that_all_questions_and_routes_hold(spark):
+    asked = [(q, [w for w in ("a", "b", f"q{q % 5}", "c") if (q + len(w)) % 4 or w == "a"]) for q in range(40)]
+    held = [(f"r{i}", [w for w in ("a", f"q{i % 5}", "b", "z", "c") if (i + ord(w[0])) % 3 or w == "a"]) for i in range(30)]
+    got = A.shared_words(spark.createDataFrame(asked, "q long, terms array<string>"), spark.createDataFrame(held, "item string, parts array<string>"), "q", "terms", "item", "parts")
+    want = sorted((q, t, i, len(set(t) & set(p))) for q, t in asked for i, p in held if len(set(t) & set(p)) >= 2)
+    assert sorted((r["q"], r["terms"], r["item"], r["n"]) for r in got.collect()) == want
+
+
+def test_files_widened_by_shared_tables(spark):
+    touched = {(f, f"r{f % 3}", t) for f in range(60) for t in ("stock" if f % 4 else f"own{f}", f"t{f % 7}", f"only{f}", f"pair{f // 2}", f"alone{f}" if f % 5 else "stock")}
+    touched |= {(f, f"r{f % 3}", f"lonely{f}") for f in range(60, 66)} | {(66, "r0", "t1"), (66, "r0", "own0")}
+    first = [(q, f) for q in range(25) for f in {q, (q * 7) % 66, 60 + q % 7}] + [(99, 1000)]
+    tables, files = {}, {}
+    for f, r, t in touched:
+        tables.setdefault(f, set()).add((r, t))
+        files.setdefault((r, t), set()).add(f)
+    want = []
+    for q in sorted({q for q, _ in first}):
+        named = {f for k, f in first if k == q}
+        seen = set().union(*(tables.get(f, set()) for f in named))
+        more = set().union(*(files[s] for s in seen)) - named if seen else set()
+        new = {t for f in more for _, t in tables[f]} - {t for _, t in seen}
+        want.append((q, len(named), len(more), len(new)))
+    got = A.widened(spark.createDataFrame(first, "question_id long, file_id long"), spark.createDataFrame(sorted(touched), "file_id long, repo string, tab string"))
+    assert sorted(map(tuple, got.collect())) == want
+
+
+def test_questions_of_the_same_terms_are_asked_once(spark):
+    p = points(spark, SF)
+    name = A.named_points(p).filter("kind = 'table' AND name LIKE 'item%'").agg(F.min("name")).head()[0]
+    q = spark.createDataFrame([(k, f"Which services use the database table {name if k % 2 else 'none'}?") for k in range(40)], "question_id long, question string")
+    found = A.rerank(q, p, 5)
+    one = {(r["rank"], r["file_id"], r["score"]) for r in A.rerank(q.filter("question_id = 1"), p, 5).collect()}
+    assert one and all({(r["rank"], r["file_id"], r["score"]) for r in found.filter(f"question_id = {k}").collect()} == one for k in (1, 39))
+    assert "min(member" in found._jdf.queryExecution().optimizedPlan().toString()  # one asks for all
+
+
+def test_names_of_vocabularies_are_counted_before_they_are_asked_for(spark):
+    plan = context.vocabulary_hits(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate [name")
+
+
+def test_lists_of_a_point_are_made_once(spark):
+    plan = asking.fallback_context(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Schema::(?:create") == 1
