@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import checkpointed, spread
 from . import lexical as L
 
 
@@ -20,11 +21,11 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, t
     read, and those that no question has are dropped before anything is shuffled.
     """
     columns = {name: x for name, (x, _) in fields.items()}
-    weights = L.asked_terms(questions).select("question_id", F.col("asked").alias("term"), F.lit(1.0).alias("weight"))
-    terms = L.small(weights.select("term").distinct())
-    hits = L.counted(docs, id_col, columns).join(terms, "term", "left_semi").select("doc", "field", "term", "tf", "len")
-    hits = hits.repartition("field", "term")  # one exchange for both uses, so texts are counted once
-    return L.scored(hits, L.lengths(docs, id_col, columns), {name: w for name, (_, w) in fields.items()}, weights, k)
+    asked = L.asked_terms(questions)
+    pairs = asked.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight")).distinct()
+    found = L.counted(spread(docs.select(id_col, *columns.values())), id_col, columns)
+    hits = checkpointed(found.join(L.small(pairs.select("term")), "term", "left_semi").select("doc", "field", "term", "tf", "len"))  # texts are counted once
+    return L.scored(hits, L.means(L.lengths(docs, id_col, columns), columns), {name: w for name, (_, w) in fields.items()}, asked, pairs, k)
 
 
 #: Points for a term that equals a symbol or message name, stands as a word, in quotes, before a colon, inside a word; for two and

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import lexical as L
-from ..session import read, shared_folder
+from ..session import read, shared_folder, spread
 
 #: Index entries of eight fields, one a part: a fifth has no identifiers, of which half has evidence that goes without.
 ENTRIES = """SELECT p_partkey AS doc, concat('repo-', p_size % 7) AS repo, concat('src/', lower(replace(p_brand, '#', '_')), '/part', p_partkey, '.ts') AS path,
@@ -28,7 +28,7 @@ def _fields() -> dict:
 
 
 def _made(spark: SparkSession, sf_dir: str, sql: str, base: str) -> DataFrame:
-    read(spark, sf_dir, base).createOrReplaceTempView(f"_{base}")
+    spread(read(spark, sf_dir, base)).createOrReplaceTempView(f"_{base}")
     return spark.sql(sql.replace(f" FROM {base}", f" FROM _{base}"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathomline.operators import asking as A
 from fathomline.operators import extract as E
 from fathomline.operators import graph as G
+from fathomline.operators import lexical as L
 from fathomline.operators import source_rules as R
 from fathomline.operators import vectors as V
 from fathomline.plans import asking, context, fixtures, sources
@@ -112,7 +113,7 @@ def test_words_that_all_questions_and_routes_hold(spark):
     held = [(f"r{i}", [w for w in ("a", f"q{i % 5}", "b", "z", "c") if (i + ord(w[0])) % 3 or w == "a"]) for i in range(30)]
     got = A.shared_words(spark.createDataFrame(asked, "q long, terms array<string>"), spark.createDataFrame(held, "item string, parts array<string>"), "q", "terms", "item", "parts")
     want = sorted((q, t, i, len(set(t) & set(p))) for q, t in asked for i, p in held if len(set(t) & set(p)) >= 2)
-    assert sorted((r["q"], r["terms"], r["item"], r["n"]) for r in got.collect()) == want
+    assert sorted((r["q"], r["terms"], r["item"], r["n"]) for r in got.collect()) == sorted(want)
 
 
 def test_files_widened_by_shared_tables(spark):
@@ -152,3 +153,32 @@ def test_names_of_vocabularies_are_counted_before_they_are_asked_for(spark):
 def test_lists_of_a_point_are_made_once(spark):
     plan = asking.fallback_context(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Schema::(?:create") == 1
+
+
+def test_best_documents_of_lists_and_own_terms(spark, monkeypatch):
+    """Blocks, lists and terms of few questions against all pairs; ties, documents of one kind of term, questions of none."""
+    monkeypatch.setattr(L, "FEWEST_DOCS", 20)
+    monkeypatch.setattr(L, "LISTS", 3)
+    held = [(d, t, w) for d in range(150) for t, w in [("of", 0.25), (f"c{d % 7}", 1.5), (f"c{d % 5}x", 0.75), (f"own{d % 40}", 2.0 + d % 3), (f"own{d % 9}", 0.125)] if (d + len(t)) % 6]
+    held = sorted({(d, t): (d, t, w) for d, t, w in held}.values()) + [(500 + d, f"own{d}", 0.5) for d in range(30)]
+    asked = [(q, t) for q in range(60) for t in {"of", f"c{q % 7}", f"c{q % 3}x", f"own{q}", f"own{(q * 3) % 60}"} if (q + len(t)) % 5] + [(70, "none"), (71, "own3"), (71, "own4")]
+    of = {}
+    for d, t, w in held:
+        of.setdefault(t, []).append((d, w))
+    want = []
+    for q in sorted({q for q, _ in asked}):
+        sums = {}
+        for t in {t for k, t in asked if k == q}:
+            for d, w in of.get(t, ()):
+                sums[d] = sums.get(d, 0) + w
+        want += [(q, d, x, n) for n, (d, x) in enumerate(sorted(sums.items(), key=lambda p: (-p[1], p[0]))[:6], 1)]
+    got = L.best(spark.createDataFrame(held, "doc long, asked string, s double"), spark.createDataFrame(asked, "question_id long, asked string"), 180, 6)
+    assert sorted((r["question_id"], r["doc"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_terms_far_from_those_asked_for_get_no_keys_of_two_edits(spark, monkeypatch):
+    made, real = [], L.two_edit_keys
+    monkeypatch.setattr(L, "two_edit_keys", lambda term: made.append(term) or real(term))
+    found = L.expanded(spark.createDataFrame([("validatesmalrng",)], "asked string"), spark.createDataFrame([("validatesmallring",), *((f"handlepart{10000 + k}",) for k in range(300))], "term string"))
+    assert made and [tuple(r)[:2] for r in found.collect()] == [("validatesmalrng", "validatesmallring")]
+    assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
