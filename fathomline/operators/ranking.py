@@ -23,9 +23,12 @@ def bm25(docs: DataFrame, questions: DataFrame, id_col: str, fields: dict[str, t
     columns = {name: x for name, (x, _) in fields.items()}
     asked = L.asked_terms(questions)
     pairs = asked.select("asked", F.col("asked").alias("term"), F.lit(1.0).alias("weight")).distinct()
-    found = L.counted(spread(docs.select(id_col, *columns.values())), id_col, columns)
-    hits = checkpointed(found.join(L.small(pairs.select("term")), "term", "left_semi").select("doc", "field", "term", "tf", "len"))  # texts are counted once
-    return L.scored(hits, L.means(L.lengths(docs, id_col, columns), columns), {name: w for name, (_, w) in fields.items()}, asked, pairs, k)
+    found = L.counted(spread(docs.select(id_col, *columns.values())), id_col, columns, totals=True)
+    wanted = L.small(pairs.select("term", F.lit(True).alias("wanted")))
+    kept = checkpointed(found.join(wanted, "term", "left").filter("wanted OR term IS NULL").select("doc", "field", "term", "tf", "len"))  # texts are read once
+    totals, long = kept.filter("term IS NULL"), F.col("len") > 0
+    stats = totals.agg(F.count_if(F.col("field") == next(iter(columns))).alias("n"), *(F.avg(F.when((F.col("field") == name) & long, F.col("len"))).alias(f"avg_{name}") for name in columns))
+    return L.scored(kept.filter("term IS NOT NULL"), stats, {name: w for name, (_, w) in fields.items()}, asked, pairs, k)
 
 
 #: Points for a term that equals a symbol or message name, stands as a word, in quotes, before a colon, inside a word; for two and
@@ -84,10 +87,11 @@ def exact_scores(candidates: DataFrame, docs: DataFrame, terms: DataFrame) -> Da
     """(question_id, doc, score > 0) of candidates (question_id, doc) by the exact terms of their questions.
 
     docs: (doc, text, path, names); terms: (question_id, terms in their order). A document's text meets all its
-    questions at once, QUESTIONS_AT_ONCE of them, and is searched for words once.
+    questions at once, QUESTIONS_AT_ONCE of them, and is searched for words once. Candidates are read more than once.
     """
     asked = candidates.select("question_id", "doc").join(terms, "question_id")
     place = F.row_number().over(Window.partitionBy("doc").orderBy("question_id"))
+    docs = docs.join(L.small(candidates.select("doc").distinct()), "doc", "left_semi")  # texts of no candidate move nowhere
     grouped = asked.withColumn("part", F.floor((place - 1) / QUESTIONS_AT_ONCE)).groupBy("doc", "part").agg(F.collect_list(F.struct("question_id", "terms")).alias("asked"))
     return grouped.join(docs, "doc").select("doc", "text", "path", "names", "asked").mapInArrow(_exact, "question_id bigint, doc bigint, score double")
 

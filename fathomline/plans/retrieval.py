@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import ranking as R
-from ..session import read
+from ..operators.lexical import small
+from ..session import checkpointed, read
 from .fixtures import load, with_sql
 
 
@@ -35,12 +36,13 @@ _BM25 = f"""d AS (SELECT chunk_id AS doc, unnest([{{'field': 'content', 'boost':
 
 def bm25_topk(spark: SparkSession, sf_dir: str, most: int = 10) -> DataFrame:
     fields = {"content": (F.col("content"), 1.0), "path": (F.col("path"), 1.5)}
-    return R.bm25(load(spark, sf_dir, "chunks"), _questions(spark, sf_dir), "chunk_id", fields, most).select("question_id", "doc", "score", "rank")
+    found = R.bm25(load(spark, sf_dir, "chunks"), _questions(spark, sf_dir), "chunk_id", fields, most).select("question_id", "doc", "score", "rank")
+    return checkpointed(found)  # few rows, which others join with texts more than once
 
 
 def _with_text(spark: SparkSession, sf_dir: str, ranked: DataFrame) -> DataFrame:
     chunks = load(spark, sf_dir, "chunks").select(F.col("chunk_id").alias("doc"), "repo", "branch", "content")
-    return ranked.join(chunks, "doc")
+    return chunks.join(small(ranked), "doc")
 
 
 def _exact(spark: SparkSession, sf_dir: str, candidates: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from fathomline.operators import graph as G
 from fathomline.operators import lexical as L
 from fathomline.operators import source_rules as R
 from fathomline.operators import vectors as V
-from fathomline.plans import asking, context, fixtures, sources
+from fathomline.plans import asking, context, fixtures, retrieval, sources
 from fathomline.plans.hints import points
 from fathomline.session import spread
 
@@ -172,6 +172,7 @@ def test_best_documents_of_lists_and_own_terms(spark, monkeypatch):
             for d, w in of.get(t, ()):
                 sums[d] = sums.get(d, 0) + w
         want += [(q, d, x, n) for n, (d, x) in enumerate(sorted(sums.items(), key=lambda p: (-p[1], p[0]))[:6], 1)]
+    held = [(d, t, w / 2) for d, t, w in held for _ in range(2)]  # what a document holds comes by field
     got = L.best(spark.createDataFrame(held, "doc long, asked string, s double"), spark.createDataFrame(asked, "question_id long, asked string"), 180, 6)
     assert sorted((r["question_id"], r["doc"], r["score"], r["rank"]) for r in got.collect()) == sorted(want)
 
@@ -182,3 +183,17 @@ def test_terms_far_from_those_asked_for_get_no_keys_of_two_edits(spark, monkeypa
     found = L.expanded(spark.createDataFrame([("validatesmalrng",)], "asked string"), spark.createDataFrame([("validatesmallring",), *((f"handlepart{10000 + k}",) for k in range(300))], "term string"))
     assert made and [tuple(r)[:2] for r in found.collect()] == [("validatesmalrng", "validatesmallring")]
     assert "LeftSemi" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_read_once_for_a_search(spark, monkeypatch):
+    calls, real = [], L.counted
+    monkeypatch.setattr(L, "counted", lambda *a, **b: calls.append(1) or real(*a, **b))
+    monkeypatch.setattr(L, "lengths", lambda *a: calls.append(1))  # lengths come with the tokens
+    found = retrieval.bm25_topk(spark, SF)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert len(calls) == 1 and "MapInArrow" not in plan and "Window" not in plan
+
+
+def test_lengths_come_with_tokens(spark):
+    rows = L.counted(spark.createDataFrame([(1, "a b a"), (2, "")], "doc long, text string"), "doc", {"text": F.col("text")}, totals=True)
+    assert sorted((r["doc"], r["term"] or "", r["tf"], r["len"]) for r in rows.collect()) == [(1, "", 0, 3), (1, "a", 2, 3), (1, "b", 1, 3), (2, "", 0, 0)]
