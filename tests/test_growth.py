@@ -7,6 +7,7 @@ import re
 from pyspark.sql import functions as F
 
 from fathomline.operators import asking as A
+from fathomline.operators import doctor
 from fathomline.operators import extract as E
 from fathomline.operators import graph as G
 from fathomline.operators import lexical as L
@@ -209,3 +210,21 @@ def test_rows_of_a_block_are_not_gathered_in_lists(spark, monkeypatch):
     assert found == {(q, d) for q in range(9) for d in (28, 29)}
     (blocks,) = [p for p in plans if "MapInArrow" in p]
     assert "collect_list" not in blocks.split("MapInArrow")[1].split("Union")[0]
+
+
+def test_rules_are_tried_on_lines_with_their_words():
+    """Each rule's own example holds one of its words, in capitals as well where the rule allows them."""
+    lines = ["fastify.all('/a", "@Patch('a", "http.HandleFunc('/a", "SELECT x FROM a", "JOIN a", "INSERT INTO a", "UPDATE a SET", "DELETE FROM a", "CREATE TABLE a", "DB::table('a", "x.sendToQueue('a", "x.QueueDeclare('a", "x.publish('a",
+             "process.env.A", "process.env['A", "getenv('A", "process.env.A ?? 'b", "cron.schedule('a", "@Cron('a", "@Cron(CronExpression.A", "setInterval(a, 5", "axios.get('a", "fetch('a", "got.post('a", "httpService.put('a", "curl_init('a"]
+    for rule, line in zip(doctor.RULES, lines, strict=True):
+        found = re.search(rule.pattern, line)
+        assert found and any(w in found.group(0).lower() for w in rule.words), rule
+
+
+def test_facts_of_some_kinds_are_those_of_all(spark):
+    files = sources.load(spark, SF)
+    every = {tuple(r) for r in doctor.doctor_facts(files, ["file_id"]).collect()}
+    for kinds in (("api",), ("rabbitmq",), ("database", "env"), ("config", "cron", "http")):
+        some = doctor.doctor_facts(files, ["file_id"], kinds=kinds)
+        assert {tuple(r) for r in some.collect()} == {r for r in every if r[2] in kinds} != set()
+    assert "httpService" not in doctor.doctor_facts(files, ["file_id"], kinds=("cron",))._jdf.queryExecution().optimizedPlan().toString()
