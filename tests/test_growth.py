@@ -228,3 +228,21 @@ def test_facts_of_some_kinds_are_those_of_all(spark):
         some = doctor.doctor_facts(files, ["file_id"], kinds=kinds)
         assert {tuple(r) for r in some.collect()} == {r for r in every if r[2] in kinds} != set()
     assert "httpService" not in doctor.doctor_facts(files, ["file_id"], kinds=("cron",))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_points_are_never_broadcast(spark, monkeypatch):
+    """Spark takes points for as few bytes as the table they are made from has; the driver of 1.2 million had to hold their texts."""
+
+    def nodes(n):
+        yield n
+        for i in range(n.children().size()):
+            yield from nodes(n.children().apply(i))
+
+    def rows(most):
+        monkeypatch.setattr(A, "MOST_NAMES", most)
+        found = asking.strong_evidence(spark, SF)
+        sent = [n for n in nodes(found._jdf.queryExecution().executedPlan().initialPlan()) if n.nodeName() == "BroadcastExchange"]
+        assert sent and not any("ExistingRDD" in m.nodeName() for n in sent for m in nodes(n))
+        return sorted(map(tuple, found.collect()))
+
+    assert rows(500_000) == rows(0) != []  # names of questions broadcast or dealt out
