@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from fathomline.operators import asking as A
@@ -13,7 +14,7 @@ from fathomline.operators import graph as G
 from fathomline.operators import lexical as L
 from fathomline.operators import source_rules as R
 from fathomline.operators import vectors as V
-from fathomline.plans import asking, context, fixtures, retrieval, sources
+from fathomline.plans import asking, context, fixtures, inventory, retrieval, sources
 from fathomline.plans.hints import points
 from fathomline.session import spread
 
@@ -246,3 +247,16 @@ def test_points_are_never_broadcast(spark, monkeypatch):
         return sorted(map(tuple, found.collect()))
 
     assert rows(500_000) == rows(0) != []  # names of questions broadcast or dealt out
+
+
+def test_an_inventory_has_every_kind_with_its_first_and_last_name(spark, monkeypatch):
+    files = [(1, "a", "x.ts", "ch.assertExchange('orders')\nch.publish('audit')\nch.publish('orders')\nprocess.env.PORT"), (2, "b", "y.ts", "fetch('http://s')"), (3, "b", "z.md", "nothing")]
+    monkeypatch.setattr(inventory, "load", lambda *_: spark.createDataFrame(files, "file_id long, repo string, path string, content string"))
+    got = inventory.evidence_inventory(spark, SF)
+    rows = {r["repo"]: r.asDict() for r in got.collect()}
+    assert {p.kind for p in E.ALL} <= set(got.columns)
+    assert [rows["a"][c] for c in ("exchange", "exchange_first", "exchange_last", "env", "env_last", "http")] == [2, "audit", "orders", 1, "PORT", None]
+    assert [rows["b"][c] for c in ("exchange", "exchange_last", "http", "http_first")] == [None, None, 1, "http://s"]
+    texts = " UNION ALL ".join(f"SELECT {k} AS file_id, '{r}' AS repo, '{p}' AS path, '{c.replace(chr(39), chr(39) * 2)}' AS content" for k, r, p, c in files)
+    want = duckdb.sql(inventory.ORACLE["evidence_inventory"].replace(fixtures.FILES, texts))
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
